@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, secrets, sharding
+from . import forest, lines, maxscore, mixing, pieces, secrets, sharding, toxicity
 from .common import table
 
 #: The public model whose encoding op5 gives.
@@ -44,6 +44,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every text of ``documents`` by a model of ``labels.toxic``."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text of ``documents``, encoded and decoded."""
     model = piece_model()
@@ -56,11 +64,48 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and deleted lines of every row of ``documents``, and a digest of the text that is left."""
+    done = lines.deduplicated(table(spark, sf_dir, "documents"))
+    return done.select("row.doc_id", "n_lines", "n_deleted", F.md5(F.coalesce("kept", F.lit(""))).alias("kept_md5"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, by source targets."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows of ``embeddings``, as integers, for each row whose id is divisible by 20."""
+    return maxscore.search_exact(table(spark, sf_dir, "embeddings"))
+
+
+def op9_near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of ``embeddings`` found for each row whose id is divisible by 20."""
+    return forest.search_near(table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS did, coalesce(text, '') AS text, text IS NULL AS no_text FROM documents
+), s AS (
+    SELECT r, did, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d
+), n AS (
+    SELECT r, did, i, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM s
+), b AS (
+    SELECT r, did, i, t, row_number() OVER (PARTITION BY r ORDER BY i) AS pos, lead(t) OVER (PARTITION BY r ORDER BY i) AS t2 FROM n WHERE t <> ''
+), w AS (
+    SELECT r, pos, row_number() OVER (PARTITION BY t, t2 ORDER BY did, r, pos) AS copy FROM b WHERE t2 IS NOT NULL
+), g AS (
+    SELECT DISTINCT r, pos + x AS pos FROM w, (VALUES (0), (1)) AS v(x) WHERE copy > 1
+), k AS (
+    SELECT n.r, n.i, n.line, g.r IS NOT NULL AS gone FROM n LEFT JOIN b ON n.r = b.r AND n.i = b.i LEFT JOIN g ON b.r = g.r AND b.pos = g.pos
+), o AS (
+    SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_deleted, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM k GROUP BY r
+)
+SELECT doc_id, CASE WHEN no_text THEN 0 ELSE n_lines END AS n_lines, n_deleted, md5(kept) AS kept_md5 FROM d JOIN o USING (r)
+"""
+
 OP7_SQL = r"""
 WITH d AS (
     SELECT doc_id, coalesce(source, '') AS src, CASE WHEN source IS NULL THEN 1 ELSE 0 END AS no_src,
@@ -87,11 +132,29 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
+OP8_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS c FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.c, v.c) AS BIGINT) AS score
+    FROM v AS q, v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id
+), r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
+    "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
+    "op8_exact_search": op8_exact_search,
+    "op9_near_search": op9_near_search,
 }
 
-ORACLE_SQL = {"op7_mixing": OP7_SQL}
+ORACLE_SQL = {"op6_line_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_exact_search": OP8_SQL}
