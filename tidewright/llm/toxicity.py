@@ -18,16 +18,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields
+from .common import checkpointed, fields
 
 #: Labelled rows that a model is fitted on at most (about; chosen by a hash of the id).
 SAMPLE_ROWS = 12_000
 #: Entries of a lexicon at most, the best supported ones.
 LEXICON = 2_000
 #: Least share of toxic rows among the rows with a word, and least number of toxic rows with it.
-PURITY, SUPPORT, SUPPORT_SHARE = 0.8, 4, 0.015
+PURITY, SUPPORT, SUPPORT_SHARE = 0.8, 4, 0.03
 #: A stem must reach so many times the rows of any entry that it covers.
 STEM_GAIN = 1.3
+#: Ordinary words that look like misspelled entries, which a model remembers at most.
+ORDINARY = 5_000
+#: What a misspelled entry counts for, next to an exact one.
+NEAR_WEIGHT = 0.5
 #: Lengths of stems; letters from which one and two misspelled letters are allowed.
 STEMS = (4, 5, 6)
 ONE_EDIT, TWO_EDITS = 5, 8
@@ -44,13 +48,14 @@ REPORTING = frozenset(
 OPENING, CLOSING = "\"“„«‹", "\"”“»›"
 
 WORD = re.compile(r"\w+")
-FEATURES = ("plain", "quoted", "near", "near_quoted", "kinds", "density")
+FEATURES = ("plain", "quoted", "kinds", "density")
 
 
 class LexiconAutomaton:
     """Trie of a lexicon times Levenshtein automaton, made deterministic as it is used."""
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: list[str], stems: list[str], ordinary: list[str] = ()):
+        self.ordinary = frozenset(ordinary)
         self.child: list[dict[str, int]] = [{}]
         self.edits, self.word_edits, self.stem = [0], [-1], [False]
         for entry in words:
@@ -129,6 +134,8 @@ class LexiconAutomaton:
                 if state == self.dead or self.accept[state] == 3:
                     break
             known = (0, 1, 2, 1)[self.accept[state]]
+            if known == 2 and word in self.ordinary:
+                known = 0
             self.words[word] = known
         return known
 
@@ -151,11 +158,16 @@ def measure(text: str | None, lexicon: LexiconAutomaton) -> tuple[float, ...]:
     if not hits:
         return (0.0,) * len(FEATURES)
     found = list(WORD.finditer(lower))
-    counts = [0, 0, 0, 0]
+    plain = quoted = 0.0
     for at, m in enumerate(found):
         if m.group() in hits:
-            counts[2 * (match(m.group()) == 2) + is_quoted(lower, m.start(), m.end(), found, at)] += 1
-    return (*map(math.log1p, counts), math.log1p(len(hits)), 10 * sum(counts) / (len(found) + 20))
+            weight = NEAR_WEIGHT if match(m.group()) == 2 else 1.0
+            if is_quoted(lower, m.start(), m.end(), found, at):
+                quoted += weight
+            else:
+                plain += weight
+    kinds = sum(NEAR_WEIGHT if match(w) == 2 else 1.0 for w in hits)
+    return (math.log1p(plain), math.log1p(quoted), math.log1p(kinds), 10 * plain / (len(found) + 20))
 
 
 @dataclass(frozen=True)
@@ -164,6 +176,7 @@ class Model:
 
     words: tuple[str, ...]
     stems: tuple[str, ...]
+    ordinary: tuple[str, ...]
     weights: tuple[float, ...]
     bias: float
 
@@ -182,11 +195,11 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def measured(docs: DataFrame, words: list[str], stems: list[str], keep: list[str]) -> DataFrame:
+def measured(docs: DataFrame, words, stems, ordinary, keep: list[str]) -> DataFrame:
     """``keep`` and FEATURES of every row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = LexiconAutomaton(words, stems)
+        lexicon = LexiconAutomaton(words, stems, ordinary)
         for batch in batches:
             values = [measure(t, lexicon) for t in batch.column(len(keep)).to_pylist()]
             columns = list(zip(*values, strict=True)) if values else [()] * len(FEATURES)
@@ -196,6 +209,18 @@ def measured(docs: DataFrame, words: list[str], stems: list[str], keep: list[str
     return rows.mapInArrow(run, fields(rows, keep, [(f, T.DoubleType()) for f in FEATURES]))
 
 
+def lookalikes(docs: DataFrame, words, stems) -> DataFrame:
+    """(word, n): words of the texts that the automaton takes for misspelled entries, and the rows with them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = LexiconAutomaton(words, stems)
+        for batch in batches:
+            seen = [w for t in batch.column(0).to_pylist() for w in set(WORD.findall((t or "").lower())) if lexicon.match(w) == 2]
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], ["word"])
+
+    return docs.select("text").mapInArrow(run, "word string").groupBy("word").agg(F.count("*").alias("n"))
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of ``labels`` (doc_id, toxic) fitted on a bounded sample of rows that are not held out.
 
@@ -210,6 +235,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     sample = named.where(F.pmod(place, F.lit(max(1, -(-size // sample_rows)))) == 0).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)))
     # the sample is bounded, so it may be broadcast: texts stay where they are
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = checkpointed(rows.withColumn("body", F.xxhash64("text")).dropDuplicates(["body", "toxic"]).drop("body"))
 
     per_row = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)(\w+)"), F.lit(1)))
     stems = F.flatten(F.transform(per_row, lambda w: F.array(*(F.concat(F.substring(w, 1, n), F.lit("*")) for n in STEMS))))
@@ -221,14 +247,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     counted = first.select("toxic", F.explode(marks).alias("mark")).groupBy("mark").agg(F.count("*").alias("n"), F.sum("toxic").alias("hits"))
     best = counted.where((F.col("hits") >= support) & (F.col("hits") >= PURITY * F.col("n"))).orderBy(F.desc("hits"), "mark").limit(LEXICON)
     found = {r["mark"]: r["hits"] for r in best.collect()} if 0 < toxic < totals["n"] else {}
-    words = [m for m in found if not m.endswith("*")]
     kept_stems = useful_stems({m: n for m, n in found.items() if not m.endswith("*")}, {m[:-1]: n for m, n in found.items() if m.endswith("*")})
-    second = measured(rows.where(F.col("half") == 1), words, kept_stems, ["toxic"])
+    words = [m for m in found if not m.endswith("*") and not m.startswith(tuple(kept_stems or ["*"]))]
+    clean = lookalikes(first.where(F.col("toxic") == 0), words, kept_stems).orderBy(F.desc("n"), "word").limit(ORDINARY)
+    ordinary = [r["word"] for r in clean.collect()] if words else []
+    second = measured(rows.where(F.col("half") == 1), words, kept_stems, ordinary, ["toxic"])
     seen = second.groupBy().agg(F.count("*").alias("n"), F.avg("toxic").alias("share")).first()
     share = seen["share"] or 0.0
     if not found or share in (0.0, 1.0):
         share = min(max(toxic / totals["n"] if totals["n"] else 0.0, 1e-6), 1 - 1e-6)
-        return Model((), (), (0.0,) * len(FEATURES), math.log(share / (1 - share)))
+        return Model((), (), (), (0.0,) * len(FEATURES), math.log(share / (1 - share)))
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.linalg import Matrices
@@ -237,7 +265,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(second).select("x", F.col("toxic").cast("double").alias("y"))
     fitted = LogisticRegression(featuresCol="x", labelCol="y", regParam=2e-3, maxIter=40, lowerBoundsOnCoefficients=no_less).fit(table)
-    return Model(tuple(words), tuple(kept_stems), tuple(float(w) for w in fitted.coefficients), float(fitted.intercept))
+    return Model(tuple(words), tuple(kept_stems), tuple(ordinary), tuple(float(w) for w in fitted.coefficients), float(fitted.intercept))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -246,7 +274,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Only the text is read for the score. Null and empty texts have no hits; repeated rows each get
     their own score; an empty table gives no rows; other columns are ignored.
     """
-    rows = measured(docs, list(model.words), list(model.stems), ["doc_id"])
+    rows = measured(docs, model.words, model.stems, model.ordinary, ["doc_id"])
     return rows.select("*", chance(model).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -262,5 +290,5 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the model does not call toxic, with the columns of ``docs``."""
     names = docs.columns
     row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_tw_row")
-    scored = measured(docs.select(row, "text"), list(model.words), list(model.stems), ["_tw_row"])
+    scored = measured(docs.select(row, "text"), model.words, model.stems, model.ordinary, ["_tw_row"])
     return scored.where(chance(model) < 0.5).select(*(F.col(f"_tw_row.`{c}`").alias(c) for c in names))
