@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, lines, maxscore, mixing, pieces, secrets, sharding, toxicity
+from . import forest, lines, maxscore, mixing, neardup, passages, pieces, secrets, sharding, toxicity
 from .common import table
 
 #: The public model whose encoding op5 gives.
@@ -44,6 +44,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every row of ``documents``."""
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", F.col("first").alias("kept"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every text of ``documents`` by a model of ``labels.toxic``."""
     docs = table(spark, sf_dir, "documents")
@@ -85,6 +90,11 @@ def op9_near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.search_near(table(spark, sf_dir, "embeddings"))
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of ``documents`` that stand in an earlier document too."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start_word", "n_words", "source_id")
+
+
 OP6_SQL = r"""
 WITH d AS (
     SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS did, coalesce(text, '') AS text, text IS NULL AS no_text FROM documents
@@ -149,12 +159,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_toxicity": op4_toxicity,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_line_dedup": op6_line_dedup,
     "op7_mixing": op7_mixing,
     "op8_exact_search": op8_exact_search,
     "op9_near_search": op9_near_search,
+    "op10_passage_dedup": op10_passage_dedup,
 }
 
 ORACLE_SQL = {"op6_line_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_exact_search": OP8_SQL}
