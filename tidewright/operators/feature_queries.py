@@ -133,4 +133,4 @@ _CROSS = (
     f", x AS (SELECT *, CASE WHEN count(ra) OVER {_w(20)} = 20 THEN corr(ra, rb) OVER {_w(20)} END AS cross_corr_20, (cross_spread - {_full('avg({})', 'cross_spread', 20)}) / nullif({_full('stddev_samp({})', 'cross_spread', 20)}, 0) AS cross_spread_z FROM p) "
 )
 _add("f24_cross_pair", lambda d: f.cross_pair(d.where("instrument <> 'N'"), d.where("instrument = 'N'")), _cols, _CROSS + _out(_cols, "x"))
-_add("f25_quoted_spread", f.quoted_spread, "bid_close ask_close spread_pips", ", b AS (SELECT *, (ask_close - bid_close) / 0.0001 AS spread_pips FROM bars) " + _out("bid_close ask_close spread_pips", "b"))
+_add("f25_quoted_spread", f.quoted_spread, "spread_pips", ", b AS (SELECT *, (ask_close - bid_close) / 0.0001 AS spread_pips FROM bars) " + _out("spread_pips", "b"))
