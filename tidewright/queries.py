@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import evaluation_queries, feature_queries, market
+from .operators import decisions, evaluation_queries, feature_queries, market
 
-MODULES = [feature_queries, evaluation_queries, market]
+MODULES = [feature_queries, evaluation_queries, market, decisions]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: text for m in MODULES for name, text in m.ORACLE_SQL.items()}
