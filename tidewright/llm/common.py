@@ -87,3 +87,17 @@ def content_key(text: Column) -> list[Column]:
 def fields(df: DataFrame, columns: list[str], more: list[tuple[str, T.DataType]]) -> T.StructType:
     """Output schema of a map over Arrow batches: ``columns`` of ``df`` and then ``more``."""
     return T.StructType([df.schema[c] for c in columns] + [T.StructField(n, t) for n, t in more])
+
+
+#: Ids that may be broadcast; more of them are shuffled.
+BROADCAST_IDS = 500_000
+
+
+def texts_of(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """One row (h1, text) for each needed h1.
+
+    A bounded number of ids is broadcast, so that only needed texts are shuffled; a larger number is
+    joined by a shuffle of both sides.
+    """
+    few = needed.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(needed) if few else needed, "h1", "left_semi").dropDuplicates(["h1"])

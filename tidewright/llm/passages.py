@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, checkpointed, content_key, fields, word_count
+from .common import WORD, checkpointed, content_key, texts_of, word_count
 from .shingles import prefix_sums, runs_at, slices, word_spans
 
 #: Words of the shortest passage that is reported.
@@ -152,7 +152,7 @@ def matches(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 )
 
     needed = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
-    some = texts.join(needed, "h1", "left_semi").dropDuplicates(["h1"])
+    some = texts_of(texts, needed)
     left = pairs.join(some.select(F.col("h1").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(some.select(F.col("h1").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "anchors", "ta", "tb").mapInArrow(run, "a long, begin int, end int, b long, key long, start int")
