@@ -109,7 +109,7 @@ def daily_fill(df: DataFrame) -> DataFrame:
     return carried(placed, ["series"], "value", "filled").select("series", "date", F.col("filled").alias("value"))
 
 
-R.add("r03_daily_fill", lambda k, d: daily_fill(macro_obs(k, d)), sql("macro_obs", ", g AS (SELECT series, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS date FROM macro_obs GROUP BY series), o AS (SELECT series, date, last_value(value IGNORE NULLS) OVER (PARTITION BY series ORDER BY date) AS value FROM g LEFT JOIN macro_obs USING (series, date))" + columns("series date", "value", "o", 3)), 3)
+R.add("r03_daily_fill", lambda k, d: daily_fill(macro_obs(k, d)), sql("macro_obs", ", g AS (SELECT series, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS date FROM macro_obs GROUP BY series), o AS (SELECT series, date, last_value(value IGNORE NULLS) OVER (PARTITION BY series ORDER BY date) AS value FROM g LEFT JOIN macro_obs USING (series, date))" + columns("series date", "value", "o", 9)), 9)
 
 
 def evenly(df: DataFrame, points: int = 12) -> DataFrame:
@@ -154,6 +154,11 @@ def derived(obs: DataFrame) -> DataFrame:
     )
 
 
+def six(df: DataFrame) -> DataFrame:
+    """Derived ratios to six places, as both engines compare them."""
+    return df.withColumn("zscore", F.round("zscore", 6)).withColumn("yoy", F.round("yoy", 6))
+
+
 def as_of(bars: DataFrame, obs: DataFrame, names: list[str]) -> DataFrame:
     """Bars with, for each series, the last value public at or before the bar (``available_at`` <= ts; later dates win ties).
 
@@ -169,11 +174,11 @@ def as_of(bars: DataFrame, obs: DataFrame, names: list[str]) -> DataFrame:
     return carried(d, keys, "v", "known").where("is_bar = 1").select("instrument", "series", "ts", *(F.col(f"known.{n}").alias(n) for n in names))
 
 
-R.add("m01_availability", lambda k, d: availability(macro_obs(k, d)), sql("macro_obs", _AVAIL + columns("series date available_at", "value", "obs", 3)), 3)
-_DER = _AVAIL + ", der AS (SELECT series, date, available_at, value, CASE WHEN count(value) OVER l = 12 THEN (value - avg(value) OVER l) / nullif(stddev_samp(value) OVER l, 0) END AS zscore, value / lag(value, 12) OVER w - 1 AS yoy, value - last_value(value) OVER m AS change_30d FROM obs WINDOW w AS (PARTITION BY series ORDER BY date), l AS (PARTITION BY series ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), m AS (PARTITION BY series ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 30 DAY PRECEDING))"
-R.add("m02_m03_derived", lambda k, d: derived(availability(macro_obs(k, d))), sql("macro_obs", _DER + columns("series date available_at", "value zscore yoy change_30d", "der", 3)), 3)
-R.add("m04_as_of_join", lambda k, d: as_of(bars(k, d), derived(availability(macro_obs(k, d))), ["value", "zscore"]), sql("bars,macro_obs", _DER + ", s AS (SELECT DISTINCT series FROM der), l AS (SELECT instrument, ts, series FROM bars, s), p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series, available_at ORDER BY date DESC) AS k FROM der) WHERE k = 1), o AS (SELECT l.instrument, l.series, l.ts, p.value, p.zscore FROM l ASOF LEFT JOIN p ON l.series = p.series AND l.ts >= p.available_at)" + columns("instrument series ts", "value zscore", "o", 3)), 3)
-R.add("m05_by_date_align", lambda k, d: as_of(bars(k, d), macro_obs(k, d).withColumn("available_at", F.col("date")), ["value"]), sql("bars,macro_obs", ", s AS (SELECT DISTINCT series FROM macro_obs), l AS (SELECT instrument, ts, series FROM bars, s), o AS (SELECT l.instrument, l.series, l.ts, p.value FROM l ASOF LEFT JOIN macro_obs AS p ON l.series = p.series AND l.ts >= p.date)" + columns("instrument series ts", "value", "o", 3)), 3)
+R.add("m01_availability", lambda k, d: availability(macro_obs(k, d)), sql("macro_obs", _AVAIL + columns("series date available_at", "value", "obs", 9)), 9)
+_DER = _AVAIL + ", der AS (SELECT series, date, available_at, value, round(CASE WHEN count(value) OVER l = 12 THEN (value - avg(value) OVER l) / nullif(stddev_samp(value) OVER l, 0) END, 6) AS zscore, round(value / lag(value, 12) OVER w - 1, 6) AS yoy, value - last_value(value) OVER m AS change_30d FROM obs WINDOW w AS (PARTITION BY series ORDER BY date), l AS (PARTITION BY series ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), m AS (PARTITION BY series ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 30 DAY PRECEDING))"
+R.add("m02_m03_derived", lambda k, d: six(derived(availability(macro_obs(k, d)))), sql("macro_obs", _DER + columns("series date available_at", "value zscore yoy change_30d", "der", 9)), 9)
+R.add("m04_as_of_join", lambda k, d: as_of(bars(k, d), six(derived(availability(macro_obs(k, d)))), ["value", "zscore"]), sql("bars,macro_obs", _DER + ", s AS (SELECT DISTINCT series FROM der), l AS (SELECT instrument, ts, series FROM bars, s), p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series, available_at ORDER BY date DESC) AS k FROM der) WHERE k = 1), o AS (SELECT l.instrument, l.series, l.ts, p.value, p.zscore FROM l ASOF LEFT JOIN p ON l.series = p.series AND l.ts >= p.available_at)" + columns("instrument series ts", "value zscore", "o", 9)), 9)
+R.add("m05_by_date_align", lambda k, d: as_of(bars(k, d), macro_obs(k, d).withColumn("available_at", F.col("date")), ["value"]), sql("bars,macro_obs", ", s AS (SELECT DISTINCT series FROM macro_obs), l AS (SELECT instrument, ts, series FROM bars, s), o AS (SELECT l.instrument, l.series, l.ts, p.value FROM l ASOF LEFT JOIN macro_obs AS p ON l.series = p.series AND l.ts >= p.date)" + columns("instrument series ts", "value", "o", 9)), 9)
 R.add("m06_first_release", lambda k, d: table(k, d, "orders").groupBy(F.col("o_orderpriority").alias("series"), F.date_trunc("month", "o_orderdate").alias("date")).agg(F.min_by("o_totalprice", F.struct("o_orderdate", "o_orderkey")).alias("value")), "SELECT o_orderpriority AS series, date_trunc('month', o_orderdate) AS date, round(first(o_totalprice ORDER BY o_orderdate, o_orderkey), 6) AS value FROM orders GROUP BY ALL")
 
 # Labels --------------------------------------------------------------------------------------

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .operators import decisions, evaluation_queries, feature_queries, market
+from .streaming import live
 
-MODULES = [feature_queries, evaluation_queries, market, decisions]
+MODULES = [feature_queries, evaluation_queries, market, decisions, live]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: text for m in MODULES for name, text in m.ORACLE_SQL.items()}

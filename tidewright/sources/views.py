@@ -68,8 +68,8 @@ def count_bars(spark: SparkSession, sf_dir: str, per_bar: int = 4) -> DataFrame:
 
 
 def macro_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly macro observations: the mean order total per priority."""
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series"), F.date_trunc("month", "o_orderdate").alias("date")).agg(F.round(F.avg("o_totalprice"), 6).alias("value"))
+    """Monthly macro observations: the mean order total per priority, from whole cents."""
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series"), F.date_trunc("month", "o_orderdate").alias("date")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double") / F.count("*") / 100).alias("value"))
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ SQL_VIEWS = {
     "count_bars": """SELECT instrument, rn, min(ts) AS ts, arg_min(tick_id, n) AS event_id, arg_min(price, n) AS open, max(price) AS high, min(price) AS low,
         arg_max(price, n) AS close, CAST(sum(size) AS BIGINT) AS volume, close - 0.00004 AS bid_close, close + 0.00004 AS ask_close
         FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts, tick_id) AS n, (n - 1) // 4 + 1 AS rn FROM ticks) GROUP BY instrument, rn""",
-    "macro_obs": "SELECT o_orderpriority AS series, date_trunc('month', o_orderdate) AS date, round(avg(o_totalprice), 6) AS value FROM orders GROUP BY ALL",
+    "macro_obs": "SELECT o_orderpriority AS series, date_trunc('month', o_orderdate) AS date, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100 AS value FROM orders GROUP BY ALL",
     "news": """SELECT d.doc_id, d.source, make_timestamp((1704067200 + (d.doc_id * 37 % 43200) * 60) * 1000000) AS published_at, text AS full_text, md5(lower(text)) AS text_hash,
         CAST(coalesce(quality, 0) - coalesce(toxic, 0) AS DOUBLE) AS score, abs(score) AS intensity FROM documents AS d LEFT JOIN labels AS l USING (doc_id)""",
     "forecasts": """SELECT *, CAST(event_id * 7919 % 3 - 1 AS INTEGER) AS signal, (event_id * 104729 % 1000) / 1000.0 AS confidence, CAST(event_id % 4 AS INTEGER) AS regime,
