@@ -11,14 +11,20 @@ copies. Neighbouring later copies whose sources are neighbours too form a maxima
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import checkpointed, content_key
+from .common import checkpointed, content_key, fields
 
 #: Lines of the shortest run that is deleted.
 MIN_LINES = 2
+#: White space at the ends of lines.
+BLANK = " \t\n\v\f\r"
 
 
 def document_key(docs: DataFrame) -> list[Column]:
@@ -109,21 +115,27 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     runs = repeated_runs(docs, min_lines).groupBy("did", "h1", "h2").agg(F.collect_list(F.struct("start", "length")).alias("runs"))
-    held = docs.select(row, *document_key(docs))
-    split = F.split("row.text", "\n")
-    blank = r"^[\x20\x09-\x0D]*\z"
-    # the numbers of deleted non-blank lines, then their places among all lines
-    full = F.filter(F.transform(split, lambda s, i: F.when(s.rlike(blank), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
-    gone = F.flatten(F.transform("runs", lambda r: F.slice(F.col("full"), r["start"] + 1, r["length"])))
-    out = held.join(runs, ["did", "h1", "h2"], "left").select("row", "runs", F.when(F.col("runs").isNotNull(), full).alias("full"))
-    out = out.select("row", F.array_distinct(F.coalesce(gone, F.array().cast("array<int>"))).alias("gone"))
-    kept = F.when(F.size("gone") == 0, F.col("row.text")).otherwise(F.array_join(F.filter(split, lambda s, i: ~F.array_contains("gone", i)), "\n"))
-    return out.select(
-        "row",
-        kept.alias("kept"),
-        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
-        F.size("gone").cast("long").alias("n_deleted"),
-    )
+    held = docs.select(row, "text", *document_key(docs)).join(runs, ["did", "h1", "h2"], "left").select("row", "text", "runs")
+
+    def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [without_runs(t, r) for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            kept, n_lines, n_deleted = zip(*done, strict=True) if done else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_deleted, pa.int64())], ["row", "kept", "n_lines", "n_deleted"])
+
+    return held.mapInArrow(edit, fields(held, ["row"], [("kept", T.StringType()), ("n_lines", T.LongType()), ("n_deleted", T.LongType())]))
+
+
+def without_runs(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int]:
+    """(text without runs of its non-blank lines, number of its lines, number of deleted ones)."""
+    if text is None:
+        return None, 0, 0
+    if not runs:
+        return text, text.count("\n") + 1, 0
+    every = text.split("\n")
+    full = [i for i, line in enumerate(every) if line.strip(BLANK)]
+    gone = {i for r in runs for i in full[r["start"] : r["start"] + r["length"]]}
+    return "\n".join(line for i, line in enumerate(every) if i not in gone), len(every), len(gone)
 
 
 def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
