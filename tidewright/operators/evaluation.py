@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.windows import normal_cdf, running_max, running_sum
+from ..functions.windows import BLOCK, normal_cdf, running_sum
 
 SERIES = ["strategy", "instrument"]
 #: Round-trip costs in pips, and the annual number of days.
@@ -58,11 +58,22 @@ def daily_returns(scored: DataFrame) -> DataFrame:
 
 
 def drawdowns(df: DataFrame, keys: list[str], column: str, simple: bool = False) -> DataFrame:
-    """Adds equity and drawdown of returns per row (log returns, or simple ones), in the order of ``rn``."""
+    """Adds equity and drawdown of returns per row (log returns, or simple ones), in the order of ``rn``.
+
+    Two levels in one pass: inside blocks of rows, the running sum and its maximum; over blocks,
+    the sum before a block and the highest point before it.
+    """
     step = F.log1p(column) if simple else F.col(column)
-    d = running_sum(df.withColumn("_step", step), keys, {"_sum": "_step"}).withColumn("equity", F.exp("_sum"))
-    d = running_max(d, keys, {"peak": "equity"})
-    return d.withColumn("drawdown", 1 - F.col("equity") / F.col("peak")).drop("_sum", "_step")
+    inside = Window.partitionBy(*keys, "_block").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    d = df.withColumn("_step", F.coalesce(step, F.lit(0.0))).withColumn("_block", F.floor((F.col("rn") - 1) / BLOCK))
+    d = d.withColumn("_run", F.sum("_step").over(inside)).withColumn("_top", F.max("_run").over(inside))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = d.groupBy(*keys, "_block").agg(F.sum("_step").alias("_s"), F.max("_run").alias("_m"))
+    ends = ends.withColumn("_off", F.coalesce(F.sum("_s").over(before), F.lit(0.0)))
+    ends = ends.select(*keys, "_block", "_off", F.max(F.col("_off") + F.col("_m")).over(before).alias("_high"))
+    joined = d.join(ends, [*keys, "_block"])
+    total, peak = F.col("_off") + F.col("_run"), F.greatest("_high", F.col("_off") + F.col("_top"))
+    return joined.withColumn("equity", F.exp(total)).withColumn("drawdown", 1 - F.exp(total - peak)).drop("_step", "_block", "_run", "_top", "_off", "_high")
 
 
 def summarise(scored: DataFrame, more: list[str] | None = None) -> DataFrame:
