@@ -296,6 +296,39 @@ def test_near_duplicates(spark, odd, none):
     assert neardup.one_of_each(odd).where("text = 'same text here'").count() == 1
 
 
+def test_near_duplicate_chains(spark):
+    """Classes equal brute force over all pairs that share a band, with chains whose ends are unlike."""
+    r = random.Random(12)
+    texts = []
+    for s in range(10):
+        now = words(200, 1_000 + s, 50_000)
+        for i in range(30):
+            texts.append(" ".join(now))
+            now = list(now)
+            for _ in range(r.randrange(2, 6)):
+                now[r.randrange(200)] = f"n{r.randrange(10**6)}"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weigh = neardup.Weights(*neardup.common_shingles(df))
+    keys = {x["doc_id"]: set(x["keys"]) for x in neardup.keyed(df, weigh).collect()}
+    sets = []
+    for t in texts:
+        values, counts, _ = neardup.shingles(neardup.pa.array([t]), 0, 1)
+        sets.append((values, weigh(values, counts)))
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if keys[i] & keys[j] and neardup.similarity(sets[i], sets[j]) >= neardup.SIMILARITY:
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    assert {x["doc_id"]: x["class_id"] for x in neardup.classes(df).collect()} == {i: find(i) for i in range(len(texts))}
+
+
 def test_weighted_draws_follow_similarity():
     r = np.random.default_rng(3)
     values = np.sort(r.integers(0, 2**63, 400, dtype=np.uint64))

@@ -5,7 +5,9 @@ Improved consistent weighted sampling draws one (shingle, level) per hash such t
 the same with the probability of their weighted Jaccard similarity. Draws are banded; texts that
 agree in a band are candidates, compared with one leader per band; every candidate pair is verified
 by the weighted Jaccard similarity of the whole texts. Those that are not like the leader are
-compared with their neighbours in the order of their signatures, and with further leaders. Links make classes as connected components.
+compared with their neighbours in the order of their signatures. Links make classes as connected
+components. After that, every pair of a band key whose texts are not in one component yet is decided:
+by an upper bound of the similarity from sums of weights, or by the whole texts.
 
 Document frequencies are exact where they matter: below a share FLOOR of all documents, every
 shingle has the same, largest, weight, so only the few above it must be known (at most the mean
@@ -32,8 +34,8 @@ from .shingles import mixed, shingles, slices
 SIMILARITY = 0.8
 #: Bands of a signature and draws of a band: a pair at SIMILARITY meets with a chance of 0.998.
 BANDS, ROWS = 12, 4
-#: Leaders per band key with which texts without a link are compared, in further rounds.
-LEADERS = (4,)
+#: Sums of weights that bound the similarity of a pair, and texts of a block in which they are compared.
+SUMS, BLOCK = 128, 512
 #: Share of documents below which document frequency does not lower a weight any further.
 FLOOR = 1 / 200
 #: Buckets of the first count.
@@ -206,15 +208,78 @@ def verified(pairs: DataFrame, texts: DataFrame, weigh: Weights) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similar boolean")
 
 
+def sketches(texts: DataFrame, weigh: Weights) -> DataFrame:
+    """(a, sums): SUMS sums of weights of every text (h1), by a hash of the shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = rows_of(batch, "text")
+            for at, to in slices(rows):
+                values, counts, runs = shingles(rows, at, to)
+                cell = np.repeat(np.arange(to - at), runs) * SUMS + (mixed(values) % np.uint64(SUMS)).astype(np.int64)
+                sums = np.bincount(cell, weigh(values, counts), (to - at) * SUMS).astype(np.float32).reshape(-1, SUMS)
+                yield pa.RecordBatch.from_arrays([rows_of(batch, "h1").slice(at, to - at), pa.array([r.tobytes() for r in sums], pa.binary())], ["a", "sums"])
+
+    return texts.select("h1", "text").mapInArrow(run, "a long, sums binary")
+
+
+def likely(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Upper bounds of the similarity of each pair of sketches, a little above for rounding."""
+    both = np.empty((len(x), len(y)), np.float32)
+    for i, row in enumerate(x):
+        both[i] = np.minimum(row, y).sum(1)
+    whole = x.sum(1)[:, None] + y.sum(1)[None, :] - both
+    return both / np.maximum(whole, np.float32(1e-30)) + np.float32(1e-4)
+
+
+def open_pairs(members: DataFrame, links: DataFrame, texts: DataFrame, weigh: Weights, best: bool) -> DataFrame:
+    """(a, b): pairs of a band key in different components of ``links`` that may be similar.
+
+    Texts of a key are dealt into blocks, and each pair of blocks is one row of bounded size, so that
+    a key of any size is spread. With ``best``, each text gives its likeliest pair with each other
+    component of a block only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                ids, roots, block = (np.array([r[k] for r in rows], np.int64) for k in ("a", "root", "block"))
+                sums = np.frombuffer(b"".join(r["sums"] for r in rows), np.float32).reshape(-1, SUMS)
+                left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+                bound = likely(sums[left], sums[right])
+                bound[roots[left][:, None] == roots[right][None, :]] = 0
+                i, j = np.nonzero(bound >= SIMILARITY)
+                if best and len(i):
+                    order = np.argsort(-bound[i, j], kind="stable")
+                    i, j = i[order], j[order]
+                    one = np.unique(np.stack([i, roots[right][j]]), axis=1, return_index=True)[1]
+                    two = np.unique(np.stack([j, roots[left][i]]), axis=1, return_index=True)[1]
+                    chosen = np.union1d(one, two)
+                    i, j = i[chosen], j[chosen]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[left[i]]), pa.array(ids[right[j]])], ["a", "b"])
+
+    known = members.select("key", "a").join(components(links).withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    sizes = known.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    several = sizes.where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rows = checkpointed(known.join(several, "key").withColumn("block", F.pmod(F.xxhash64("a", "key"), "blocks").cast("int")))
+    sums = sketches(texts_of(texts, rows.select(F.col("a").alias("h1")).distinct()), weigh)
+    paired = rows.join(sums, "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    by = paired.groupBy("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.collect_list(F.struct("a", "root", "block", "sums")).alias("rows"))
+    return by.select("low", "high", "rows").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_links(docs: DataFrame, nodes: DataFrame, weigh: Weights) -> DataFrame:
     """(a, b): verified links between different texts (h1 each) that share a band.
 
     First, all texts of a band key are compared with one leader, the text that shares the most band
     keys with others: the likely origin of its copies. Those that are not like it are sorted by
     their other band keys, in a different turn for each band, and compared with their neighbour: the
-    text with the longest common run of keys. Texts still without any link are compared with
-    further leaders. Each step gives a number of pairs that is linear in the texts of a key, however
-    many they are, and never all pairs of a group.
+    text with the longest common run of keys. These steps join most texts with a number of pairs that
+    is linear in the texts of a key. Then the pairs of each key that still holds several components
+    are bounded from above, all of them; the likeliest one of each text and other component is
+    verified, and at last every pair that may be similar and is not in one component by then. So
+    each pair of a key is decided or inside one component; pairs inside one may stay untried.
     """
     texts = docs.select(content_key(F.col("text"))[0], "text")
     members = nodes.where(F.col("keys").isNotNull()).select(F.col("h1").alias("a"), F.posexplode("keys").alias("band", "key"))
@@ -242,11 +307,8 @@ def near_links(docs: DataFrame, nodes: DataFrame, weigh: Weights) -> DataFrame:
     order = Window.partitionBy("key").orderBy(turn, "a")
     ordered = rest.join(nodes.select(F.col("h1").alias("a"), "keys"), "a").withColumn("b", F.lag("a").over(order))
     links = compare(ordered.where("b is not null"))
-    for leaders in LEADERS:
-        linked = links.select("a").union(links.select("b")).distinct()
-        place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), F.desc("a")))
-        first = rest.withColumn("place", place).where(F.col("place") <= leaders).select("key", F.col("a").alias("b"))
-        links = compare(rest.join(linked, "a", "left_anti").join(first, "key"))
+    for best in (True, False):
+        links = compare(open_pairs(members, links, texts, weigh, best))
     return links
 
 
@@ -254,7 +316,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, h1, h2, class_id, n_links, first): the near-duplicate class of every row of ``docs``.
 
     ``docs`` has doc_id and text. ``class_id`` is the least doc_id of the class, n_links the number
-    of verified links that the row's text has to other texts, ``first`` true for the rows that
+    of verified links that the row's text has to other texts (pairs that are in one class already
+    may stay untried, so it is a least number), ``first`` true for the rows that
     stand for the class (one, unless a row repeats whole). Equal texts are one class without being
     compared; texts without words are near-duplicates of equal texts only. Null texts count as
     empty ones. A class whose ids are all null has a null class_id.
