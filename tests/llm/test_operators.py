@@ -369,6 +369,33 @@ def test_passages(spark, odd, none):
         assert left[None if i == 3 else i].split() == [x for j, x in enumerate(w) if j not in want[None if i == 3 else i]]
 
 
+def test_passages_beside_an_earlier_document(spark):
+    """Passages of later texts that the earliest one of a key does not have, or has elsewhere."""
+    wants = []
+    for seed in range(40):
+        r = random.Random(seed)
+
+        def new(n, r=r):
+            return [f"p{r.randrange(10**6)}" for _ in range(n)]
+
+        k, left, right = new(40), new(15), new(30)
+        wants.append([new(20) + k + right + new(20), left + k + right, left + k + new(20)])  # c has a passage of b, a has not
+        core = new(60)
+        wants.append([new(30) + core + new(30), left + core + new(5), left + core + new(9), new(9) + core[:30] + right, core[:30] + right + new(3)])
+        wants.append([new(30) + core[:30] + new(30) + core[:30] + right + new(5), new(8) + core[:30] + right])  # the key twice in the earliest
+    texts = [" ".join(t) for group in wants for t in group]
+    first, want = {}, collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        w = t.split()
+        for a in range(len(w) - 49):
+            if first.setdefault(tuple(w[a : a + 50]), i) != i:
+                want[i].update(range(a, a + 50))
+    got = collections.defaultdict(set)
+    for x in passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[x["doc_id"]].update(range(x["start_word"], x["start_word"] + x["n_words"]))
+    assert got == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

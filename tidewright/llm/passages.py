@@ -7,8 +7,9 @@ words, so that the copies agree in the next PREFIX words at least. Suffixes that
 neighbours in suffix order; each is compared with the one from the earliest document, and the match
 is extended to the right and to the left as far as the texts agree.
 
-Where that match is shorter than a passage, other neighbours may still share one: then all runs of
-PASSAGE words around the suffix are keyed themselves, which is exact.
+Where that match does not hold all runs of PASSAGE words around the suffix, the other neighbours may
+still share one: then the runs outside of it are keyed themselves. Two neighbours that share a run
+which the earliest one does not have both give it, so the result is exact.
 """
 
 from __future__ import annotations
@@ -101,9 +102,10 @@ def reach(x: np.ndarray, y: np.ndarray) -> int:
 def matches(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Extends pairs (a, b, anchors of (pa, pb, more)) of texts.
 
-    Returns (a, begin, end, b, key, start): words begin..end of a stand in b, with a null key; or,
-    where an anchor's match is shorter than a passage and its neighbours are more than two, one row
-    for each run of PASSAGE words around it, with the run's hash and its start.
+    Returns (a, begin, end, b, key, start): words begin..end of a stand in b, with a null key; and,
+    where an anchor has more than two neighbours, one row for each run of PASSAGE words around it
+    that its match does not hold, with the run's hash and its start. A text that is its own earliest
+    neighbour (a = b, at another place) gives runs only.
     """
 
     def hashed(texts: pa.Array) -> list[np.ndarray]:
@@ -120,21 +122,21 @@ def matches(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 spans: list[tuple[int, int, int, int]] = []
                 keyed: list[tuple[int, np.ndarray, np.ndarray]] = []
                 for a, b, anchors, x, y in zip(*(part.column(i).to_pylist() for i in range(3)), hashed(part.column(3)), hashed(part.column(4)), strict=True):
-                    done: dict[int, int] = {}
-                    sums = None
+                    done: dict[int, tuple[int, int]] = {}
+                    outside = []
                     for i, j, more in sorted((p["pa"], p["pb"], p["more"]) for p in anchors):
-                        if i < done.get(i - j, -1):
-                            continue
-                        right = reach(x[i:], y[j:])
-                        left = reach(x[:i][::-1], y[:j][::-1])
-                        if left + right >= PASSAGE:
-                            spans.append((a, i - left, i + right, b))
-                            done[i - j] = i + right
-                        elif more:
-                            sums = sums or prefix_sums(x)
+                        begin, end = done.get(i - j, (0, -1))
+                        if i >= end:
+                            begin, end = i - reach(x[:i][::-1], y[:j][::-1]), i + reach(x[i:], y[j:])
+                            done[i - j] = begin, end
+                            if end - begin >= PASSAGE and a != b:
+                                spans.append((a, begin, end, b))
+                        if more:
                             starts = np.arange(max(0, i + PREFIX - PASSAGE), min(i, len(x) - PASSAGE) + 1)
-                            if len(starts):
-                                keyed.append((a, starts, runs_at(*sums, starts, PASSAGE)))
+                            outside.append(starts[(starts < begin) | (starts + PASSAGE > end)])
+                    starts = np.unique(np.concatenate(outside)) if outside else np.empty(0, np.int64)
+                    if len(starts):
+                        keyed.append((a, starts, runs_at(*prefix_sums(x), starts, PASSAGE)))
                 n = sum(len(s) for _, s, _ in keyed)
                 starts = np.concatenate([s for _, s, _ in keyed] or [np.empty(0, np.int64)]).astype(np.int32)
                 keys = np.concatenate([k for _, _, k in keyed] or [np.empty(0, np.uint64)]).view(np.int64)
@@ -165,13 +167,13 @@ def text_spans(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min("did").alias("sdid"), F.min_by("h1", "did").alias("b"), F.min_by("place", "did").alias("pb"),
         F.min("h1").alias("low"), F.max("h1").alias("high"),
     ).where("low <> high").select("key", "b", "pb", (F.col("n") > 2).alias("more"))
-    anchors = kept.join(first, "key").where("h1 <> b").groupBy(F.col("h1").alias("a"), "b", F.col("place").alias("pa"), "pb").agg(F.max("more").alias("more"))
+    anchors = kept.join(first, "key").where("h1 <> b or place <> pb").groupBy(F.col("h1").alias("a"), "b", F.col("place").alias("pa"), "pb").agg(F.max("more").alias("more"))
     pairs = checkpointed(anchors.groupBy("a", "b").agg(F.collect_list(F.struct("pa", "pb", "more")).alias("anchors")))
     found = checkpointed(matches(pairs, docs.select(content_key(F.col("text"))[0], "text")))
     order = nodes.select("h1", "did").groupBy("h1").agg(F.min("did").alias("did"))
     by_source = found.where("key is null").join(order.select(F.col("h1").alias("b"), F.col("did").alias("source")), "b")
     spans = by_source.select(F.col("a").alias("h1"), "begin", "end", "source")
-    # runs around suffixes whose earliest neighbour shares less than a passage
+    # runs around suffixes that the earliest neighbour does not share
     runs = found.where("key is not null").select(F.col("a").alias("h1"), "key", "start").distinct().join(order, "h1")
     earliest = runs.groupBy("key").agg(F.min("did").alias("source"), F.min_by("h1", "did").alias("b"), F.min("h1").alias("low"), F.max("h1").alias("high"))
     exact = runs.join(earliest.where("low <> high").select("key", "source", "b"), "key").where("h1 <> b")
