@@ -1,4 +1,7 @@
-"""Line dedup: repeated runs of lines, by prefix doubling over the suffixes of line sequences.
+"""Line dedup: repeated runs of lines, by names of ``min_lines`` lines, doubled from names of one.
+
+The doubling ends at ``min_lines`` (one round for two lines): there are no ranks of suffixes and no
+longest common prefixes.
 
 Lines stand as ids in one sequence per document. In round k the suffixes that agree in their first
 2^k lines share a name; names of twice the length come from the pair of names at places i and
