@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import checkpointed, content_key, fields, texts_of
 from .components import components
@@ -34,8 +33,8 @@ from .shingles import mixed, shingles, slices
 SIMILARITY = 0.8
 #: Bands of a signature and draws of a band: a pair at SIMILARITY meets with a chance of 0.998.
 BANDS, ROWS = 12, 4
-#: Sums of weights that bound the similarity of a pair, and texts of a block in which they are compared.
-SUMS, BLOCK = 128, 512
+#: Texts, and bytes of them, of a block in which texts are compared.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Share of documents below which document frequency does not lower a weight any further.
 FLOOR = 1 / 200
 #: Buckets of the first count.
@@ -95,7 +94,7 @@ class Weights:
         self.idf = (np.log1p(documents / np.maximum(frequency, 1)) / np.log1p(1 / FLOOR)).astype(np.float32)
 
     def __call__(self, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        out = counts.astype(np.float32)
+        out = counts.astype(np.float64)
         if len(self.common):
             at = np.minimum(np.searchsorted(self.common, values), len(self.common) - 1)
             known = self.common[at] == values
@@ -151,7 +150,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, weigh: Weights) -> DataFrame:
-    """(doc_id, h1, h2, keys) of every row; keys is null for texts without words."""
+    """(doc_id, h1, h2, bytes, keys) of every row; keys is empty for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,14 +160,14 @@ def keyed(docs: DataFrame, weigh: Weights) -> DataFrame:
                 values, counts, runs = shingles(texts, at, to)
                 sizes.append(np.where(runs > 0, BANDS, 0))
                 if len(values):
-                    lists.append(band_keys(draws(values, weigh(values, counts), runs)).ravel())
+                    lists.append(band_keys(draws(values, weigh(values, counts).astype(np.float32), runs)).ravel())
             sizes = np.concatenate(sizes or [np.empty(0, np.int64)])
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists or [np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([*(rows_of(batch, c) for c in ("doc_id", "h1", "h2")), keys], ["doc_id", "h1", "h2", "keys"])
+            yield pa.RecordBatch.from_arrays([*(rows_of(batch, c) for c in ("doc_id", "h1", "h2", "bytes")), keys], ["doc_id", "h1", "h2", "bytes", "keys"])
 
-    rows = docs.select("doc_id", *content_key(F.col("text")), "text")
-    return rows.mapInArrow(run, fields(rows, ["doc_id", "h1", "h2"], [("keys", T.ArrayType(T.LongType()))]))
+    rows = docs.select("doc_id", *content_key(F.col("text")), F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("bytes"), "text")
+    return rows.mapInArrow(run, fields(rows, ["doc_id", "h1", "h2", "bytes"], [("keys", T.ArrayType(T.LongType()))]))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -183,7 +182,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weigh: Weights) -> DataFrame:
-    """(a, b, similar) of candidate pairs of texts (h1 each)."""
+    """(a, b, similar) of candidate pairs of a text and a leader (h1 each)."""
 
     def weighted(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
@@ -203,143 +202,158 @@ def verified(pairs: DataFrame, texts: DataFrame, weigh: Weights) -> DataFrame:
 
     needed = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
     some = texts_of(texts, needed)
-    left = pairs.join(some.select(F.col("h1").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(some.select(F.col("h1").alias("b"), F.col("text").alias("tb")), "b")
+    # a leader of many texts is copied to as many tasks as they fill blocks
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    left = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int")).join(some.select(F.col("h1").alias("a"), F.col("text").alias("ta")), "a")
+    heads = parts.join(some.select(F.col("h1").alias("b"), F.col("text").alias("tb")), "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = left.drop("parts").join(heads.drop("parts"), ["b", "part"])
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similar boolean")
 
 
-def sketches(texts: DataFrame, weigh: Weights) -> DataFrame:
-    """(a, sums): SUMS sums of weights of every text (h1), by a hash of the shingle."""
+def linked(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray, np.ndarray], weigh: Weights) -> np.ndarray:
+    """Similarity of every text of x with every text of y; each side is (shingles, counts, runs).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = rows_of(batch, "text")
-            for at, to in slices(rows):
-                values, counts, runs = shingles(rows, at, to)
-                cell = np.repeat(np.arange(to - at), runs) * SUMS + (mixed(values) % np.uint64(SUMS)).astype(np.int64)
-                sums = np.bincount(cell, weigh(values, counts), (to - at) * SUMS).astype(np.float32).reshape(-1, SUMS)
-                yield pa.RecordBatch.from_arrays([rows_of(batch, "h1").slice(at, to - at), pa.array([r.tobytes() for r in sums], pa.binary())], ["a", "sums"])
-
-    return texts.select("h1", "text").mapInArrow(run, "a long, sums binary")
-
-
-def likely(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Upper bounds of the similarity of each pair of sketches, a little above for rounding."""
-    both = np.empty((len(x), len(y)), np.float32)
-    for i, row in enumerate(x):
-        both[i] = np.minimum(row, y).sum(1)
-    whole = x.sum(1)[:, None] + y.sum(1)[None, :] - both
-    return both / np.maximum(whole, np.float32(1e-30)) + np.float32(1e-4)
-
-
-def open_pairs(members: DataFrame, links: DataFrame, texts: DataFrame, weigh: Weights, best: bool) -> DataFrame:
-    """(a, b): pairs of a band key in different components of ``links`` that may be similar.
+    The k-th occurrence of a shingle is a column of its own, so that the sum of least weights is a
+    product of matrices. Columns of one side only are left out, the others come in parts.
+    """
 
-    Texts of a key are dealt into blocks, and each pair of blocks is one row of bounded size, so that
-    a key of any size is spread. With ``best``, each text gives its likeliest pair with each other
-    component of a block only.
+    def levels(values: np.ndarray, counts: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(runs)), runs)
+        weight = weigh(values, np.ones(len(values)))
+        total = np.bincount(row, weight * counts, len(runs))
+        level = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        return np.repeat(row, counts), mixed(np.repeat(values, counts) + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.repeat(weight, counts), total
+
+    (ri, ci, wi, ti), (rj, cj, _, tj) = levels(*x), levels(*y)
+    columns = np.intersect1d(ci, cj)
+    both = np.zeros((len(ti), len(tj)))
+    if len(columns):
+        pi, pj = (np.minimum(np.searchsorted(columns, c), len(columns) - 1) for c in (ci, cj))
+        known_i, known_j = columns[pi] == ci, columns[pj] == cj
+        ri, pi, wi, rj, pj = ri[known_i], pi[known_i], wi[known_i], rj[known_j], pj[known_j]
+        for at in range(0, len(columns), 2_048):
+            own_i, own_j = (pi >= at) & (pi < at + 2_048), (pj >= at) & (pj < at + 2_048)
+            left, right = np.zeros((len(ti), 2_048)), np.zeros((len(tj), 2_048))
+            left[ri[own_i], pi[own_i] - at] = wi[own_i]
+            right[rj[own_j], pj[own_j] - at] = 1
+            both += left @ right.T
+    return both / np.maximum(ti[:, None] + tj[None, :] - both, 1e-300)
+
+
+def spanning(near: np.ndarray) -> tuple[list[int], list[int]]:
+    """Edges of a forest that joins what the links (row, column) of ``near`` join."""
+    i: list[int] = []
+    j: list[int] = []
+    rows, columns = near.any(1), near.any(0)  # still to be met
+    while rows.any():
+        front = np.array([int(rows.argmax())])
+        rows[front] = False
+        while len(front):
+            new = np.flatnonzero(near[front].any(0) & columns)
+            columns[new] = False
+            i.extend(front[near[np.ix_(front, new)].argmax(0)].tolist() if len(new) else [])
+            j.extend(new.tolist())
+            front = np.flatnonzero(near[:, new].any(1) & rows)
+            rows[front] = False
+            i.extend(front.tolist())
+            j.extend(new[near[np.ix_(front, new)].argmax(1)].tolist() if len(front) else [])
+    return i, j
+
+
+def links_across(members: DataFrame, links: DataFrame, texts: DataFrame, weigh: Weights) -> DataFrame:
+    """(a, b): links that join the components of ``links`` as all similar pairs that share a band do.
+
+    In each band key, the texts outside of its largest component (the rest) are compared with all
+    texts of the key, whole and exactly. Both sides are dealt into blocks of BLOCK texts and
+    BLOCK_BYTES bytes, so that a key of any size is spread and a task is bounded; of the links of
+    two blocks, a forest is returned. Keys of two texts were decided before.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids, roots, block = (np.array([r[k] for r in rows], np.int64) for k in ("a", "root", "block"))
-                sums = np.frombuffer(b"".join(r["sums"] for r in rows), np.float32).reshape(-1, SUMS)
-                left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-                bound = likely(sums[left], sums[right])
-                bound[roots[left][:, None] == roots[right][None, :]] = 0
-                i, j = np.nonzero(bound >= SIMILARITY)
-                if best and len(i):
-                    order = np.argsort(-bound[i, j], kind="stable")
-                    i, j = i[order], j[order]
-                    one = np.unique(np.stack([i, roots[right][j]]), axis=1, return_index=True)[1]
-                    two = np.unique(np.stack([j, roots[left][i]]), axis=1, return_index=True)[1]
-                    chosen = np.union1d(one, two)
-                    i, j = i[chosen], j[chosen]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[left[i]]), pa.array(ids[right[j]])], ["a", "b"])
-
-    known = members.select("key", "a").join(components(links).withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    sizes = known.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    several = sizes.where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = checkpointed(known.join(several, "key").withColumn("block", F.pmod(F.xxhash64("a", "key"), "blocks").cast("int")))
-    sums = sketches(texts_of(texts, rows.select(F.col("a").alias("h1")).distinct()), weigh)
-    paired = rows.join(sums, "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    by = paired.groupBy("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).agg(F.collect_list(F.struct("a", "root", "block", "sums")).alias("rows"))
-    return by.select("low", "high", "rows").mapInArrow(run, "a long, b long").distinct()
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        rest = group["rest"].to_numpy()
+        sides = []
+        for side in (np.flatnonzero(rest), np.flatnonzero(~rest)):
+            part = group.take(pa.array(side))
+            rows = part["text"].combine_chunks()
+            rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
+            found = [shingles(rows, at, to) for at, to in slices(rows)] or [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
+            sides.append((part["a"].to_numpy(), part["root"].to_numpy(), tuple(np.concatenate(x) for x in zip(*found, strict=True))))
+        (a, one, x), (b, two, y) = sides
+        i, j = spanning((linked(x, y, weigh) >= SIMILARITY) & (one[:, None] != two[None, :])) if len(a) and len(b) else ([], [])
+        return pa.table({"a": pa.array(a[i], pa.int64()), "b": pa.array(b[j], pa.int64())})
+
+    known = members.select("key", "a", "bytes").join(components(links).withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    known = checkpointed(known)
+    by_root = known.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("main")).where("n > 2 and n > main.n")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    several = sizes.select("key", F.col("main.root").alias("main"), blocks(F.col("n"), F.col("bytes")).alias("all"), blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("rests"))
+    rows = known.join(several, "key")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("root <> main").select("key", "a", "root", F.lit(True).alias("rest"), F.pmod(F.xxhash64("a", "key"), "rests").cast("int").alias("i"), numbers("all").alias("j"))
+    right = rows.select("key", "a", "root", F.lit(False).alias("rest"), numbers("rests").alias("i"), F.pmod(F.xxhash64("a", "key"), "all").cast("int").alias("j"))
+    dealt = checkpointed(left.select(*right.columns).union(right))
+    held = dealt.join(texts_of(texts, dealt.select(F.col("a").alias("h1")).distinct()).withColumnRenamed("h1", "a"), "a")
+    return held.select("key", "i", "j", "a", "root", "rest", "text").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, weigh: Weights) -> DataFrame:
     """(a, b): verified links between different texts (h1 each) that share a band.
 
     First, all texts of a band key are compared with one leader, the text that shares the most band
-    keys with others: the likely origin of its copies. Those that are not like it are sorted by
-    their other band keys, in a different turn for each band, and compared with their neighbour: the
-    text with the longest common run of keys. These steps join most texts with a number of pairs that
-    is linear in the texts of a key. Then the pairs of each key that still holds several components
-    are bounded from above, all of them; the likeliest one of each text and other component is
-    verified, and at last every pair that may be similar and is not in one component by then. So
-    each pair of a key is decided or inside one component; pairs inside one may stay untried.
+    keys with others: the likely origin of its copies. This joins most texts by a number of pairs
+    that is linear in the texts of a key. Then, in every key that still holds several components, the
+    texts outside of the largest one are compared with all others. So each pair of a key is either
+    decided or inside one component, and the components are exactly those of all pairs.
     """
     texts = docs.select(content_key(F.col("text"))[0], "text")
-    members = nodes.where(F.col("keys").isNotNull()).select(F.col("h1").alias("a"), F.posexplode("keys").alias("band", "key"))
+    members = nodes.where(F.col("keys").isNotNull()).select(F.col("h1").alias("a"), "bytes", F.explode("keys").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     shared = checkpointed(members.join(sizes, "key"))
-    members = checkpointed(shared.join(shared.groupBy("a").agg(F.sum("n").alias("weight")), "a").select("key", "a", "band", "weight"))
+    members = checkpointed(shared.join(shared.groupBy("a").agg(F.sum("n").alias("weight")), "a").select("key", "a", "bytes", "weight"))
     heads = members.groupBy("key").agg(F.max_by("a", F.struct("weight", "a")).alias("b"))
-    compared = None
-
-    def compare(candidates: DataFrame) -> DataFrame:
-        """Verifies the pairs that are new, and keeps all results."""
-        nonlocal compared
-        pairs = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        new = checkpointed(verified(checkpointed(pairs), texts, weigh))
-        compared = new if compared is None else compared.union(new)
-        return compared.where("similar").select("a", "b")
-
-    led = checkpointed(members.join(heads, "key").where("a <> b"))
-    links = compare(led)
-    both_ways = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = checkpointed(led.join(both_ways, ["a", "b"], "left_anti").select("key", "a", "band", "weight"))
-    turn = F.concat(F.slice("keys", F.col("band") + 1, BANDS), F.slice("keys", F.lit(1), F.col("band")))
-    order = Window.partitionBy("key").orderBy(turn, "a")
-    ordered = rest.join(nodes.select(F.col("h1").alias("a"), "keys"), "a").withColumn("b", F.lag("a").over(order))
-    links = compare(ordered.where("b is not null"))
-    for best in (True, False):
-        links = compare(open_pairs(members, links, texts, weigh, best))
-    return links
-
+    pairs = checkpointed(members.join(heads, "key").where("a <> b").select("a", "b").distinct())
+    links = checkpointed(verified(pairs, texts, weigh).where("similar").select("a", "b"))
+    return links.union(links_across(members, links, texts, weigh))
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, class_id, n_links, first): the near-duplicate class of every row of ``docs``.
 
-    ``docs`` has doc_id and text. ``class_id`` is the least doc_id of the class, n_links the number
-    of verified links that the row's text has to other texts (pairs that are in one class already
-    may stay untried, so it is a least number), ``first`` true for the rows that
-    stand for the class (one, unless a row repeats whole). Equal texts are one class without being
-    compared; texts without words are near-duplicates of equal texts only. Null texts count as
-    empty ones. A class whose ids are all null has a null class_id.
-    """
+def class_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, n, class_id, leads): ids and texts, the rows that have both, and their class."""
     weigh = Weights(*common_shingles(docs))
     rows = checkpointed(keyed(docs, weigh))
-    nodes = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("did"), F.first("keys").alias("keys"))
+    nodes = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("did"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys"))
     links = checkpointed(near_links(docs, nodes, weigh))
-    roots = components(links)
-    ends = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("h1")).agg(F.count("*").alias("n_links"))
-    labelled = nodes.drop("keys").join(roots.withColumnRenamed("node", "h1"), "h1", "left").withColumn("root", F.coalesce("root", "h1")).join(ends, "h1", "left")
-    labelled = checkpointed(labelled.select("h1", "h2", "root", "did", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    labelled = nodes.select("h1", "h2", "did").join(components(links).withColumnRenamed("node", "h1"), "h1", "left").withColumn("root", F.coalesce("root", "h1"))
+    labelled = checkpointed(labelled)
     best = labelled.groupBy("root").agg(F.min("did").alias("class_id"), F.min_by("h1", F.struct(F.col("did").isNull(), "did", "h1")).alias("head"))
-    known = labelled.join(best, "root").select("h1", "h2", "did", "class_id", "n_links", (F.col("h1") == F.col("head")).alias("leads"))
-    return rows.drop("keys").join(known, ["h1", "h2"]).select("doc_id", "h1", "h2", "class_id", "n_links", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("did"))).alias("first"))
+    known = labelled.join(best, "root").select("h1", "h2", "did", "class_id", (F.col("h1") == F.col("head")).alias("leads"))
+    distinct = rows.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")).join(known, ["h1", "h2"])
+    return distinct.select("doc_id", "h1", "h2", "n", "class_id", (F.col("leads") & F.col("doc_id").eqNullSafe(F.col("did"))).alias("leads"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, class_id, first): the near-duplicate class of every row of ``docs``.
+
+    ``docs`` has doc_id and text; other columns are ignored. ``class_id`` is the least doc_id of the
+    class, ``first`` true for the one row that stands for it. Equal texts are one class without being
+    compared; texts without words are near-duplicates of equal texts only. Null texts count as
+    empty ones. Rows that repeat whole each get a row, and one of them at most is the first. A class
+    whose ids are all null has a null class_id. An empty table gives no rows.
+    """
+    each = class_rows(docs).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return each.select("doc_id", "h1", "h2", "class_id", (F.col("leads") & (F.col("copy") == 1)).alias("first"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The first row of every near-duplicate class, with the columns of ``docs``."""
-    chosen = classes(docs).where("first")
+    """The first row of every near-duplicate class, with the columns of ``docs``.
+
+    Classes are those of ``classes``, with its rules for nulls, empty texts and ties; of rows that
+    repeat whole, one stays. All columns pass through, whatever their names. An empty table gives no
+    rows.
+    """
+    keys = checkpointed(class_rows(docs).where("leads").select("doc_id", "h1", "h2", "n"))
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_tw_row"), "doc_id", *content_key(F.col("text")))
-    keys = chosen.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n"))
     same = held["doc_id"].eqNullSafe(keys["doc_id"]) & (held["h1"] == keys["h1"]) & (held["h2"] == keys["h2"])
     kept = held.join(keys, same).select("_tw_row", held["doc_id"], held["h1"], held["h2"], "n")
     # rows that repeat whole: one of them

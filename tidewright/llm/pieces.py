@@ -27,28 +27,32 @@ from .common import fields
 
 #: The character that stands for a space inside pieces.
 SPACE = "▁"
-#: Parts and pairs that a worker remembers at most; both are forgotten when full.
-CACHE_PARTS = 400_000
-CACHE_PAIRS = 600_000
+#: Parts of each of two generations, and pairs, that a worker remembers at most: some 70 MB together.
+CACHE_PARTS = 150_000
+CACHE_PAIRS = 200_000
 #: Rows of one output batch.
 SLICE = 512
 
 
 class Parts(dict):
-    """Encoded parts by text, in two generations: a full one becomes the old one, and what is used again moves on."""
+    """Encoded parts by text, in two generations: what is used again moves on from the old one."""
 
-    def __init__(self, encode):
-        self.encode, self.old = encode, {}
+    def __init__(self, encode, old: dict | None = None):
+        self.encode, self.old = encode, old or {}
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= CACHE_PARTS:
-            self.old = dict(self)
-            self.clear()
         out = self.old.get(part) or array("I", self.encode(part)).tobytes()
-        if len(part) <= 64:
+        if len(part) <= 32:
             self[part] = out
         return out
 
+    def renewed(self) -> Parts:
+        """Itself, or, once full, a new generation with this one as the old; nothing is copied."""
+        if len(self) < CACHE_PARTS:
+            return self
+        self.old = {}
+        return Parts(self.encode, self)
+
 
 class PieceCodec:
     """Encoder and decoder of a SentencePiece BPE model with byte fallback and no normalisation."""
@@ -205,6 +209,7 @@ class PieceCodec:
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, with begin and end."""
         parts = self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        self.parts = self.parts.renewed()
         return array("I", [self.bos]).tobytes() + b"".join(map(self.parts.__getitem__, parts)) + array("I", [self.eos]).tobytes()
 
     def decode(self, ids: bytes) -> str:

@@ -46,7 +46,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every row of ``documents``."""
-    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", F.col("first").alias("kept"))
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("first").alias("kept"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

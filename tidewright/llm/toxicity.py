@@ -38,7 +38,7 @@ ONE_EDIT, TWO_EDITS = 5, 8
 #: Words on either side of a hit that tell quotation from abuse.
 WINDOW = 8
 #: Words, states and letters of a state that a worker remembers at most.
-CACHE_WORDS, CACHE_STATES = 300_000, 50_000
+CACHE_WORDS, CACHE_STATES = 200_000, 20_000
 
 #: Words that report speech, and pairs of quotation marks.
 REPORTING = frozenset(
