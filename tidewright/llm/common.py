@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,19 +25,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary folder is
-    taken only where none is set, as in tests on one machine.
+    A temporary folder is taken only where none is set on a local master, as in tests.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewright-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables of the rounds of a loop, in a shared folder of their own that ``close`` deletes.
+
+    Unlike a checkpoint, a table that is read back has sizes of its own: estimates that multiply in
+    each join would double their digits in every round.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.tables = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        path = f"{self.folder}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over Arrow batches after each of which the memory pool gives back what it no longer uses.
+
+    Python workers stay for later tasks; without this, each holds on to several hundred MB.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out
+            pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def buckets_for(rows: int) -> int:
     """Number of buckets of a two-level scan over ``rows`` rows."""
     return max(1, -(-rows // BUCKET_ROWS))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, content_key, fields, texts_of
+from .common import checkpointed, content_key, fields, lean, texts_of
 from .components import components
 from .shingles import mixed, shingles, slices
 
@@ -66,7 +66,7 @@ def common_shingles(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     least = FLOOR * n
     if n < 2:
         return n, np.empty(0, np.uint64), np.empty(0, np.float64)
-    full = text.mapInArrow(bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    full = text.mapInArrow(lean(bucket_counts), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > least)
     buckets = np.zeros(BUCKETS, bool)
     buckets[[r["bucket"] for r in full.select("bucket").collect()]] = True  # at most BUCKETS numbers
 
@@ -80,7 +80,7 @@ def common_shingles(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
             values, counts = np.unique(np.concatenate(found or [np.empty(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], ["shingle", "n"])
 
-    often = text.mapInArrow(exact_counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > least).toPandas()
+    often = text.mapInArrow(lean(exact_counts), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > least).toPandas()
     values = often["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
     return n, values[order], often["n"].to_numpy(np.float64)[order]
@@ -167,7 +167,7 @@ def keyed(docs: DataFrame, weigh: Weights) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(rows_of(batch, c) for c in ("doc_id", "h1", "h2", "bytes")), keys], ["doc_id", "h1", "h2", "bytes", "keys"])
 
     rows = docs.select("doc_id", *content_key(F.col("text")), F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("bytes"), "text")
-    return rows.mapInArrow(run, fields(rows, ["doc_id", "h1", "h2", "bytes"], [("keys", T.ArrayType(T.LongType()))]))
+    return rows.mapInArrow(lean(run), fields(rows, ["doc_id", "h1", "h2", "bytes"], [("keys", T.ArrayType(T.LongType()))]))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -207,7 +207,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weigh: Weights) -> DataFrame:
     left = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int")).join(some.select(F.col("h1").alias("a"), F.col("text").alias("ta")), "a")
     heads = parts.join(some.select(F.col("h1").alias("b"), F.col("text").alias("tb")), "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     both = left.drop("parts").join(heads.drop("parts"), ["b", "part"])
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similar boolean")
+    return both.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long, similar boolean")
 
 
 def linked(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray, np.ndarray], weigh: Weights) -> np.ndarray:
@@ -281,7 +281,9 @@ def links_across(members: DataFrame, links: DataFrame, texts: DataFrame, weigh:
             sides.append((part["a"].to_numpy(), part["root"].to_numpy(), tuple(np.concatenate(x) for x in zip(*found, strict=True))))
         (a, one, x), (b, two, y) = sides
         i, j = spanning((linked(x, y, weigh) >= SIMILARITY) & (one[:, None] != two[None, :])) if len(a) and len(b) else ([], [])
-        return pa.table({"a": pa.array(a[i], pa.int64()), "b": pa.array(b[j], pa.int64())})
+        out = pa.table({"a": pa.array(a[i], pa.int64()), "b": pa.array(b[j], pa.int64())})
+        pa.default_memory_pool().release_unused()
+        return out
 
     known = members.select("key", "a", "bytes").join(components(links).withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     known = checkpointed(known)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, checkpointed, content_key, texts_of, word_count
+from .common import WORD, checkpointed, content_key, lean, texts_of, word_count
 from .shingles import prefix_sums, runs_at, slices, word_spans
 
 #: Words of the shortest passage that is reported.
@@ -79,7 +79,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["key", "did", "h1", "place"])
 
     rows = docs.select(id_order(), content_key(F.col("text"))[0], "text")
-    return rows.mapInArrow(run, "key long, did long, h1 long, place int")
+    return rows.mapInArrow(lean(run), "key long, did long, h1 long, place int")
 
 
 def id_order():
@@ -157,7 +157,7 @@ def matches(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     some = texts_of(texts, needed)
     left = pairs.join(some.select(F.col("h1").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(some.select(F.col("h1").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "anchors", "ta", "tb").mapInArrow(run, "a long, begin int, end int, b long, key long, start int")
+    return both.select("a", "b", "anchors", "ta", "tb").mapInArrow(lean(run), "a long, begin int, end int, b long, key long, start int")
 
 
 def text_spans(docs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fields
+from .common import fields, lean
 
 #: The character that stands for a space inside pieces.
 SPACE = "▁"
@@ -239,7 +239,7 @@ def encode_documents(docs: DataFrame, model: str, id_column: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(own.encode, part.column(1).to_pylist()), pa.binary())], [id_column, "ids"])
 
     rows = docs.select(id_column, text_column)
-    return rows.mapInArrow(run, fields(rows, [id_column], [("ids", T.BinaryType())]))
+    return rows.mapInArrow(lean(run), fields(rows, [id_column], [("ids", T.BinaryType())]))
 
 
 def decode_documents(encoded: DataFrame, model: str, id_column: str = "doc_id") -> DataFrame:
@@ -254,4 +254,4 @@ def decode_documents(encoded: DataFrame, model: str, id_column: str = "doc_id")
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], [id_column, "ids", "text"])
 
     rows = encoded.select(id_column, "ids")
-    return rows.mapInArrow(run, fields(rows, [id_column], [("ids", T.BinaryType()), ("text", T.StringType())]))
+    return rows.mapInArrow(lean(run), fields(rows, [id_column], [("ids", T.BinaryType()), ("text", T.StringType())]))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import fields
+from .common import fields, lean
 
 #: The kinds of the base scan, in the order in which spans at one place are listed.
 BASE_KINDS = ("assign", "access", "hex")
@@ -136,4 +136,4 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, SPANS_ARROW)], [id_column, "spans"])
 
     rows = docs.select(id_column, text_column)
-    return rows.mapInArrow(scan, fields(rows, [id_column], [("spans", SPANS)]))
+    return rows.mapInArrow(lean(scan), fields(rows, [id_column], [("spans", SPANS)]))

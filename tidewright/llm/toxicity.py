@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, fields
+from .common import checkpointed, fields, lean
 
 #: Labelled rows that a model is fitted on at most (about; chosen by a hash of the id).
 SAMPLE_ROWS = 12_000
@@ -206,7 +206,7 @@ def measured(docs: DataFrame, words, stems, ordinary, keep: list[str]) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(c, pa.float64()) for c in columns], [*keep, *FEATURES])
 
     rows = docs.select(*keep, "text")
-    return rows.mapInArrow(run, fields(rows, keep, [(f, T.DoubleType()) for f in FEATURES]))
+    return rows.mapInArrow(lean(run), fields(rows, keep, [(f, T.DoubleType()) for f in FEATURES]))
 
 
 def lookalikes(docs: DataFrame, words, stems) -> DataFrame:
@@ -218,7 +218,7 @@ def lookalikes(docs: DataFrame, words, stems) -> DataFrame:
             seen = [w for t in batch.column(0).to_pylist() for w in set(WORD.findall((t or "").lower())) if lexicon.match(w) == 2]
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], ["word"])
 
-    return docs.select("text").mapInArrow(run, "word string").groupBy("word").agg(F.count("*").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "word string").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
