@@ -231,28 +231,51 @@ def test_toxicity(spark, odd, none):
     assert toxicity.measure('he said "you idiot" to them', quoted)[1] > 0 and toxicity.measure("you are an idiot", quoted)[0] > 0
 
 
+def deleted_lines(texts, order, least):
+    """Brute force: lines of the longest runs that begin at an earlier place too, if they hold ``least`` words."""
+    full = {i: [j for j, s in enumerate(t.split("\n")) if s.strip(" \t\n\v\f\r")] for i, t in enumerate(texts)}
+    body = {i: [texts[i].split("\n")[j].strip(" \t\n\v\f\r") for j in full[i]] for i in full}
+    gone, before = {}, []
+    for i in order:
+        out = set()
+        for a in range(len(body[i])):
+            longest = 0
+            for x, y in [*before, *((i, b) for b in range(a))]:
+                n = 0
+                while a + n < len(body[i]) and y + n < len(body[x]) and body[i][a + n] == body[x][y + n]:
+                    n += 1
+                longest = max(longest, n)
+            if sum(len(s.split()) for s in body[i][a : a + longest]) >= least:
+                out.update(full[i][a : a + longest])
+        before += [(i, b) for b in range(len(body[i]))]
+        gone[i] = "\n".join(s for j, s in enumerate(texts[i].split("\n")) if j not in out)
+    return gone
+
+
 def test_line_dedup(spark, odd, none):
     r = random.Random(4)
-    pool = [f"line {i}" for i in range(30)]
-    texts = ["\n".join(r.choice([*pool, "", "  "]) for _ in range(r.randrange(30))) for _ in range(120)] + ["\n".join(pool)] * 3
+    pool = [f"line {i}" for i in range(25)] + ["a long line of eleven words that counts all by itself"] + ["x"] * 3
+    texts = ["\n".join(r.choice([*pool, "", "  "]) for _ in range(r.randrange(25))) for _ in range(40)]
+    shared = [f"own {i}" for i in range(23)]
+    texts += ["\n".join([f"begin {i}", *shared[: 23 - i], f"end {i}"]) for i in range(12)] + ["\n".join(pool)] * 3 + ["x\n" * 30]
     df = frame(spark, texts)
-    for least in (2, 3, 5):
-        seen, want = set(), {}
-        for i, t in sorted(enumerate(texts), key=lambda x: (x[0] == 3, x[0])):
-            all_lines = t.split("\n")
-            full = [j for j, s in enumerate(all_lines) if s.strip(" \t\n\v\f\r")]
-            gone, new = set(), []
-            for a in range(len(full) - least + 1):
-                key = tuple(all_lines[j].strip(" \t\n\v\f\r") for j in full[a : a + least])
-                if key in seen or key in new:
-                    gone.update(full[a : a + least])
-                new.append(key)
-            seen.update(new)
-            want[None if i == 3 else i] = "\n".join(s for j, s in enumerate(all_lines) if j not in gone)
+    order = sorted(range(len(texts)), key=lambda i: (i == 3, i))
+    for least in (2, 7, 10):
+        want = {None if i == 3 else i: t for i, t in deleted_lines(texts, order, least).items()}
         got = {x["row"]["doc_id"]: x["kept"] for x in lines.deduplicated(df, least).collect()}
         assert got == want
     assert lines.deduplicated(odd).count() == odd.count() and lines.deduplicated(none).count() == 0
-    assert lines.without_repeats(odd).columns == odd.columns
+    assert lines.without_repeats(odd).columns == odd.columns and lines.without_repeats(none).count() == 0
+
+
+def test_line_dedup_by_shuffle(spark, monkeypatch):
+    """Where the texts with runs are too many to be broadcast, the result is the same."""
+    text = "one line of words that is long enough to count alone here"
+    df = frame(spark, [text, "other\n" + text, "x", "y", text, text + "\n" + "z" * 2_000_000])
+    want = sorted(str(x["row"]["doc_id"]) + str(x["kept"]) for x in lines.deduplicated(df).collect())
+    monkeypatch.setattr(lines, "BROADCAST_IDS", 0)
+    assert sorted(str(x["row"]["doc_id"]) + str(x["kept"]) for x in lines.deduplicated(df).collect()) == want
+    assert want[0].startswith("0one") and want[1:3] == ["1other", "2x"] and want[3] == "4"
 
 
 def test_components(spark):

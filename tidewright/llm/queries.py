@@ -95,19 +95,28 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start_word", "n_words", "source_id")
 
 
+#: A line goes if it is in a window of ten words that stands earlier: the shortest one from its first
+#: line on, or the shortest one up to its last line. Every run of ten words is a union of such windows.
 OP6_SQL = r"""
 WITH d AS (
     SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS did, coalesce(text, '') AS text, text IS NULL AS no_text FROM documents
 ), s AS (
-    SELECT r, did, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d
+    SELECT r, did, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d
 ), n AS (
     SELECT r, did, i, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM s
 ), b AS (
-    SELECT r, did, i, t, row_number() OVER (PARTITION BY r ORDER BY i) AS pos, lead(t) OVER (PARTITION BY r ORDER BY i) AS t2 FROM n WHERE t <> ''
+    SELECT r, did, i, t, row_number() OVER (PARTITION BY r ORDER BY i) AS pos, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w,
+           sum(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY r ORDER BY i) AS upto FROM n WHERE t <> ''
+), l AS (
+    SELECT r, list(t ORDER BY pos) AS ts FROM b GROUP BY r
 ), w AS (
-    SELECT r, pos, row_number() OVER (PARTITION BY t, t2 ORDER BY did, r, pos) AS copy FROM b WHERE t2 IS NOT NULL
+    SELECT 'on' AS kind, x.r, x.did, x.pos AS s, y.pos AS e FROM b AS x ASOF JOIN (SELECT r, pos, upto FROM b) AS y ON x.r = y.r AND x.upto - x.w + 10 <= y.upto
+    UNION ALL
+    SELECT 'back', x.r, x.did, y.pos, x.pos FROM b AS x ASOF JOIN (SELECT r, pos, upto - w AS before FROM b) AS y ON x.r = y.r AND x.upto - 10 >= y.before
+), c AS (
+    SELECT kind, w.r, s, e, row_number() OVER (PARTITION BY kind, array_to_string(ts[s:e], chr(10)) ORDER BY did, w.r, s) AS copy FROM w JOIN l ON w.r = l.r
 ), g AS (
-    SELECT DISTINCT r, pos + x AS pos FROM w, (VALUES (0), (1)) AS v(x) WHERE copy > 1
+    SELECT DISTINCT r, unnest(range(s, e + 1)) AS pos FROM c WHERE copy > 1
 ), k AS (
     SELECT n.r, n.i, n.line, g.r IS NOT NULL AS gone FROM n LEFT JOIN b ON n.r = b.r AND n.i = b.i LEFT JOIN g ON b.r = g.r AND b.pos = g.pos
 ), o AS (
