@@ -113,19 +113,23 @@ def reach(*alphas: float) -> int:
 def ewm(d: DataFrame, w: Frames, columns: dict[str, tuple[str, float]]) -> DataFrame:
     """Adds exponential means (name: (column, alpha)) inside the blocks of ``with_halo``.
 
-    y = (1 - alpha) y_before + alpha x, from the first value of a series on. Nulls repeat the last
-    mean, and the next value is weighed as if the missing rows were not there. With k the number of
-    values so far, y is (1 - alpha)^k times the running sum of alpha x (1 - alpha)^-k; blocks are
-    short enough for these powers, and their halo long enough for the start not to matter.
+    y = k y_before + (1 - k) x, from the first value of a series on, with k = (1 - alpha)^g /
+    ((1 - alpha)^g + alpha) after a gap of g rows since the last value, which is 1 - alpha for
+    neighbours. Nulls repeat the last mean. With K the running sum of ln k, y is exp(K) times the
+    running sum of (1 - k) x exp(-K); blocks are short enough for these powers, and their halo long
+    enough for the start not to matter.
     """
     so_far = w(Window.unboundedPreceding)
     d = d.withColumn("_from", F.min("rn").over(so_far))
     for name, (column, alpha) in columns.items():
-        d = d.withColumn("_k", F.count(column).over(so_far))
-        weight = F.when((F.col("_k") == 1) & (F.col("_from") == 1), F.lit(1.0)).otherwise(F.lit(alpha))
-        term = weight * F.col(column) * F.pow(F.lit(1 - alpha), -F.col("_k"))
-        d = d.withColumn(name, F.when(F.col("_k") > 0, F.sum(term).over(so_far) * F.pow(F.lit(1 - alpha), F.col("_k"))))
-    return d.drop("_from", "_k")
+        known = F.col(column).isNotNull()
+        d = d.withColumn("_gap", F.col("rn") - F.last(F.when(known, F.col("rn")), ignorenulls=True).over(w(Window.unboundedPreceding, -1)))
+        old = F.pow(F.lit(1 - alpha), F.coalesce("_gap", F.lit(1)))
+        d = d.withColumn("_keep", old / (old + alpha))
+        d = d.withColumn("_log", F.sum(F.when(known, F.log("_keep")).otherwise(0.0)).over(so_far))
+        weight = F.when(F.col("_gap").isNull() & (F.col("_from") == 1), 1.0).otherwise(1 - F.col("_keep"))
+        d = d.withColumn(name, F.sum(weight * F.col(column) * F.exp(-F.col("_log"))).over(so_far) * F.exp("_log"))
+    return d.drop("_from", "_gap", "_keep", "_log")
 
 
 def erf(x: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.windows import numbered
 from ..plans.registry import Registry, columns
-from ..sources.views import bars, forecasts, sql
+from ..sources.views import bars, count_bars, forecasts, sql
 from . import evaluation as e
 from . import strategies as s
 
@@ -28,8 +28,8 @@ def _full(agg: str, x: str, n: int) -> str:
 RULES_SQL = f""", q AS (SELECT *, close / lag(close) OVER {N} - 1 AS r, {_full('avg', 'close', 20)} AS m20, {_full('avg', 'close', 200)} AS m200, {_full('stddev_samp', 'close', 20)} AS sd FROM bars)
 , q2 AS (SELECT *, round(close - m20, 9) AS away, sign(round(close - m20, 9)) AS side, {_full('avg', 'r', 3)} AS r3 FROM q)
 , q3 AS (SELECT *, lag(side) OVER {N} AS before FROM q2)
-, q4 AS (SELECT *, CASE WHEN side <> before AND before IS NOT NULL THEN 0.0 WHEN away > round(2 * sd, 9) THEN -1.0 WHEN away < -round(2 * sd, 9) THEN 1.0 END AS event FROM q3)
-, wide AS (SELECT instrument, ts, rn, close, 1.0 AS buy_hold, coalesce(sign(round(m20 - m200, 9)), 0.0) AS sma_cross, coalesce(-sign(round(r3, 12)), 0.0) AS contrarian,
+, q4 AS (SELECT *, CASE WHEN side * before < 0 THEN 0.0 WHEN away > round(2 * sd, 9) THEN -1.0 WHEN away < -round(2 * sd, 9) THEN 1.0 END AS event FROM q3)
+, wide AS (SELECT instrument, ts, rn, close, 1.0 AS buy_hold, CASE WHEN m200 IS NULL THEN 0.0 WHEN round(m20 - m200, 9) > 0 THEN 1.0 ELSE -1.0 END AS sma_cross, coalesce(-sign(round(r3, 12)), 0.0) AS contrarian,
   coalesce(last_value(event IGNORE NULLS) OVER {N}, 0.0) AS bollinger FROM q4)
 , positions AS (SELECT instrument, ts, rn, close, strategy, CAST(pos AS DOUBLE) AS pos, date_trunc('month', ts) AS split FROM (UNPIVOT wide ON buy_hold, sma_cross, contrarian, bollinger INTO NAME strategy VALUE pos))"""
 WS = "(PARTITION BY strategy, instrument, split ORDER BY ts)"
@@ -200,19 +200,37 @@ R.add("e19_band_places", band_places, sql("bars", _DAILY + """, p AS (SELECT *,
 , qq AS (SELECT strategy, instrument, quantile_cont(balance, [0.05, 0.25, 0.75, 0.95]) AS q FROM p GROUP BY ALL)
 , o AS (SELECT p.*, CASE WHEN round(balance, 6) < round(q[1], 6) THEN 'below' WHEN round(balance, 6) < round(q[2], 6) THEN 'low' WHEN round(balance, 6) <= round(q[3], 6) THEN 'middle' WHEN round(balance, 6) <= round(q[4], 6) THEN 'high' ELSE 'above' END AS place FROM p JOIN qq USING (strategy, instrument))""" + columns("strategy instrument day place", "balance", "o", 2)), 2)
 
-_GATES = {0: 0.3, 1: 0.4, 2: 0.5, 3: 0.7}
+#: Least confidence by regime.
+_GATES = {0: 0.52, 1: 0.52, 2: 0.55, 3: 0.62}
+
+
+def scorable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts of the bars that models can score: those with a range."""
+    return forecasts(spark, sf_dir).where("high > low")
 
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions of the forecast variants."""
-    return s.gated_positions(forecasts(spark, sf_dir), _GATES).select("instrument", "ts", "rn", "ungated", "gated", "top")
+    """Positions of the forecast variants on every bar."""
+    return s.gated_positions(scorable(spark, sf_dir), count_bars(spark, sf_dir), _GATES).select("instrument", "ts", "rn", "ungated", "gated", "top")
+
+
+def _on_bars_sql(names: str, carry: int = 1) -> str:
+    """SQL of decisions ``names`` of table dcs on the bars between the first and the last of them."""
+    held = ", ".join(f"CAST(coalesce(last_value({n} IGNORE NULLS) OVER c, 0) AS DOUBLE) AS {n}" for n in names.split())
+    return f""", span AS (SELECT instrument, min(ts) AS a, max(ts) AS z FROM dcs GROUP BY ALL), onb AS (SELECT b.instrument, b.ts, b.rn, {", ".join(f"dcs.{n}" for n in names.split())} FROM count_bars AS b JOIN span USING (instrument) LEFT JOIN dcs ON dcs.instrument = b.instrument AND dcs.ts = b.ts WHERE b.ts BETWEEN a AND z)
+, o AS (SELECT instrument, ts, rn, {held} FROM onb WINDOW c AS (PARTITION BY instrument ORDER BY rn ROWS BETWEEN {carry} PRECEDING AND CURRENT ROW))"""
 
 
 R.add(
     "p08_forecast_variants", gated,
-    sql("forecasts", """, a AS (SELECT *, CASE WHEN count(confidence) OVER w >= 20 THEN quantile_cont(confidence, 0.9) OVER w END AS bar FROM forecasts WINDOW w AS (PARTITION BY instrument ORDER BY rn ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
-, b AS (SELECT *, CAST(signal AS DOUBLE) AS ungated, CASE WHEN signal <> 0 AND confidence >= [0.3, 0.4, 0.5, 0.7][regime + 1] THEN signal END AS g, CASE WHEN signal <> 0 AND round(confidence, 9) >= round(bar, 9) THEN signal END AS t FROM a)
-, o AS (SELECT *, CAST(coalesce(last_value(g IGNORE NULLS) OVER c, 0) AS DOUBLE) AS gated, CAST(coalesce(last_value(t IGNORE NULLS) OVER c, 0) AS DOUBLE) AS top FROM b WINDOW c AS (PARTITION BY instrument ORDER BY rn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))""" + columns("instrument ts rn", "ungated gated top", "o")),
+    sql("forecasts", """, a AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts) AS k FROM forecasts WHERE high > low)
+, b AS (SELECT *, CASE WHEN count(confidence) OVER w >= 20 THEN quantile_cont(confidence, 0.9) OVER w END AS bar FROM a WINDOW w AS (PARTITION BY instrument ORDER BY k ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
+, dcs AS (SELECT *, signal AS ungated, CASE WHEN round(confidence, 9) >= [0.52, 0.52, 0.55, 0.62][regime + 1] THEN signal ELSE 0 END AS gated, CASE WHEN round(confidence, 9) >= round(bar, 9) THEN signal ELSE 0 END AS top FROM b)""" + _on_bars_sql("ungated gated top") + columns("instrument ts rn", "ungated gated top", "o")),
+)
+R.add(
+    "p10_risk_variants", lambda k, d: s.risk_positions(scorable(k, d), count_bars(k, d)),
+    sql("forecasts", """, dcs AS (SELECT *, CASE WHEN confidence >= 0.52 AND NOT (regime = 3 AND confidence < 0.62) THEN signal ELSE 0 END AS risk_gates, CASE WHEN round(signal * p50 * close / 0.0001, 9) >= 1.3 THEN signal ELSE 0 END AS cost_filter FROM forecasts WHERE high > low)"""
+    + _on_bars_sql("risk_gates cost_filter") + columns("instrument ts rn", "risk_gates cost_filter", "o")),
 )
 R.add(
     "p06_lag_regression", lambda k, d: s.lag_regression(bars(k, d)).select("instrument", "ts", "block", "pos", F.round("weight", 9).alias("weight")),

@@ -42,9 +42,10 @@ def _out(columns: str, source: str, ints: str = "") -> str:
 
 def _ewm(x: str, alpha: float, source: str, name: str, back: int = 1200) -> str:
     """SQL of an exponential mean as a weighted sum over the rows before (what is older is below 1e-20)."""
-    return f"""SELECT t.instrument, t.rn, sum({x.replace('@', 's.')} * CASE WHEN s.k = 1 THEN 1 ELSE {alpha!r} END * power({1 - alpha!r}, t.k - s.k)) AS {name}
-        FROM (SELECT *, count({x.replace('@', '')}) OVER {_w()} AS k FROM {source}) AS t
-        JOIN (SELECT *, count({x.replace('@', '')}) OVER {_w()} AS k FROM {source}) AS s
+    own, keep = x.replace("@", ""), f"power({1 - alpha!r}, coalesce(gap, 1)) / (power({1 - alpha!r}, coalesce(gap, 1)) + {alpha!r})"
+    placed = f"""(SELECT *, sum(CASE WHEN {own} IS NOT NULL THEN ln({keep}) ELSE 0 END) OVER {_w()} AS l, CASE WHEN gap IS NULL THEN 1 ELSE 1 - {keep} END AS w
+        FROM (SELECT *, rn - last_value(CASE WHEN {own} IS NOT NULL THEN rn END IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM {source}))"""
+    return f"""SELECT t.instrument, t.rn, sum({x.replace('@', 's.')} * s.w * exp(t.l - s.l)) AS {name} FROM {placed} AS t JOIN {placed} AS s
         ON s.instrument = t.instrument AND s.rn <= t.rn AND s.rn > t.rn - {back} AND {x.replace('@', 's.')} IS NOT NULL GROUP BY ALL"""
 
 
@@ -60,7 +61,7 @@ _cols = " ".join(f"sma_{n} sma_{n}_dist" for n in _sizes) + " sma_cross_signal"
 _add(
     "f03_f04_moving_averages", f.moving_averages, _cols,
     ", a AS (SELECT *, " + ", ".join(f"{_full('avg({})', 'close', n)} AS sma_{n}, close / sma_{n} - 1 AS sma_{n}_dist" for n in _sizes)
-    + " FROM bars), b AS (SELECT *, CASE WHEN round(sma_20, 9) > round(sma_50, 9) THEN 1 WHEN round(sma_20, 9) < round(sma_50, 9) THEN -1 ELSE 0 END AS sma_cross_signal FROM a) " + _out(_cols, "b", "sma_cross_signal"),
+    + " FROM bars), b AS (SELECT *, CASE WHEN round(sma_20, 9) > round(sma_200, 9) THEN 1 WHEN round(sma_20, 9) < round(sma_200, 9) THEN -1 ELSE 0 END AS sma_cross_signal FROM a) " + _out(_cols, "b", "sma_cross_signal"),
 )
 _cols = "ema_12 ema_26 ema_50 macd_line macd_signal macd_histogram macd_cross"
 _add(
@@ -68,7 +69,7 @@ _add(
     "".join(f", e{n} AS ({_ewm('@close', 2 / (n + 1), 'bars', f'ema_{n}')})" for n in (12, 26, 50))
     + ", m AS (SELECT *, ema_12 - ema_26 AS macd_line FROM bars JOIN e12 USING (instrument, rn) JOIN e26 USING (instrument, rn) JOIN e50 USING (instrument, rn))"
     + f", g AS ({_ewm('@macd_line', 0.2, 'm', 'macd_signal')})"
-    + ", b AS (SELECT *, macd_line - macd_signal AS macd_histogram, CASE WHEN round(macd_line, 9) > round(macd_signal, 9) THEN 1 WHEN round(macd_line, 9) < round(macd_signal, 9) THEN -1 ELSE 0 END AS macd_cross FROM m JOIN g USING (instrument, rn)) "
+    + ", b AS (SELECT *, macd_line - macd_signal AS macd_histogram, CASE WHEN round(macd_line, 9) > round(macd_signal, 9) THEN 1 ELSE -1 END AS macd_cross FROM m JOIN g USING (instrument, rn)) "
     + _out(_cols, "b", "macd_cross"),
 )
 _TR = f""", p AS (SELECT *, lag(close) OVER {_w()} AS pc, high - lag(high) OVER {_w()} AS rise, lag(low) OVER {_w()} - low AS fall FROM bars)
@@ -99,7 +100,7 @@ _cols = "vol_realised_20 vol_gk_20 bb_upper bb_lower bb_middle bb_width bb_pct b
 _add(
     "f12_f17_volatility", f.volatility, _cols,
     f", p AS (SELECT *, ln(close / lag(close) OVER {_w()}) AS r, 0.5 * power(ln(high / low), 2) - (2 * ln(2) - 1) * power(ln(close / open), 2) AS gk FROM bars)"
-    f", q AS (SELECT *, {_full('stddev_samp({})', 'r', 20)} * sqrt(252) AS vol_realised_20, sqrt(greatest({_full('avg({})', 'gk', 20)}, CASE WHEN {_full('avg({})', 'gk', 20)} IS NOT NULL THEN 0 END) * 252) AS vol_gk_20, {_full('avg({})', 'close', 20)} AS bb_middle, {_full('stddev_samp({})', 'close', 20)} AS sd FROM p)"
+    f", q AS (SELECT *, {_full('stddev_samp({})', 'r', 20)} * sqrt(252) AS vol_realised_20, sqrt(CASE WHEN {_full('avg({})', 'gk', 20)} >= 0 THEN {_full('avg({})', 'gk', 20)} END * 252) AS vol_gk_20, {_full('avg({})', 'close', 20)} AS bb_middle, {_full('stddev_samp({})', 'close', 20)} AS sd FROM p)"
     ", s AS (SELECT *, bb_middle + 2 * sd AS bb_upper, bb_middle - 2 * sd AS bb_lower, (bb_upper - bb_lower) / bb_middle AS bb_width, (close - bb_lower) / nullif(bb_upper - bb_lower, 0) AS bb_pct, round(bb_width, 9) AS w9, round(vol_realised_20, 9) AS v9 FROM q)"
     f", b AS (SELECT *, CASE WHEN w9 < round({_full('quantile_cont({}, 0.2)', 'w9', 126).replace('count(w9)', 'count(w9)')}, 9) THEN 1 ELSE 0 END AS bb_squeeze, CASE WHEN v9 > round({_full('quantile_cont({}, 0.75)', 'v9', 252)}, 9) THEN 1 ELSE 0 END AS vol_regime_high FROM s) "
     + _out(_cols, "b", "bb_squeeze vol_regime_high"),
@@ -109,7 +110,7 @@ _cols = "volume_zscore volume_high obv obv_sma_20 obv_trend vwap_20"
 _add(
     "f18_f20_volume", f.volume, _cols,
     f", p AS (SELECT *, volume * coalesce(sign(close - lag(close) OVER {_w()}), 0) AS sv, (high + low + close) / 3 * volume AS tv FROM bars)"
-    f", q AS (SELECT *, CAST(sum(sv) OVER {_w()} AS DOUBLE) AS obv, (volume - {_full('avg({})', 'volume', 20)}) / nullif({_full('stddev_samp({})', 'volume', 20)}, 0) AS volume_zscore, {_full('sum({})', 'tv', 20)} / nullif({_full('sum({})', 'volume', 20)}, 0) AS vwap_20 FROM p)"
+    f", q AS (SELECT *, CASE WHEN rn > 1 THEN CAST(sum(sv) OVER {_w()} AS DOUBLE) END AS obv, (volume - {_full('avg({})', 'volume', 20)}) / nullif({_full('stddev_samp({})', 'volume', 20)}, 0) AS volume_zscore, {_full('sum({})', 'tv', 20)} / nullif({_full('sum({})', 'volume', 20)}, 0) AS vwap_20 FROM p)"
     f", b AS (SELECT *, CASE WHEN round(volume_zscore, 9) > 2 THEN 1 ELSE 0 END AS volume_high, {_full('avg({})', 'obv', 20)} AS obv_sma_20, CASE WHEN obv > obv_sma_20 THEN 1 ELSE -1 END AS obv_trend FROM q) "
     + _out(_cols, "b", "volume_high obv_trend"),
 )
@@ -117,12 +118,12 @@ _cols = "body_ratio upper_shadow lower_shadow direction range_norm close_positio
 _add(
     "f21_candle_shape", f.candle_shape, _cols,
     ", b AS (SELECT *, abs(close - open) / nullif(high - low, 0) AS body_ratio, (high - greatest(open, close)) / nullif(high - low, 0) AS upper_shadow, (least(open, close) - low) / nullif(high - low, 0) AS lower_shadow, "
-    "CAST(sign(close - open) AS INTEGER) AS direction, (high - low) / close AS range_norm, (close - low) / nullif(high - low, 0) AS close_position FROM bars) " + _out(_cols, "b", "direction"),
+    "CASE WHEN close >= open THEN 1 ELSE -1 END AS direction, (high - low) / close AS range_norm, (close - low) / nullif(high - low, 0) AS close_position FROM bars) " + _out(_cols, "b", "direction"),
 )
 _cols = "hour_sin hour_cos dow_sin dow_cos dom_sin dom_cos is_overlap is_london"
 _CAL = (
     "SELECT *, sin(2 * pi() * hour(ts) / 24) AS hour_sin, cos(2 * pi() * hour(ts) / 24) AS hour_cos, sin(2 * pi() * (isodow(ts) - 1) / 5) AS dow_sin, cos(2 * pi() * (isodow(ts) - 1) / 5) AS dow_cos, "
-    "sin(2 * pi() * day(ts) / 31) AS dom_sin, cos(2 * pi() * day(ts) / 31) AS dom_cos, CASE WHEN hour(ts) >= 12 AND hour(ts) < 16 THEN 1 ELSE 0 END AS is_overlap, CASE WHEN hour(ts) >= 7 AND hour(ts) < 16 THEN 1 ELSE 0 END AS is_london"
+    "sin(2 * pi() * day(ts) / 31) AS dom_sin, cos(2 * pi() * day(ts) / 31) AS dom_cos, CASE WHEN hour(ts) >= 12 AND hour(ts) < 16 THEN 1 ELSE 0 END AS is_overlap, CASE WHEN hour(ts) >= 7 AND hour(ts) < 12 THEN 1 ELSE 0 END AS is_london"
 )
 _add("f22_calendar", f.calendar, _cols, f", b AS ({_CAL} FROM bars) " + _out(_cols, "b", "is_overlap is_london"))
 _add("f23_future_calendar", f.future_calendar, _cols, f", n AS (SELECT instrument, unnest(generate_series(max(ts) + INTERVAL 1 DAY, max(ts) + INTERVAL 12 DAY, INTERVAL 1 DAY)) AS ts FROM bars GROUP BY instrument), b AS ({_CAL} FROM n) " + _out(_cols, "b", "is_overlap is_london"))

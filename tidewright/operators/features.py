@@ -31,12 +31,12 @@ def returns(df: DataFrame, steps: tuple[int, ...] = (1, 2, 3, 5, 10)) -> DataFra
 
 
 def moving_averages(df: DataFrame, sizes: tuple[int, ...] = (10, 20, 50, 100, 200)) -> DataFrame:
-    """sma_w, its relative distance, and the sign of sma_20 over sma_50."""
+    """sma_w, its relative distance, and the sign of sma_20 over sma_200."""
 
     def build(d: DataFrame, w: Frames) -> DataFrame:
         for n in sizes:
             d = d.withColumn(f"sma_{n}", w.full(F.avg, "close", n)).withColumn(f"sma_{n}_dist", F.col("close") / F.col(f"sma_{n}") - 1)
-        a, b = F.round("sma_20", 9), F.round("sma_50", 9)
+        a, b = F.round("sma_20", 9), F.round("sma_200", 9)
         return d.withColumn("sma_cross_signal", F.when(a > b, 1).when(a < b, -1).otherwise(0))
 
     return with_halo(df, KEYS, max(sizes), build)
@@ -49,7 +49,7 @@ def moving_exponentials(df: DataFrame) -> DataFrame:
         d = ewm(d, w, {f"ema_{n}": ("close", 2 / (n + 1)) for n in (12, 26, 50)})
         d = ewm(d.withColumn("macd_line", F.col("ema_12") - F.col("ema_26")), w, {"macd_signal": ("macd_line", 0.2)})
         a, b = F.round("macd_line", 9), F.round("macd_signal", 9)
-        return d.withColumn("macd_histogram", F.col("macd_line") - F.col("macd_signal")).withColumn("macd_cross", F.when(a > b, 1).when(a < b, -1).otherwise(0))
+        return d.withColumn("macd_histogram", F.col("macd_line") - F.col("macd_signal")).withColumn("macd_cross", F.when(a > b, 1).otherwise(-1))
 
     return with_halo(df, KEYS, reach(2 / 51, 0.2), build, rows=EWM_BLOCK)
 
@@ -116,7 +116,7 @@ def volatility(df: DataFrame) -> DataFrame:
         d = d.withColumn("vol_realised_20", w.full(F.stddev_samp, "_r", 20) * F.sqrt(F.lit(252.0)))
         d = d.withColumn("_gk", 0.5 * F.pow(F.log(F.col("high") / F.col("low")), F.lit(2)) - (2 * F.log(F.lit(2.0)) - 1) * F.pow(F.log(F.col("close") / F.col("open")), F.lit(2)))
         d = d.withColumn("_gk20", w.full(F.avg, "_gk", 20))
-        d = d.withColumn("vol_gk_20", F.sqrt(F.when(F.col("_gk20").isNotNull(), F.greatest("_gk20", F.lit(0.0))) * 252))
+        d = d.withColumn("vol_gk_20", F.sqrt(F.when(F.col("_gk20") >= 0, F.col("_gk20")) * 252))
         d = d.withColumn("bb_middle", w.full(F.avg, "close", 20)).withColumn("_sd", w.full(F.stddev_samp, "close", 20))
         d = d.withColumn("bb_upper", F.col("bb_middle") + 2 * F.col("_sd")).withColumn("bb_lower", F.col("bb_middle") - 2 * F.col("_sd"))
         d = d.withColumn("bb_width", (F.col("bb_upper") - F.col("bb_lower")) / F.col("bb_middle"))
@@ -146,7 +146,7 @@ def volume(df: DataFrame) -> DataFrame:
     def signed(d: DataFrame, w: Frames) -> DataFrame:
         return d.withColumn("_signed", F.col("volume") * F.coalesce(F.signum(F.col("close") - w.lag("close")), F.lit(0.0)))
 
-    d = running_sum(with_halo(df, KEYS, 1, signed), KEYS, {"obv": "_signed"})
+    d = running_sum(with_halo(df, KEYS, 1, signed), KEYS, {"obv": "_signed"}).withColumn("obv", F.when(F.col("rn") > 1, F.col("obv")))
 
     def build(d: DataFrame, w: Frames) -> DataFrame:
         v = F.col("volume").cast("double")
@@ -166,14 +166,14 @@ def candle_shape(df: DataFrame) -> DataFrame:
         df.withColumn("body_ratio", ratio(F.abs(F.col("close") - F.col("open")), span))
         .withColumn("upper_shadow", ratio(F.col("high") - F.greatest(F.col("open"), F.col("close")), span))
         .withColumn("lower_shadow", ratio(F.least(F.col("open"), F.col("close")) - F.col("low"), span))
-        .withColumn("direction", F.signum(F.col("close") - F.col("open")).cast("int"))
+        .withColumn("direction", F.when(F.col("close") >= F.col("open"), 1).otherwise(-1))
         .withColumn("range_norm", span / F.col("close"))
         .withColumn("close_position", ratio(F.col("close") - F.col("low"), span))
     )
 
 
 def calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Cyclic hour, weekday (of five) and day of month, and the London and overlap sessions."""
+    """Cyclic hour, weekday (of five) and day of month, the overlap of London and New York, and London before it."""
     t = F.col(ts)
     hour, day = F.hour(t), F.weekday(t)
 
@@ -182,7 +182,7 @@ def calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
         return d.withColumn(f"{name}_sin", F.sin(angle)).withColumn(f"{name}_cos", F.cos(angle))
 
     d = cyclic(cyclic(cyclic(df, "hour", hour, 24.0), "dow", day, 5.0), "dom", F.dayofmonth(t), 31.0)
-    return d.withColumn("is_overlap", flag((hour >= 12) & (hour < 16))).withColumn("is_london", flag((hour >= 7) & (hour < 16)))
+    return d.withColumn("is_overlap", flag((hour >= 12) & (hour < 16))).withColumn("is_london", flag((hour >= 7) & (hour < 12)))
 
 
 def future_calendar(df: DataFrame, ahead: int = 12) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from ..functions.windows import Frames, carried, numbered, ratio, with_halo
 from ..plans.registry import Registry, columns
 from ..sources.views import bars, count_bars, forecasts, macro_obs, sql, table, ticks
-from .features import KEYS, flag, true_range
+from .feature_queries import _TR, _ewm
+from .features import KEYS, average_range, flag
 
 R = Registry()
 N = "(PARTITION BY instrument ORDER BY rn)"
@@ -162,16 +163,21 @@ def six(df: DataFrame) -> DataFrame:
 def as_of(bars: DataFrame, obs: DataFrame, names: list[str]) -> DataFrame:
     """Bars with, for each series, the last value public at or before the bar (``available_at`` <= ts; later dates win ties).
 
-    Observations and bars are one time line per series and instrument, an observation before a bar
-    of the same time; the last known value is carried forward in two levels.
+    An observation holds until the next one of its series; its time is dealt over the days that it spans,
+    and bars meet it by an equi-join on the day and the exact bounds. A day holds few observations of a
+    series, so the join makes little more than its result: a row per bar and series, with nulls before
+    the first observation. Any number of instruments and series does.
     """
-    instruments = bars.select("instrument").distinct()
-    marks = obs.select("series", F.col("available_at").alias("ts"), F.struct("date", F.lit(0)).alias("tie"), *names).crossJoin(F.broadcast(instruments.limit(1_000)))
-    lines = bars.select("instrument", "ts").crossJoin(F.broadcast(obs.select("series").distinct().limit(1_000)))
-    events = marks.withColumn("is_bar", F.lit(0)).unionByName(lines.withColumn("is_bar", F.lit(1)).withColumn("tie", F.struct(F.col("ts").alias("date"), F.lit(1))), allowMissingColumns=True)
-    keys = ["instrument", "series"]
-    d = numbered(events.withColumn("v", F.when(F.col("is_bar") == 0, F.struct(*names))), keys, ["ts", "is_bar", "tie"], "year")
-    return carried(d, keys, "v", "known").where("is_bar = 1").select("instrument", "series", "ts", *(F.col(f"known.{n}").alias(n) for n in names))
+    ends = bars.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    placed = numbered(obs.select("series", "date", F.col("available_at").alias("ts"), *names), ["series"], ["ts", "date"], "year")
+    spans = with_halo(placed, ["series"], 1, lambda d, w: d.withColumn("to", F.lead("ts").over(w.base)), ahead=1).select("series", F.col("ts").alias("from"), "to", *names)
+    before = obs.groupBy("series").agg(F.min("available_at").alias("to")).withColumn("from", F.lit(None).cast("timestamp"))
+    spans = spans.unionByName(before, allowMissingColumns=True)
+    first, last = F.lit(ends["a"]).cast("timestamp"), F.lit(ends["b"]).cast("timestamp")
+    days = F.sequence(F.to_date(F.greatest(F.coalesce("from", first), first)), F.to_date(F.least(F.coalesce("to", last), last)))
+    reached = spans.where((F.coalesce("from", first) <= last) & (F.coalesce("to", last) >= first)).withColumn("day", F.explode(days))
+    both = bars.select("instrument", "ts", F.to_date("ts").alias("day")).join(reached, "day")
+    return both.where((F.col("from").isNull() | (F.col("from") <= F.col("ts"))) & (F.col("to").isNull() | (F.col("ts") < F.col("to")))).select("instrument", "series", "ts", *names)
 
 
 R.add("m01_availability", lambda k, d: availability(macro_obs(k, d)), sql("macro_obs", _AVAIL + columns("series date available_at", "value", "obs", 9)), 9)
@@ -187,42 +193,48 @@ R.add("m06_first_release", lambda k, d: table(k, d, "orders").groupBy(F.col("o_o
 def triple_barrier(bars: DataFrame, up: float = 1.0, down: float = 1.0, hold: int = 10, least: float = 0.001) -> DataFrame:
     """First touch of entry + up x range or entry - down x range within ``hold`` bars, else the sign of a return of ``least``.
 
-    The range is the mean true range of 14 bars; the next closes are a bounded array. The last
-    ``hold`` bars have no label.
+    The range is the average true range of 14 bars; the next closes are a bounded array. A bar with a
+    null or zero range has label, return and holding time 0. The last ``hold`` bars have no label.
     """
 
     def build(d: DataFrame, w: Frames) -> DataFrame:
-        d = true_range(d, w).withColumn("atr", F.coalesce(w.full(F.avg, "tr", 14), F.lit(0.0)))
-        d = d.withColumn("next", F.collect_list("close").over(w(1, hold)))
+        d = d.withColumn("atr", F.coalesce("atr_14", F.lit(0.0))).withColumn("next", F.collect_list("close").over(w(1, hold)))
         top, bottom = F.round(F.col("close") + up * F.col("atr"), 9), F.round(F.col("close") - down * F.col("atr"), 9)
         hits = F.transform("next", lambda x: F.when(F.round(x, 9) >= top, 1).when(F.round(x, 9) <= bottom, -1).otherwise(0))
         d = d.withColumn("hits", hits).withColumn("at", F.array_position(F.transform("hits", lambda x: x != 0), F.lit(True)).cast("int"))
         d = d.withColumn("touched", (F.col("at") > 0) & (F.col("atr") > 0)).where(F.size("next") == hold)
-        d = d.withColumn("holding_bars", F.when(F.col("touched"), F.col("at")).otherwise(hold)).withColumn("ret", F.element_at("next", F.col("holding_bars")) / F.col("close") - 1)
+        d = d.withColumn("holding_bars", F.when(F.col("touched"), F.col("at")).when(F.col("atr") > 0, hold).otherwise(0))
+        d = d.withColumn("ret", F.when(F.col("atr") > 0, F.element_at("next", F.greatest("holding_bars", F.lit(1))) / F.col("close") - 1).otherwise(0.0))
         late = F.when(F.col("atr") <= 0, 0).when(F.abs(F.round("ret", 9)) >= least, F.signum("ret").cast("int")).otherwise(0)
         d = d.withColumn("label", F.when(F.col("touched"), F.element_at("hits", F.col("holding_bars"))).otherwise(late))
         return d.withColumn("barrier", F.when(F.col("touched"), F.when(F.col("label") == 1, "upper").otherwise("lower")).otherwise("vertical"))
 
-    return with_halo(bars, KEYS, 15, build, ahead=hold)
+    return with_halo(average_range(bars), KEYS, 1, build, ahead=hold)
 
 
-_TB = f""", t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER {N}), abs(low - lag(close) OVER {N})) AS tr FROM bars)
-, a AS (SELECT *, coalesce(CASE WHEN count(tr) OVER g = 14 THEN avg(tr) OVER g END, 0) AS atr, list(close) OVER (PARTITION BY instrument ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS nx FROM t WINDOW g AS (PARTITION BY instrument ORDER BY rn ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))
+_TB = _TR + f""", xa AS ({_ewm('@tr', 1 / 14, 'r', 'atr_14')})
+, a AS (SELECT r.*, coalesce(atr_14, 0) AS atr, list(close) OVER (PARTITION BY r.instrument ORDER BY r.rn ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS nx FROM r LEFT JOIN xa USING (instrument, rn))
 , h AS (SELECT *, list_transform(nx, lambda x: CASE WHEN round(x, 9) >= round(close + atr, 9) THEN 1 WHEN round(x, 9) <= round(close - atr, 9) THEN -1 ELSE 0 END) AS hits FROM a WHERE len(nx) = 10)
-, f AS (SELECT *, list_position(list_transform(hits, lambda x: x <> 0), true) AS pos, coalesce(pos, 0) > 0 AND atr > 0 AS touched, CASE WHEN touched THEN pos ELSE 10 END AS hb FROM h)
-, tb AS (SELECT *, CAST(hb AS INTEGER) AS holding_bars, nx[hb] / close - 1 AS ret, CAST(CASE WHEN touched THEN hits[hb] WHEN atr <= 0 THEN 0 WHEN abs(round(ret, 9)) >= 0.001 THEN sign(ret) ELSE 0 END AS INTEGER) AS label, CASE WHEN touched THEN CASE WHEN hits[hb] = 1 THEN 'upper' ELSE 'lower' END ELSE 'vertical' END AS barrier FROM f)"""
+, f AS (SELECT *, list_position(list_transform(hits, lambda x: x <> 0), true) AS pos, coalesce(pos, 0) > 0 AND atr > 0 AS touched, CASE WHEN touched THEN pos WHEN atr > 0 THEN 10 ELSE 0 END AS hb FROM h)
+, tb AS (SELECT *, CAST(hb AS INTEGER) AS holding_bars, CASE WHEN atr > 0 THEN nx[hb] / close - 1 ELSE 0 END AS ret, CAST(CASE WHEN touched THEN hits[hb] WHEN atr <= 0 THEN 0 WHEN abs(round(ret, 9)) >= 0.001 THEN sign(ret) ELSE 0 END AS INTEGER) AS label, CASE WHEN touched THEN CASE WHEN hits[hb] = 1 THEN 'upper' ELSE 'lower' END ELSE 'vertical' END AS barrier FROM f)"""
 R.add("l01_triple_barrier", lambda k, d: triple_barrier(bars(k, d)).select("instrument", "ts", "label", "ret", "holding_bars", "barrier"), sql("bars", _TB + columns("instrument ts label holding_bars barrier", "ret", "tb")))
 R.add("l02_meta_labels", lambda k, d: triple_barrier(bars(k, d)).withColumn("signal", F.pmod(F.col("rn"), F.lit(3)).cast("int") - 1).withColumn("meta", flag((F.col("signal") != 0) & (F.col("signal") == F.col("label")))).groupBy("instrument").agg(F.sum("meta").alias("correct"), F.avg(F.when(F.col("signal") != 0, F.col("meta").cast("double"))).alias("precision")), sql("bars", _TB + ", m AS (SELECT *, CAST(rn % 3 AS INTEGER) - 1 AS signal, CASE WHEN signal <> 0 AND signal = label THEN 1 ELSE 0 END AS meta FROM tb), o AS (SELECT instrument, CAST(sum(meta) AS BIGINT) AS correct, avg(CASE WHEN signal <> 0 THEN CAST(meta AS DOUBLE) END) AS precision FROM m GROUP BY ALL)" + columns("instrument correct", "precision", "o")))
 
 
 def sample_weights(df: DataFrame) -> DataFrame:
-    """Weights by size of return and by age, each with a mean of one per instrument."""
-    total = df.groupBy("instrument").agg(F.sum(F.abs("ret")).alias("sum_ret"), F.count("*").alias("n"), F.max("rn").alias("last"), F.sum(F.exp(-1 + (F.col("rn") - 1) / 1000.0)).alias("sum_age"))
+    """Weights by size of return and by age, each with a mean of one per instrument.
+
+    Ages run evenly from exp(-1) at the first row to 1 at the last; their sum is that of a geometric
+    series, so that only the number of rows is needed.
+    """
+    total = df.groupBy("instrument").agg(F.sum(F.abs("ret")).alias("sum_ret"), F.count("*").alias("n"))
+    step = 1 / F.greatest(F.col("n") - 1, F.lit(1))
+    sum_age = F.exp(F.lit(-1.0)) * F.when(F.col("n") == 1, 1.0).otherwise(F.expm1(F.col("n") * step) / F.expm1(step))
     d = df.join(total, "instrument")
-    return d.select("instrument", "ts", (F.abs("ret") / F.nullif("sum_ret", F.lit(0.0)) * F.col("n")).alias("by_return"), (F.exp(-1 + (F.col("rn") - 1) / 1000.0) / F.col("sum_age") * F.col("n")).alias("by_age"))
+    return d.select("instrument", "ts", (F.coalesce(F.abs("ret"), F.lit(0.0)) / F.nullif("sum_ret", F.lit(0.0)) * F.col("n")).alias("by_return"), (F.exp(-1 + (F.col("rn") - 1) * step) / sum_age * F.col("n")).alias("by_age"))
 
 
-R.add("l03_sample_weights", lambda k, d: sample_weights(triple_barrier(bars(k, d))), sql("bars", _TB + ", o AS (SELECT instrument, ts, abs(ret) / nullif(sum(abs(ret)) OVER v, 0) * count(*) OVER v AS by_return, exp(-1 + (rn - 1) / 1000.0) / sum(exp(-1 + (rn - 1) / 1000.0)) OVER v * count(*) OVER v AS by_age FROM tb WINDOW v AS (PARTITION BY instrument))" + columns("instrument ts", "by_return by_age", "o")))
+R.add("l03_sample_weights", lambda k, d: sample_weights(triple_barrier(bars(k, d))), sql("bars", _TB + ", o AS (SELECT instrument, ts, abs(ret) / nullif(sum(abs(ret)) OVER v, 0) * count(*) OVER v AS by_return, exp(-1 + (rn - 1) / (nn - 1)) / sum(exp(-1 + (rn - 1) / (nn - 1))) OVER v * nn AS by_age FROM (SELECT *, count(*) OVER (PARTITION BY instrument) AS nn FROM tb) WINDOW v AS (PARTITION BY instrument))" + columns("instrument ts", "by_return by_age", "o")))
 
 
 def horizon_labels(bars: DataFrame, horizons: tuple[int, ...] = (1, 3, 6, 12), pip: float = 0.0001) -> DataFrame:

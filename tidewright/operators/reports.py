@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.windows import with_halo
 from ..plans.registry import Registry, columns
 from ..sources.views import bars, forecasts, sql, table
-from .decisions import _B, _CASE, _D, _F, N, THRESHOLDS, by, decisions, full, second_model, sign
+from .decisions import _B, _D, _F, N, decisions, full, second_model
 from .evaluation import costed, net_log
 from .evaluation_queries import COSTED_SQL, scored
 from .features import KEYS, flag
@@ -65,20 +65,6 @@ _LEX = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in LEXICON.items()) + "}"
 R.add("n15_lexicon_polarity", lambda k, d: polarity(table(k, d, "documents")), f"WITH w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda x: CAST({_LEX}[x] AS DOUBLE)), lambda x: x IS NOT NULL) AS k FROM documents) SELECT doc_id, CAST(len(k) AS INTEGER) AS n, round(coalesce(list_sum(k) / nullif(len(k), 0), 0), 6) + 0.0 AS polarity FROM w")
 
 
-def filtered(df: DataFrame) -> DataFrame:
-    """Positions with a cost filter: signal x p50 x close in pips must reach cost and half a pip; carried over three rows."""
-    edge = F.round(F.col("signal") * F.col("p50") * F.col("close") / 0.0001, 9)
-
-    def build(d: DataFrame, w) -> DataFrame:
-        d = d.withColumn("_take", F.when((F.col("signal") != 0) & (edge >= 1.3) & (F.round("confidence", 9) >= by(THRESHOLDS, F.col("regime"))), F.col("signal").cast("double")))
-        return d.withColumn("pos", F.coalesce(F.last("_take", ignorenulls=True).over(w(-3)), F.lit(0.0)))
-
-    return with_halo(df, KEYS, 4, build)
-
-
-R.add("p10_cost_filter", lambda k, d: filtered(forecasts(k, d)).select("event_id", "pos"), sql("forecasts", f", a AS (SELECT *, CASE WHEN signal <> 0 AND round(signal * p50 * close / 0.0001, 9) >= 1.3 AND round(confidence, 9) >= {_CASE(THRESHOLDS)} THEN signal END AS t FROM forecasts) SELECT event_id, CAST(coalesce(last_value(t IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY rn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 0) AS DOUBLE) AS pos FROM a"))
-
-
 def latest_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest position of every rule and instrument."""
     from .evaluation_queries import positions
