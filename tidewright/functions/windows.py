@@ -11,9 +11,10 @@ carried values have two levels: blocks, and rows inside one.
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -23,6 +24,26 @@ BLOCK = 4_096
 EWM_BLOCK = 1_024
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints, which all executors share: the one in ``spark.checkpoint.dir``.
+
+    A temporary folder is taken only where none is set on a local master, as in tests.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewright-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read from a checkpoint by all that follows: what is used several times isn't planned again."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], unit: str = "month", name: str = "rn") -> DataFrame:
     """Adds the 1-based place of a row in its series, ordered by ``order`` (a timestamp first).
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.windows import normal_cdf, numbered, ratio, running_max, running_sum, with_halo
+from ..functions.windows import normal_cdf, numbered, ratio, running_max, running_sum, settled, with_halo
 from ..plans.registry import Registry, columns
 from ..sources.views import bars, forecasts, news, sql, ticks
 from .features import KEYS, flag
@@ -24,6 +24,8 @@ MAX_POSITION = {0: 0.20, 1: 0.20, 2: 0.15, 3: 0.05}
 #: Spread multipliers by session, and the spreads in pips of the views' instruments.
 SESSIONS = {"overlap": 0.70, "london": 0.85, "new_york": 0.90, "asian": 1.40, "weekend": 2.50}
 TYPICAL, WIDE, TIGHTEST = 0.8, 2.5, 0.3
+#: Units of a lot, most units of a position, least confidence of a trade, least share of a position for a limit order.
+LOT, MOST_UNITS, TRADE_FROM, LIMIT_FROM = 100_000, 500_000, 0.52, 0.58
 PIP = 0.0001
 
 
@@ -141,28 +143,7 @@ R.add("n09_score_reuse", lambda k, d: news(k, d).join(distinct_news(news(k, d)).
 R.add("s10_articles", lambda k, d: news(k, d).where(F.trim("full_text") != "").select("doc_id", "published_at", F.length(F.trim("full_text")).alias("length"), "text_hash"), sql("news", "SELECT doc_id, published_at, CAST(length(trim(full_text, ' ')) AS INTEGER) AS length, text_hash FROM news WHERE trim(full_text, ' ') <> ''"))
 
 
-# Decision fusion -----------------------------------------------------------------------------
-
-
-def decide(df: DataFrame) -> DataFrame:
-    """Price and text signals to a decision: regime weights, 1.2 on agreement, 0.6 on conflict, dead zone 0.08, 0.85 if uncertain."""
-    text = F.col("b_signal") * F.col("b_confidence")
-    w = by(PRICE_WEIGHTS, F.col("regime"))
-    raw = F.col("f_signal") * F.col("f_confidence") * w + text * (1 - w)
-    both = (F.col("f_signal") != 0) & (F.col("b_signal") != 0)
-    raw = raw * F.when(both & (F.col("f_signal") == F.col("b_signal")), 1.2).when(both, 0.6).otherwise(1.0)
-    certain = F.pmod("event_id", F.lit(5)) != 0
-    d = df.withColumn("raw", raw).withColumn("d_signal", sign(raw, 0.08)).withColumn("d_confidence", F.least(F.abs("raw"), F.lit(1.0)) * F.when(certain, 1.0).otherwise(0.85))
-    trade = (F.col("d_signal") != 0) & (F.round("d_confidence", 9) >= 0.25)
-    return d.withColumn("action", F.when(trade, "trade").otherwise("flat")).withColumn("units", F.when(trade, F.col("d_signal") * 10_000).otherwise(0))
-
-
-_D = _F + f""", d1 AS (SELECT *, (f_signal * f_confidence * {_CASE(PRICE_WEIGHTS)} + b_signal * b_confidence * (1 - {_CASE(PRICE_WEIGHTS)})) * CASE WHEN f_signal <> 0 AND f_signal = b_signal THEN 1.2 WHEN f_signal <> 0 AND b_signal <> 0 THEN 0.6 ELSE 1.0 END AS raw FROM f)
-, dec AS (SELECT *, CASE WHEN round(raw, 9) > 0.08 THEN 1 WHEN round(raw, 9) < -0.08 THEN -1 ELSE 0 END AS d_signal, least(abs(raw), 1) * CASE WHEN event_id % 5 <> 0 THEN 1.0 ELSE 0.85 END AS d_confidence, CASE WHEN d_signal <> 0 AND round(d_confidence, 9) >= 0.25 THEN 'trade' ELSE 'flat' END AS action, CASE WHEN action = 'trade' THEN d_signal * 10000 ELSE 0 END AS units FROM d1)"""
-decisions = lambda k, d: decide(full(k, d))
-R.add("d01_d02_decisions", lambda k, d: decisions(k, d).select("event_id", "d_signal", "action", "units", "d_confidence"), sql("forecasts", _D + columns("event_id d_signal action units", "d_confidence", "dec", 9)), 9)
-R.add("d04_rule_fallback", lambda k, d: forecasts(k, d).select("event_id", F.when((F.col("regime") == 3) & (F.col("confidence") < 0.7), "flat").when((F.col("signal") != 0) & (F.col("confidence") >= 0.52), "trade").otherwise("flat").alias("action"), ((F.col("signal") != 0) | (F.col("regime") == 3)).alias("call_needed")), sql("forecasts", "SELECT event_id, CASE WHEN regime = 3 AND confidence < 0.7 THEN 'flat' WHEN signal <> 0 AND confidence >= 0.52 THEN 'trade' ELSE 'flat' END AS action, signal <> 0 OR regime = 3 AS call_needed FROM forecasts"))
-R.add("d05_state_memo", lambda k, d: forecasts(k, d).select("instrument", F.sha2(F.concat_ws("|", "regime", "signal", F.floor(F.col("confidence") * 10).cast("string")), 256).alias("state")).groupBy("instrument").agg(F.count("*").alias("n"), F.count_distinct("state").alias("states")), sql("forecasts", "SELECT instrument, count(*) AS n, count(DISTINCT sha256(concat_ws('|', regime, signal, CAST(floor(confidence * 10) AS BIGINT)))) AS states FROM forecasts GROUP BY ALL"))
+# Text scores ------------------------------------------------------------------------------------
 
 
 def composite(df: DataFrame) -> DataFrame:
@@ -174,8 +155,9 @@ def composite(df: DataFrame) -> DataFrame:
     return df.withColumn("composite", raw).withColumn("c_signal", sign(raw, 0.10)).withColumn("c_confidence", F.least(F.greatest(F.abs(a), conf) * F.when(agree, 1.15).otherwise(0.85), F.lit(1.0)))
 
 
-_C = _B + """, cp AS (SELECT *, p50 * 1000 AS ta, b_signal * 0.5 AS tb, CASE WHEN round(b_confidence, 9) < 0.15 THEN 0.0 WHEN abs(round(confidence - 0.5, 9)) > 0.4 AND round(b_confidence, 9) > 0.5 THEN 0.75 ELSE 0.6 END AS wb, (1 - wb) * ta + wb * tb AS composite,
+_CP = """, cp AS (SELECT *, p50 * 1000 AS ta, b_signal * 0.5 AS tb, CASE WHEN round(b_confidence, 9) < 0.15 THEN 0.0 WHEN abs(round(confidence - 0.5, 9)) > 0.4 AND round(b_confidence, 9) > 0.5 THEN 0.75 ELSE 0.6 END AS wb, (1 - wb) * ta + wb * tb AS composite,
   CASE WHEN round(composite, 9) > 0.1 THEN 1 WHEN round(composite, 9) < -0.1 THEN -1 ELSE 0 END AS c_signal, least(greatest(abs(ta), b_confidence) * CASE WHEN CASE WHEN round(ta, 9) > 0.15 THEN 1 WHEN round(ta, 9) < -0.15 THEN -1 ELSE 0 END = b_signal THEN 1.15 ELSE 0.85 END, 1) AS c_confidence FROM b)"""
+_C = _B + _CP
 R.add("n12_composite", lambda k, d: composite(second_model(forecasts(k, d))).select("event_id", "c_signal", "composite", "c_confidence"), sql("forecasts", _C + columns("event_id c_signal", "composite c_confidence", "cp")))
 
 
@@ -192,13 +174,44 @@ def adaptive_weight(df: DataFrame) -> DataFrame:
     d = d.withColumn("_before", F.col("_calls") - F.col("_active")).join(rates, ["instrument", "_before"], "left")
     base, rate = by(TEXT_WEIGHTS, F.col("regime")), F.round(F.coalesce("rate", F.lit(0.5)), 9)
     moved = F.when(rate > 0.60, F.least(base * 1.3, F.lit(0.6))).when(rate < 0.45, F.greatest(base * 0.7, F.lit(0.05))).otherwise(base)
-    return d.withColumn("weight", F.least(moved, F.when(F.col("regime") == 3, 0.6).otherwise(0.35)))
+    return d.withColumn("weight", F.least(moved, F.when(F.col("regime") == 3, 0.6).otherwise(0.35))).drop("_move", "_active", "_calls", "_before", "rate")
 
 
-R.add("n13_adaptive_weight", lambda k, d: adaptive_weight(composite(second_model(forecasts(k, d)))).select("event_id", "weight"), sql("forecasts", _C + f""", mv AS (SELECT *, CASE WHEN abs(close - lag(close) OVER {N}) > 1e-5 THEN sign(close - lag(close) OVER {N}) END AS move, c_signal <> 0 AND move IS NOT NULL AS active FROM cp)
+_AW = f""", mv AS (SELECT *, CASE WHEN abs(close - lag(close) OVER {N}) > 1e-5 THEN sign(close - lag(close) OVER {N}) END AS move, c_signal <> 0 AND move IS NOT NULL AS active FROM cp)
 , cs AS (SELECT *, sum(CASE WHEN active THEN 1 ELSE 0 END) OVER {N} AS calls FROM mv), cl AS (SELECT instrument, calls, CASE WHEN c_signal = move THEN 1.0 ELSE 0 END AS hit FROM cs WHERE active)
 , rt AS (SELECT instrument, calls, CASE WHEN count(*) OVER v >= 5 THEN avg(hit) OVER v END AS rate FROM cl WINDOW v AS (PARTITION BY instrument ORDER BY calls ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
-, o AS (SELECT event_id, round(coalesce(rate, 0.5), 9) AS rr, {_CASE(TEXT_WEIGHTS)} AS base, least(CASE WHEN rr > 0.6 THEN least(base * 1.3, 0.6) WHEN rr < 0.45 THEN greatest(base * 0.7, 0.05) ELSE base END, CASE WHEN regime = 3 THEN 0.6 ELSE 0.35 END) AS weight FROM cs LEFT JOIN rt ON rt.instrument = cs.instrument AND rt.calls = cs.calls - CASE WHEN active THEN 1 ELSE 0 END)""" + columns("event_id", "weight", "o")))
+, aw AS (SELECT event_id, round(coalesce(rate, 0.5), 9) AS rr, {_CASE(TEXT_WEIGHTS)} AS base, least(CASE WHEN rr > 0.6 THEN least(base * 1.3, 0.6) WHEN rr < 0.45 THEN greatest(base * 0.7, 0.05) ELSE base END, CASE WHEN regime = 3 THEN 0.6 ELSE 0.35 END) AS weight FROM cs LEFT JOIN rt ON rt.instrument = cs.instrument AND rt.calls = cs.calls - CASE WHEN active THEN 1 ELSE 0 END)"""
+R.add("n13_adaptive_weight", lambda k, d: adaptive_weight(composite(second_model(forecasts(k, d)))).select("event_id", "weight"), sql("forecasts", _C + _AW + columns("event_id", "weight", "aw")))
+
+# Decision fusion -----------------------------------------------------------------------------
+
+
+def decide(df: DataFrame) -> DataFrame:
+    """Price and text signals to a decision: weights, 1.2 on agreement, 0.6 on conflict, dead zone 0.08, 0.85 if uncertain.
+
+    The adaptive weight of the text (``weight``), where there is one above 0, overrides that of the
+    regime. A decision trades 10,000 units from a confidence of 0.52 on; stops and targets are 12 and
+    24 pips where the row has none.
+    """
+    text = F.col("b_signal") * F.col("b_confidence")
+    w = F.when(F.col("weight") > 0, 1 - F.col("weight")).otherwise(by(PRICE_WEIGHTS, F.col("regime")))
+    raw = F.col("f_signal") * F.col("f_confidence") * w + text * (1 - w)
+    given = {c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in (("stop_pips", 12.0), ("target_pips", 24.0))}
+    both = (F.col("f_signal") != 0) & (F.col("b_signal") != 0)
+    raw = raw * F.when(both & (F.col("f_signal") == F.col("b_signal")), 1.2).when(both, 0.6).otherwise(1.0)
+    certain = F.pmod("event_id", F.lit(5)) != 0
+    d = df.withColumn("raw", raw).withColumn("d_signal", sign(raw, 0.08)).withColumn("d_confidence", F.least(F.abs("raw"), F.lit(1.0)) * F.when(certain, 1.0).otherwise(0.85))
+    trade = (F.col("d_signal") != 0) & (F.round("d_confidence", 9) >= TRADE_FROM)
+    return d.withColumns(given).withColumn("action", F.when(trade, "trade").otherwise("flat")).withColumn("units", F.when(trade, F.col("d_signal") * 10_000).otherwise(0))
+
+
+_D = _F + _CP + _AW + f""", d1 AS (SELECT *, CASE WHEN weight > 0 THEN 1 - weight ELSE {_CASE(PRICE_WEIGHTS)} END AS pw, (f_signal * f_confidence * pw + b_signal * b_confidence * (1 - pw)) * CASE WHEN f_signal <> 0 AND f_signal = b_signal THEN 1.2 WHEN f_signal <> 0 AND b_signal <> 0 THEN 0.6 ELSE 1.0 END AS raw FROM f LEFT JOIN aw USING (event_id))
+, dec AS (SELECT *, CASE WHEN round(raw, 9) > 0.08 THEN 1 WHEN round(raw, 9) < -0.08 THEN -1 ELSE 0 END AS d_signal, least(abs(raw), 1) * CASE WHEN event_id % 5 <> 0 THEN 1.0 ELSE 0.85 END AS d_confidence, CASE WHEN d_signal <> 0 AND round(d_confidence, 9) >= 0.52 THEN 'trade' ELSE 'flat' END AS action, CASE WHEN action = 'trade' THEN d_signal * 10000 ELSE 0 END AS units FROM d1)"""
+decisions = lambda k, d: decide(adaptive_weight(composite(full(k, d))))
+R.add("d01_d02_decisions", lambda k, d: decisions(k, d).select("event_id", "d_signal", "action", "units", "d_confidence", "stop_pips", "target_pips"), sql("forecasts", _D + columns("event_id d_signal action units", "d_confidence stop_pips target_pips", "(SELECT *, CAST(12 AS DOUBLE) AS stop_pips, CAST(24 AS DOUBLE) AS target_pips FROM dec)", 9)), 9)
+R.add("d04_rule_fallback", lambda k, d: forecasts(k, d).select("event_id", F.when((F.col("regime") == 3) & (F.col("confidence") < 0.7), "flat").when((F.col("signal") != 0) & (F.col("confidence") >= 0.52), "trade").otherwise("flat").alias("action"), ((F.col("signal") != 0) | (F.col("regime") == 3)).alias("call_needed")), sql("forecasts", "SELECT event_id, CASE WHEN regime = 3 AND confidence < 0.7 THEN 'flat' WHEN signal <> 0 AND confidence >= 0.52 THEN 'trade' ELSE 'flat' END AS action, signal <> 0 OR regime = 3 AS call_needed FROM forecasts"))
+R.add("d05_state_memo", lambda k, d: forecasts(k, d).select("instrument", F.sha2(F.concat_ws("|", "regime", "signal", F.floor(F.col("confidence") * 10).cast("string")), 256).alias("state")).groupBy("instrument").agg(F.count("*").alias("n"), F.count_distinct("state").alias("states")), sql("forecasts", "SELECT instrument, count(*) AS n, count(DISTINCT sha256(concat_ws('|', regime, signal, CAST(floor(confidence * 10) AS BIGINT)))) AS states FROM forecasts GROUP BY ALL"))
+
 
 # Regimes -------------------------------------------------------------------------------------
 
@@ -235,18 +248,26 @@ def session(ts: Column) -> Column:
     return F.when(F.weekday(ts) >= 5, "weekend").when((h >= 12) & (h < 16), "overlap").when((h >= 7) & (h < 12), "london").when((h >= 16) & (h < 21), "new_york").otherwise("asian")
 
 
-def cost(df: DataFrame, units: Column, price: Column, vol: float = 0.001) -> DataFrame:
-    """Adds spread, slippage, impact and total cost (log returns) and the break-even pips of a trade."""
+def cost(df: DataFrame, units: Column, price: Column, vol: float = 0.001, commission: float = 0.0, high_impact: Column | None = None) -> DataFrame:
+    """Adds spread, slippage, commission, impact and total cost (log returns) and the break-even pips of a trade.
+
+    ``commission`` is money per lot; while ``high_impact`` news is out, the spread is the wide one.
+    """
     pips = F.greatest(TYPICAL * by(SESSIONS, F.col("session")), F.lit(TIGHTEST))
+    if high_impact is not None:
+        pips = F.when(high_impact, WIDE).otherwise(pips)
     d = df.withColumn("spread_cost", pips * PIP / price)
     d = d.withColumn("slippage_cost", F.least(0.2 * F.col("spread_cost") + 0.3 * vol, 2 * F.col("spread_cost")))
     d = d.withColumn("impact_cost", F.least(0.1 * vol * F.sqrt(F.abs(units) / 1e10), 0.5 * F.col("spread_cost")))
-    return d.withColumn("total_cost", F.col("spread_cost") + F.col("slippage_cost") + F.col("impact_cost")).withColumn("breakeven_pips", F.col("total_cost") * price / PIP)
+    d = d.withColumn("commission_cost", F.when(F.abs(units) * price > 0, commission / LOT / price).otherwise(0.0))
+    return d.withColumn("total_cost", F.col("spread_cost") + F.col("slippage_cost") + F.col("commission_cost") + F.col("impact_cost")).withColumn("breakeven_pips", F.col("total_cost") * price / PIP)
 
 
 _SESSION = "CASE WHEN isodow(ts) >= 6 THEN 'weekend' WHEN hour(ts) >= 12 AND hour(ts) < 16 THEN 'overlap' WHEN hour(ts) >= 7 AND hour(ts) < 12 THEN 'london' WHEN hour(ts) >= 16 AND hour(ts) < 21 THEN 'new_york' ELSE 'asian' END"
 _COST = f"""session, greatest(0.8 * CASE session WHEN 'overlap' THEN 0.7 WHEN 'london' THEN 0.85 WHEN 'new_york' THEN 0.9 WHEN 'asian' THEN 1.4 ELSE 2.5 END, 0.3) * 0.0001 / price AS spread_cost, least(0.2 * spread_cost + 0.0003, 2 * spread_cost) AS slippage_cost, least(0.0001 * sqrt(abs(units) / 1e10), 0.5 * spread_cost) AS impact_cost, spread_cost + slippage_cost + impact_cost AS total_cost, total_cost * price / 0.0001 AS breakeven_pips"""
-R.add("c01_c02_costs", lambda k, d: cost(ticks(k, d).withColumn("session", session(F.col("ts"))), F.col("size") * 1000, F.col("price")).select("tick_id", "session", "spread_cost", "slippage_cost", "impact_cost", "total_cost", "breakeven_pips"), sql("ticks", f", x AS (SELECT *, size * 1000 AS units, {_SESSION} AS session FROM ticks), o AS (SELECT tick_id, {_COST} FROM x)" + columns("tick_id session", "spread_cost slippage_cost impact_cost total_cost breakeven_pips", "o", 8)), 8)
+_COST_NEWS = _COST.replace("session, greatest(", "session, CASE WHEN hour(ts) = 13 THEN 2.5 ELSE greatest(", 1).replace("END, 0.3) *", "END, 0.3) END *", 1).replace("spread_cost + slippage_cost + impact_cost AS", "CASE WHEN abs(units) * price > 0 THEN 3.5 / 100000 / price ELSE 0 END AS commission_cost, spread_cost + slippage_cost + commission_cost + impact_cost AS")
+# news of high impact comes out in the hour from 13:00 on; 3.5 per lot
+R.add("c01_c02_costs", lambda k, d: cost(ticks(k, d).withColumn("session", session(F.col("ts"))), F.col("size") * 1000, F.col("price"), commission=3.5, high_impact=F.hour("ts") == 13).select("tick_id", "session", "spread_cost", "slippage_cost", "commission_cost", "impact_cost", "total_cost", F.round("breakeven_pips", 6).alias("breakeven_pips")), sql("ticks", f", x AS (SELECT *, size * 1000 AS units, {_SESSION} AS session FROM ticks), o AS (SELECT * REPLACE (round(breakeven_pips, 6) AS breakeven_pips) FROM (SELECT tick_id, {_COST_NEWS} FROM x))" + columns("tick_id session", "spread_cost slippage_cost commission_cost impact_cost total_cost breakeven_pips", "o", 8)), 8)
 R.add("c04_break_even", lambda k, d: cost(ticks(k, d).withColumn("session", session(F.col("ts"))), F.col("size") * 1000, F.col("price")).groupBy("instrument", "session").agg(F.avg("breakeven_pips").alias("breakeven_pips"), F.avg(F.col("total_cost") * 10000).alias("least_return_bps"), F.lit(0.5 + 1 / 3).alias("breakeven_hit_ratio")), sql("ticks", f", x AS (SELECT *, size * 1000 AS units, {_SESSION} AS session FROM ticks), y AS (SELECT instrument, {_COST} FROM x), o AS (SELECT instrument, session, avg(breakeven_pips) AS breakeven_pips, avg(total_cost * 10000) AS least_return_bps, CAST(0.5 AS DOUBLE) + 1.0 / 3 AS breakeven_hit_ratio FROM y GROUP BY ALL)" + columns("instrument session", "breakeven_pips least_return_bps breakeven_hit_ratio", "o")))
 
 
@@ -303,13 +324,21 @@ R.add("c10_rolling_cvar", lambda k, d: rolling_tail(forecasts(k, d)).select("eve
 R.add("c11_day_pnl", lambda k, d: ticks(k, d).withColumn("day", F.to_date("ts")).select("tick_id", (F.col("price") / F.first("price").over(Window.partitionBy("instrument", "day").orderBy("ts", "tick_id")) - 1).alias("day_return")), sql("ticks", ", o AS (SELECT tick_id, price / first_value(price) OVER (PARTITION BY instrument, CAST(ts AS DATE) ORDER BY ts, tick_id) - 1 AS day_return FROM ticks)" + columns("tick_id", "day_return", "o")))
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """Adds the position fraction of a decision, an input of its own, by integer arithmetic on the event id."""
+    return df.withColumn("fraction", F.pmod(F.col("event_id") * 37, F.lit(100)) / 100.0)
+
+
 def fills(df: DataFrame) -> DataFrame:
-    """Next-bar fills: market orders at the open; limit orders 0.3 pips inside, if the next bar trades through; slippage and quality."""
+    """Next-bar fills: market orders at the open; limit orders 0.3 pips inside, if the next bar trades through; slippage and quality.
+
+    A limit order needs a position ``fraction`` of LIMIT_FROM, no crisis and no thin session.
+    """
     def build(d: DataFrame, w) -> DataFrame:
         return d.select("*", *(F.coalesce(F.lead(c).over(w.base), F.col(c)).alias(f"n_{c}") for c in ("open", "high", "low", "close")))
 
     d = with_halo(df, KEYS, 1, build, ahead=1).withColumn("session", session(F.col("ts")))
-    limit = (F.col("regime") != 3) & ~F.col("session").isin("asian", "weekend") & (F.col("confidence") >= 0.58)
+    limit = (F.col("regime") != 3) & ~F.col("session").isin("asian", "weekend") & (F.abs(F.round("fraction", 9)) >= LIMIT_FROM)
     d = d.withColumn("limit", limit).withColumn("px", F.col("close") - F.signum("units") * 0.3 * PIP)
     through = F.when(F.col("units") > 0, F.round("n_low", 9) <= F.round("px", 9)).otherwise(F.round("n_high", 9) >= F.round("px", 9))
     traded = F.col("units") != 0
@@ -321,43 +350,68 @@ def fills(df: DataFrame) -> DataFrame:
     return d.withColumn("slippage_pips", F.abs(F.col("fill_price") - F.col("close")) / PIP).withColumn("fill_quality", F.when(F.col("executed"), good.cast("double")))
 
 
-_FILLS = _D + f""", n AS (SELECT *, {', '.join(f'coalesce(lead({c}) OVER {N}, {c}) AS n_{c}' for c in ('open', 'high', 'low', 'close'))}, {_SESSION} AS session, regime <> 3 AND session NOT IN ('asian', 'weekend') AND confidence >= 0.58 AS lim, close - sign(units) * 0.3 * 0.0001 AS px FROM dec)
+_FILLS = _D + f""", n AS (SELECT *, {', '.join(f'coalesce(lead({c}) OVER {N}, {c}) AS n_{c}' for c in ('open', 'high', 'low', 'close'))}, {_SESSION} AS session, regime <> 3 AND session NOT IN ('asian', 'weekend') AND abs(event_id * 37 % 100 / 100.0) >= 0.58 AS lim, close - sign(units) * 0.3 * 0.0001 AS px FROM dec)
 , fl AS (SELECT *, units <> 0 AND (NOT lim OR CASE WHEN units > 0 THEN round(n_low, 9) <= round(px, 9) ELSE round(n_high, 9) >= round(px, 9) END) AS executed, CASE WHEN executed THEN CASE WHEN lim THEN px ELSE n_open END END AS fill_price, CASE WHEN units = 0 THEN 'none' WHEN NOT lim THEN 'MARKET' WHEN executed THEN 'LIMIT' ELSE 'LIMIT_EXPIRED' END AS order_type,
   abs(fill_price - close) / 0.0001 AS slippage_pips, CASE WHEN executed THEN CASE WHEN CASE WHEN units > 0 THEN round(fill_price, 9) <= round((n_high + n_low + n_close) / 3, 9) ELSE round(fill_price, 9) >= round((n_high + n_low + n_close) / 3, 9) END THEN 1.0 ELSE 0 END END AS fill_quality FROM n)"""
-R.add("c12_c13_fills", lambda k, d: fills(decisions(k, d)).select("event_id", "order_type", "executed", "slippage_pips", "fill_quality"), sql("forecasts", _FILLS + columns("event_id order_type executed", "slippage_pips fill_quality", "fl", 5)), 5)
-R.add("c14_fill_summary", lambda k, d: fills(decisions(k, d)).groupBy("instrument").agg(F.count(F.when(F.col("executed"), 1)).alias("executed"), F.count("*").alias("n"), F.avg("slippage_pips").alias("slippage_pips"), F.avg("fill_quality").alias("fill_quality")), sql("forecasts", _FILLS + ", o AS (SELECT instrument, count(*) FILTER (executed) AS executed, count(*) AS n, avg(slippage_pips) AS slippage_pips, avg(fill_quality) AS fill_quality FROM fl GROUP BY ALL)" + columns("instrument executed n", "slippage_pips fill_quality", "o", 5)), 5)
-R.add("c19_best_execution", lambda k, d: fills(decisions(k, d)).where("executed").select("event_id", (F.round("slippage_pips", 6) <= 3).alias("best_execution"), (F.round("slippage_pips", 6) <= 5).alias("slippage_normal")), sql("forecasts", _FILLS + " SELECT event_id, round(slippage_pips, 6) <= 3 AS best_execution, round(slippage_pips, 6) <= 5 AS slippage_normal FROM fl WHERE executed"))
+R.add("c12_c13_fills", lambda k, d: fills(sized(decisions(k, d))).select("event_id", "order_type", "executed", "slippage_pips", "fill_quality"), sql("forecasts", _FILLS + columns("event_id order_type executed", "slippage_pips fill_quality", "fl", 5)), 5)
+R.add("c14_fill_summary", lambda k, d: fills(sized(decisions(k, d))).groupBy("instrument").agg(F.count(F.when(F.col("executed"), 1)).alias("executed"), F.count("*").alias("n"), F.avg("slippage_pips").alias("slippage_pips"), F.avg("fill_quality").alias("fill_quality")), sql("forecasts", _FILLS + ", o AS (SELECT instrument, count(*) FILTER (executed) AS executed, count(*) AS n, avg(slippage_pips) AS slippage_pips, avg(fill_quality) AS fill_quality FROM fl GROUP BY ALL)" + columns("instrument executed n", "slippage_pips fill_quality", "o", 5)), 5)
+R.add("c19_best_execution", lambda k, d: fills(sized(decisions(k, d))).where("executed").select("event_id", (F.round("slippage_pips", 6) <= 3).alias("best_execution"), (F.round("slippage_pips", 6) <= 5).alias("slippage_normal")), sql("forecasts", _FILLS + " SELECT event_id, round(slippage_pips, 6) <= 3 AS best_execution, round(slippage_pips, 6) <= 5 AS slippage_normal FROM fl WHERE executed"))
 
 
-def ledger(df: DataFrame, equity: float = 10_000.0, stop: float = 0.15) -> DataFrame:
+def pre_trade(df: DataFrame, equity: float = 10_000.0, leverage: float = 0.9) -> DataFrame:
+    """Pre-trade checks of decisions; names of those that fail, joined by a bar."""
+    size = F.abs("units") * F.col("close")
+    checks = {"position_limit": size <= equity * 30 * 0.2, "leverage_limit": size / equity <= leverage, "order_size": F.abs("units") <= 500_000, "news_blackout": F.pmod("event_id", F.lit(11)) != 0, "market_hours": F.weekday("ts") < 5}
+    return df.withColumn("failures", F.concat_ws("|", *(F.when(~ok, name) for name, ok in checks.items())))
+
+
+_PRE = _D + ", pt AS (SELECT *, concat_ws('|', CASE WHEN NOT abs(units) * close <= 60000 THEN 'position_limit' END, CASE WHEN NOT abs(units) * close / 10000 <= 0.9 THEN 'leverage_limit' END, CASE WHEN NOT abs(units) <= 500000 THEN 'order_size' END, CASE WHEN event_id % 11 = 0 THEN 'news_blackout' END, CASE WHEN isodow(ts) >= 6 THEN 'market_hours' END) AS failures FROM dec)"
+R.add("c17_pre_trade", lambda k, d: pre_trade(decisions(k, d)).select("event_id", "failures"), sql("forecasts", _PRE + " SELECT event_id, failures FROM pt"))
+R.add("c20_daily_report", lambda k, d: pre_trade(decisions(k, d)).withColumn("day", F.to_date("ts")).groupBy("day").agg(F.count("*").alias("n"), F.avg((F.col("failures") == "").cast("double")).alias("pass_rate"), F.count(F.when(F.col("failures").contains("news_blackout"), 1)).alias("blackouts")), sql("forecasts", _PRE + ", o AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, avg(CASE WHEN failures = '' THEN 1.0 ELSE 0 END) AS pass_rate, count(*) FILTER (contains(failures, 'news_blackout')) AS blackouts FROM pt GROUP BY 1)" + columns("day n blackouts", "pass_rate", "o")))
+
+def target_units(df: DataFrame, most: int = MOST_UNITS) -> DataFrame:
+    """``units`` that a ledger may hold: of compliant rows that trade or reduce, within ``most`` units; else 0."""
+    allowed = F.coalesce("compliant", F.lit(True)) & F.coalesce("action", F.lit("flat")).isin("trade", "reduce")
+    return df.withColumn("units", F.when(allowed, F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce("units", F.lit(0))))).otherwise(0))
+
+
+def ledger(df: DataFrame, equity: float = 10_000.0, stop: float = 0.15, quote_is_home: bool = True) -> DataFrame:
     """Causal ledger: a decision fills at the next open; the gap is earned on the old position, the bar on the new one.
 
-    The drawdown stop is absorbing, for a flat ledger keeps its drawdown: the path without the stop
-    is computed first, and from the first bar whose open drawdown reaches the limit all targets are 0.
+    Money is that of the quote currency, or, with ``quote_is_home`` false, of the base currency: gains are
+    then divided by the price. The drawdown stop is absorbing, for a flat ledger keeps its drawdown: the
+    path without the stop is computed first, and from the first bar whose open drawdown reaches the limit
+    all targets are 0. The last bar closes what is held, at its close and at the cost of its session.
     """
+    def money(gain: Column, price: str) -> Column:
+        return gain if quote_is_home else gain / F.col(price)
+
     def moves(d: DataFrame, w, target: str) -> DataFrame:
         d = d.withColumn("pos", F.coalesce(w.lag(target), F.lit(0)))
         d = d.withColumn("old", F.coalesce(w.lag("pos"), F.lit(0)))
-        d = d.withColumn("gap", F.coalesce(F.col("old") * (F.col("open") - w.lag("close")), F.lit(0.0)))
-        d = d.withColumn("delta", F.col("pos") - F.col("old")).withColumn("session", session(F.col("ts")))
-        d = cost(d, F.col("delta"), F.col("open")).withColumn("paid", F.when(F.col("delta") != 0, F.col("total_cost") * F.abs("delta") * F.col("open")).otherwise(0.0))
-        return d.withColumn("net", F.col("gap") + F.col("pos") * (F.col("close") - F.col("open")) - F.col("paid"))
+        d = d.withColumn("gap", F.coalesce(money(F.col("old") * (F.col("open") - w.lag("close")), "open"), F.lit(0.0)))
+        d = d.withColumn("delta", F.col("pos") - F.col("old")).withColumn("session", session(F.col("ts"))).withColumn("last", F.lead("rn").over(w.base).isNull())
+        d = cost(d, F.col("delta"), F.col("open")).withColumn("paid", F.when(F.col("delta") != 0, F.col("total_cost") * F.abs("delta") * (F.col("open") if quote_is_home else 1)).otherwise(0.0))
+        return d.withColumn("net", F.col("gap") + money(F.col("pos") * (F.col("close") - F.col("open")), "close") - F.col("paid"))
 
     keep = df.columns
 
     def path(d: DataFrame, target: str) -> DataFrame:
-        d = with_halo(d, KEYS, 3, lambda x, w: moves(x, w, target))
+        d = with_halo(d, KEYS, 3, lambda x, w: moves(x, w, target), ahead=1)
         d = running_sum(d, KEYS, {"total": "net"}).withColumn("equity", equity + F.col("total"))
         d = d.withColumn("at_open", F.col("equity") - F.col("net") + F.col("gap")).withColumn("top", F.greatest("equity", "at_open", F.lit(equity)))
-        d = running_max(d, KEYS, {"peak": "top"})
-        # the peak at the open: before this bar's close
-        return d
+        return running_max(d, KEYS, {"peak": "top"})
 
-    first = path(df, "units").withColumn("open_peak", F.greatest(F.lit(equity), F.col("at_open"), F.coalesce(F.col("peak"), F.lit(equity))))
+    df = settled(df)
+    first = path(df, "units")
     first = with_halo(first.select(*keep, "equity", "at_open", "peak"), KEYS, 1, lambda x, w: x.withColumn("_peak", F.greatest(F.coalesce(w.lag("peak"), F.lit(equity)), F.col("at_open"))))
     broken = first.where((F.col("_peak") - F.col("at_open")) / F.col("_peak") >= stop).groupBy("instrument").agg(F.min("rn").alias("stopped"))
     flat = df.join(broken, "instrument", "left").withColumn("units", F.when(F.col("rn") >= F.col("stopped") - 1, 0).otherwise(F.col("units")))
-    return path(flat, "units").withColumn("drawdown", F.greatest(F.lit(0.0), (F.col("peak") - F.col("equity")) / F.col("peak")))
+    d = path(settled(flat), "units")
+    d = cost(d, F.col("pos"), F.col("close")).withColumn("closing", F.when(F.col("last"), F.col("total_cost") * F.abs("pos") * (F.col("close") if quote_is_home else 1)).otherwise(0.0))
+    d = d.withColumn("delta", F.when(F.col("last"), F.col("delta") - F.col("pos")).otherwise(F.col("delta"))).withColumn("pos", F.when(F.col("last"), 0).otherwise(F.col("pos")))
+    d = d.withColumn("paid", F.col("paid") + F.col("closing")).withColumn("net", F.col("net") - F.col("closing")).withColumn("equity", F.col("equity") - F.col("closing"))
+    return d.withColumn("drawdown", F.greatest(F.lit(0.0), (F.col("peak") - F.col("equity")) / F.col("peak")))
 
 
 def _ledger_sql(target: str, source: str, tag: str) -> str:
@@ -366,33 +420,26 @@ def _ledger_sql(target: str, source: str, tag: str) -> str:
 , {tag}4 AS (SELECT *, 10000 + sum(net) OVER {N} AS equity, equity - net + gap AS at_open FROM {tag}3), {tag}5 AS (SELECT *, max(greatest(equity, at_open, 10000)) OVER {N} AS peak FROM {tag}4)"""
 
 
-_LED = _D + _ledger_sql("units", "dec", "a") + f""", bp AS (SELECT *, greatest(coalesce(lag(peak) OVER {N}, 10000), at_open) AS opeak FROM a5), br AS (SELECT instrument, min(rn) AS stopped FROM bp WHERE (opeak - at_open) / opeak >= 0.15 GROUP BY ALL)
-, fz AS (SELECT dec.* REPLACE (CASE WHEN rn >= stopped - 1 THEN 0 ELSE units END AS units) FROM dec LEFT JOIN br USING (instrument))""" + _ledger_sql("units", "fz", "b") + ", led AS (SELECT *, greatest(0, (peak - equity) / peak) AS drawdown FROM b5)"
-R.add("c15_c16_ledger", lambda k, d: ledger(decisions(k, d)).select("event_id", F.col("pos").cast("int").alias("pos"), F.col("delta").cast("int").alias("delta"), "paid", "net", "equity", "drawdown"), sql("forecasts", _LED + columns("event_id pos delta", "paid net equity drawdown", "led", 4)), 4)
+_TARGET = ", tgt AS (SELECT * REPLACE (CASE WHEN failures = '' AND action IN ('trade', 'reduce') THEN greatest(-500000, least(500000, units)) ELSE 0 END AS units) FROM pt)"
+_LED = _PRE.replace("/ 10000 <= 0.9", "/ 10000 <= 30") + _TARGET + _ledger_sql("units", "tgt", "a") + f""", bp AS (SELECT *, greatest(coalesce(lag(peak) OVER {N}, 10000), at_open) AS opeak FROM a5), br AS (SELECT instrument, min(rn) AS stopped FROM bp WHERE (opeak - at_open) / opeak >= 0.15 GROUP BY ALL)
+, fz AS (SELECT tgt.* REPLACE (CASE WHEN rn >= stopped - 1 THEN 0 ELSE units END AS units) FROM tgt LEFT JOIN br USING (instrument))""" + _ledger_sql("units", "fz", "b") + f"""
+, b6 AS (SELECT event_id, lead(rn) OVER {N} IS NULL AS last, {_COST.replace('/ price', '/ close').replace('* price', '* close').replace('abs(units)', 'abs(pos)')}, CASE WHEN last THEN total_cost * abs(pos) * close ELSE 0 END AS closing FROM b5)
+, led AS (SELECT b5.* REPLACE (CASE WHEN last THEN delta - pos ELSE delta END AS delta, CASE WHEN last THEN 0 ELSE pos END AS pos, paid + closing AS paid, net - closing AS net, equity - closing AS equity), greatest(0, (peak - (b5.equity - closing)) / peak) AS drawdown FROM b5 JOIN b6 USING (event_id))"""
+compliant = lambda k, d: target_units(pre_trade(decisions(k, d), leverage=30.0).withColumn("compliant", F.col("failures") == ""))
+R.add("c15_c16_ledger", lambda k, d: ledger(compliant(k, d)).select("event_id", F.col("pos").cast("int").alias("pos"), F.col("delta").cast("int").alias("delta"), "paid", "net", "equity", "drawdown"), sql("forecasts", _LED + columns("event_id pos delta", "paid net equity drawdown", "led", 4)), 4)
 
 
 def order_flow(df: DataFrame) -> DataFrame:
     """Surveillance of orders: number of the day, orders of the last minute, time since a change of side."""
-    d = df.where("event_id % 2 = 0").withColumn("units", F.when(F.pmod("event_id", F.lit(4)) == 0, 100).otherwise(-100))
+    d = df.withColumn("units", F.when(F.pmod("event_id", F.lit(4)) == 0, 100).otherwise(-100))
     day = Window.partitionBy("instrument", F.to_date("ts")).orderBy("ts", "event_id")
     minute = Window.partitionBy("instrument", F.to_date("ts")).orderBy(F.col("ts").cast("long")).rangeBetween(-59, 0)
     flip = F.signum("units") != F.lag(F.signum("units")).over(day)
     return d.select("event_id", F.row_number().over(day).alias("of_day"), F.count("*").over(minute).alias("in_minute"), F.coalesce(flip & (F.col("ts").cast("long") - F.lag(F.col("ts").cast("long")).over(day) < 900), F.lit(False)).alias("wash"))
 
 
-R.add("c18_order_flow", lambda k, d: order_flow(forecasts(k, d)), sql("forecasts", ", f AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN 100 ELSE -100 END AS units, CAST(ts AS DATE) AS day, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM forecasts WHERE event_id % 2 = 0) SELECT event_id, CAST(row_number() OVER d AS INTEGER) AS of_day, count(*) OVER (PARTITION BY instrument, day ORDER BY sec RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS in_minute, coalesce(units <> lag(units) OVER d AND sec - lag(sec) OVER d < 900, false) AS wash FROM f WINDOW d AS (PARTITION BY instrument, day ORDER BY ts, event_id)"))
-
-
-def pre_trade(df: DataFrame, equity: float = 10_000.0) -> DataFrame:
-    """Pre-trade checks of decisions; names of those that fail, joined by a bar."""
-    size = F.abs("units") * F.col("close")
-    checks = {"position_limit": size <= equity * 30 * 0.2, "leverage_limit": size / equity <= 0.9, "order_size": F.abs("units") <= 500_000, "news_blackout": F.pmod("event_id", F.lit(11)) != 0, "market_hours": F.weekday("ts") < 5}
-    return df.withColumn("failures", F.concat_ws("|", *(F.when(~ok, name) for name, ok in checks.items())))
-
+R.add("c18_order_flow", lambda k, d: order_flow(forecasts(k, d)), sql("forecasts", ", f AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN 100 ELSE -100 END AS units, CAST(ts AS DATE) AS day, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM forecasts) SELECT event_id, CAST(row_number() OVER d AS INTEGER) AS of_day, count(*) OVER (PARTITION BY instrument, day ORDER BY sec RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS in_minute, coalesce(units <> lag(units) OVER d AND sec - lag(sec) OVER d < 900, false) AS wash FROM f WINDOW d AS (PARTITION BY instrument, day ORDER BY ts, event_id)"))
 
-_PRE = _D + ", pt AS (SELECT *, concat_ws('|', CASE WHEN NOT abs(units) * close <= 60000 THEN 'position_limit' END, CASE WHEN NOT abs(units) * close / 10000 <= 0.9 THEN 'leverage_limit' END, CASE WHEN NOT abs(units) <= 500000 THEN 'order_size' END, CASE WHEN event_id % 11 = 0 THEN 'news_blackout' END, CASE WHEN isodow(ts) >= 6 THEN 'market_hours' END) AS failures FROM dec)"
-R.add("c17_pre_trade", lambda k, d: pre_trade(decisions(k, d)).select("event_id", "failures"), sql("forecasts", _PRE + " SELECT event_id, failures FROM pt"))
-R.add("c20_daily_report", lambda k, d: pre_trade(decisions(k, d)).withColumn("day", F.to_date("ts")).groupBy("day").agg(F.count("*").alias("n"), F.avg((F.col("failures") == "").cast("double")).alias("pass_rate"), F.count(F.when(F.col("failures").contains("news_blackout"), 1)).alias("blackouts")), sql("forecasts", _PRE + ", o AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n, avg(CASE WHEN failures = '' THEN 1.0 ELSE 0 END) AS pass_rate, count(*) FILTER (contains(failures, 'news_blackout')) AS blackouts FROM pt GROUP BY 1)" + columns("day n blackouts", "pass_rate", "o")))
 
 # Portfolio -----------------------------------------------------------------------------------
 
@@ -450,7 +497,7 @@ R.add("t06_reconciliation", lambda k, d: (o := order_plan(decisions(k, d))).grou
 
 # Reports -------------------------------------------------------------------------------------
 
-R.add("x06_standings", lambda k, d: ledger(decisions(k, d)).groupBy("instrument").agg(F.max_by(F.struct("equity", "drawdown", "ts"), "rn").alias("x"), F.sum("paid").alias("paid")).select("instrument", "x.ts", "x.equity", "x.drawdown", "paid"), sql("forecasts", _LED + ", o AS (SELECT instrument, arg_max(ts, rn) AS ts, arg_max(equity, rn) AS equity, arg_max(drawdown, rn) AS drawdown, sum(paid) AS paid FROM led GROUP BY ALL)" + columns("instrument ts", "equity drawdown paid", "o", 4)), 4)
+R.add("x06_standings", lambda k, d: ledger(compliant(k, d)).groupBy("instrument").agg(F.max_by(F.struct("equity", "drawdown", "ts"), "rn").alias("x"), F.sum("paid").alias("paid")).select("instrument", "x.ts", "x.equity", "x.drawdown", "paid"), sql("forecasts", _LED + ", o AS (SELECT instrument, arg_max(ts, rn) AS ts, arg_max(equity, rn) AS equity, arg_max(drawdown, rn) AS drawdown, sum(paid) AS paid FROM led GROUP BY ALL)" + columns("instrument ts", "equity drawdown paid", "o", 4)), 4)
 R.add("x07_distributions", lambda k, d: full(k, d).groupBy("instrument").agg(*(F.avg((F.col("f_signal") == s).cast("double")).alias(n) for n, s in (("buy", 1), ("sell", -1), ("flat", 0))), F.avg(F.col("agree").cast("double")).alias("agreement"), F.avg(F.col("actionable").cast("double")).alias("acting")), sql("forecasts", _F + ", o AS (SELECT instrument, avg(CASE WHEN f_signal = 1 THEN 1.0 ELSE 0 END) AS buy, avg(CASE WHEN f_signal = -1 THEN 1.0 ELSE 0 END) AS sell, avg(CASE WHEN f_signal = 0 THEN 1.0 ELSE 0 END) AS flat, avg(CASE WHEN agree THEN 1.0 ELSE 0 END) AS agreement, avg(CASE WHEN actionable THEN 1.0 ELSE 0 END) AS acting FROM f GROUP BY ALL)" + columns("instrument", "buy sell flat agreement acting", "o")))
 R.add("s19_latest_journal", lambda k, d: decisions(k, d).groupBy("instrument").agg(F.max_by(F.struct("event_id", "action", "units", "ts"), "rn").alias("x")).select("instrument", "x.*"), sql("forecasts", _D + " SELECT instrument, event_id, action, units, ts FROM dec QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY rn DESC) = 1"))
 R.add("o09_rolling_monitor", lambda k, d: with_halo(forecasts(k, d), KEYS, 101, lambda x, w: (y := x.withColumn("r", F.col("signal") * F.log(F.lead("close").over(w.base) / F.col("close")))).withColumn("sharpe_100", F.when(F.count("r").over(w(-99)) >= 10, ratio(F.avg("r").over(w(-99)), F.stddev_samp("r").over(w(-99))))).withColumn("hit_50", F.avg(F.when(F.col("r") != 0, F.when(F.col("r") > 0, 1.0).otherwise(0.0))).over(w(-49))), ahead=1).select("event_id", "sharpe_100", "hit_50"), sql("forecasts", f", a AS (SELECT *, signal * ln(lead(close) OVER {N} / close) AS r FROM forecasts), o AS (SELECT event_id, CASE WHEN count(r) OVER s >= 10 THEN avg(r) OVER s / nullif(stddev_samp(r) OVER s, 0) END AS sharpe_100, avg(CASE WHEN r <> 0 THEN CASE WHEN r > 0 THEN 1.0 ELSE 0 END END) OVER h AS hit_50 FROM a WINDOW s AS (PARTITION BY instrument ORDER BY rn ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), h AS (PARTITION BY instrument ORDER BY rn ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))" + columns("event_id", "sharpe_100 hit_50", "o")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.windows import BLOCK, normal_cdf, running_sum
+from ..functions.windows import BLOCK, normal_cdf, numbered, running_sum, with_halo
 
 SERIES = ["strategy", "instrument"]
 #: Round-trip costs in pips, and the annual number of days.
@@ -121,16 +121,14 @@ def sharpe_at(m: DataFrame, costs: dict[str, float] = COSTS) -> DataFrame:
     return d.select(*SERIES, "cost", F.when(std > 0, mean / std * F.sqrt(F.lit(DAYS))).otherwise(0.0).alias("sharpe"))
 
 
-def bands(daily: DataFrame, keys: list[str], longest: int = 20, start: float = 10_000.0) -> DataFrame:
+def bands(daily: DataFrame, keys: list[str], longest: int = 65, start: float = 10_000.0) -> DataFrame:
     """Quantiles of the profit over n = 1..longest consecutive days, over all starting days."""
-    from ..functions.windows import numbered
-
     d = numbered(daily.withColumn("ts", F.col("day").cast("timestamp")), keys, ["ts"], "year")
     d = running_sum(d, keys, {"total": "net"})
-    ends = d.select(*keys, "rn", "total", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).withColumn("from", F.col("rn") - F.col("n"))
-    starts = d.select(*keys, F.col("rn").alias("from"), F.col("total").alias("before"))
-    both = ends.join(starts, [*keys, "from"], "left").where("from = 0 or before is not null")
-    profit = F.lit(start) * F.expm1(F.col("total") - F.coalesce("before", F.lit(0.0)))
+    # totals of the last days are a bounded array; before the first day the total is 0
+    d = with_halo(d, keys, longest, lambda x, w: x.withColumn("last", F.collect_list("total").over(w(-longest))))
+    both = d.select(*keys, "total", "last", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(longest).cast("long"), F.col("rn")))).alias("n"))
+    profit = F.lit(start) * F.expm1(F.col("total") - F.coalesce(F.get("last", (F.size("last") - 1 - F.col("n")).cast("int")), F.lit(0.0)))
     out = both.groupBy(*keys, "n").agg(F.percentile(profit, F.array(*(F.lit(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)))).alias("q"))
     return out.select(*keys, F.col("n").cast("long").alias("n"), *(F.col("q")[i].alias(f"p{p:02d}") for i, p in enumerate((5, 25, 50, 75, 95))))
 

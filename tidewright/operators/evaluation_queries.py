@@ -170,7 +170,7 @@ _DAILY = COSTED_SQL + ", daily AS (SELECT strategy, instrument, CAST(ts AS DATE)
 R.add(
     "e18_expectation_bands", lambda k, d: e.bands(e.daily_returns(scored(k, d)).where("cost = 'spread'").drop("cost"), ["strategy", "instrument"]),
     sql("bars", _DAILY + """, c AS (SELECT *, sum(net) OVER (PARTITION BY strategy, instrument ORDER BY day) AS total, row_number() OVER (PARTITION BY strategy, instrument ORDER BY day) AS i FROM daily)
-, g AS (SELECT unnest(generate_series(1, 20)) AS n), p AS (SELECT c.strategy, c.instrument, g.n, 10000 * (exp(c.total - coalesce(b.total, 0)) - 1) AS x FROM c JOIN g ON c.i >= g.n LEFT JOIN c AS b ON b.strategy = c.strategy AND b.instrument = c.instrument AND b.i = c.i - g.n)
+, g AS (SELECT unnest(generate_series(1, 65)) AS n), p AS (SELECT c.strategy, c.instrument, g.n, 10000 * (exp(c.total - coalesce(b.total, 0)) - 1) AS x FROM c JOIN g ON c.i >= g.n LEFT JOIN c AS b ON b.strategy = c.strategy AND b.instrument = c.instrument AND b.i = c.i - g.n)
 , o AS (SELECT strategy, instrument, n, quantile_cont(x, 0.05) AS p05, quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.5) AS p50, quantile_cont(x, 0.75) AS p75, quantile_cont(x, 0.95) AS p95 FROM p GROUP BY ALL)""" + columns("strategy instrument n", "p05 p25 p50 p75 p95", "o", 5)), 5,
 )
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.windows import shared_folder
 from ..plans.registry import Registry, columns
 from .views import bars, daily_bars, forecasts, macro_obs, sql, table, ticks
 
@@ -53,8 +53,7 @@ def new_rows(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def folder(spark: SparkSession) -> str:
     """A new folder below the shared one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewright-")
-    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
 
 
 def write_store(candles: DataFrame, path: str) -> None:
@@ -128,17 +127,26 @@ def position_payloads(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("tick_id").alias("id"), F.to_json(F.struct(long.alias("long"), short.alias("short"))).alias("payload"))
 
 
-def id_ranges(ids: DataFrame) -> DataFrame:
-    """Ids per group as text ranges (1-3,5), by gaps and islands."""
-    w = Window.partitionBy("part").orderBy("id")
-    d = ids.withColumn("island", F.col("id") - F.row_number().over(w)).groupBy("part", "island").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-    text = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", "a", "b"))
-    return d.groupBy("part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", text.alias("t")))), lambda x: x["t"]), ",").alias("ids"))
+def id_ranges(ids: DataFrame, block: int = 4_096) -> DataFrame:
+    """(part, a, b, text): the ranges of consecutive ids of each part, as gaps and islands.
+
+    Islands are found inside blocks of ids first; only those that touch the border of a block are then
+    joined in the order of their part, so that a part of any size is spread. Repeated ids count once.
+    """
+    own = Window.partitionBy("part", "_block").orderBy("id")
+    d = ids.select("part", "id").distinct().withColumn("_block", F.floor(F.col("id") / block))
+    d = d.withColumn("_island", F.col("id") - F.row_number().over(own)).groupBy("part", "_block", "_island").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    open_end = (F.col("a") == F.col("_block") * block) | (F.col("b") == F.col("_block") * block + block - 1)
+    part = Window.partitionBy("part").orderBy("a")
+    bordering = d.where(open_end).withColumn("_new", F.when(F.lag("b").over(part) == F.col("a") - 1, 0).otherwise(1))
+    joined = bordering.withColumn("_run", F.sum("_new").over(part)).groupBy("part", "_run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    out = d.where(~open_end).select("part", "a", "b").union(joined.select("part", "a", "b"))
+    return out.withColumn("text", F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", "a", "b")))
 
 
 def parse_ranges(texts: DataFrame) -> DataFrame:
-    """The ids of text ranges."""
-    d = texts.select("part", F.explode(F.transform(F.split("ids", ","), lambda t: F.split(t, "-"))).alias("x")).select("part", F.element_at("x", 1).cast("long").alias("a"), F.element_at("x", -1).cast("long").alias("b"))
+    """(part, id): the ids of texts of ranges, one or several with commas."""
+    d = texts.select("part", F.explode(F.transform(F.split("text", ","), lambda t: F.split(t, "-"))).alias("x")).select("part", F.element_at("x", 1).cast("long").alias("a"), F.element_at("x", -1).cast("long").alias("b"))
     return d.select("part", F.explode(F.sequence("a", "b")).alias("id"))
 
 
@@ -152,8 +160,10 @@ R.add("s09_changed_years", lambda k, d: changed_years(macro_obs(k, d), macro_obs
 R.add("s11_quote_payloads", lambda k, d: parse_quotes(ticks(k, d).select("tick_id", F.to_json(F.struct("instrument", F.array(F.struct(F.col("bid").cast("string").alias("price"))).alias("bids"), F.array(F.struct(F.col("ask").cast("string").alias("price"))).alias("asks"))).alias("payload"))), sql("ticks", ", o AS (SELECT tick_id, instrument, bid, ask, (bid + ask) / 2 AS mid, round(ask - bid, 5) AS spread FROM ticks)" + columns("tick_id instrument", "bid ask mid spread", "o", 9)), 9)
 R.add("s13_range_loader", lambda k, d: daily_bars(k, d).where("ts between '1996-01-01' and '1998-12-31'").groupBy("instrument").agg(F.count("*").alias("n"), F.min("ts").alias("first")), sql("daily_bars", "SELECT instrument, count(*) AS n, min(ts) AS first FROM daily_bars WHERE ts BETWEEN '1996-01-01' AND '1998-12-31' GROUP BY ALL"))
 R.add("s15_s17_block_completeness", lambda k, d: table(k, d, "orders").select((F.col("o_orderkey") % 97).alias("block_id")).distinct().join(table(k, d, "orders").where("o_orderstatus = 'F'").select((F.col("o_custkey") % 50).alias("block_id")).distinct(), "block_id", "left_anti"), "SELECT DISTINCT o_orderkey % 97 AS block_id FROM orders WHERE o_orderkey % 97 NOT IN (SELECT o_custkey % 50 FROM orders WHERE o_orderstatus = 'F')")
-R.add("s16_id_ranges", lambda k, d: id_ranges(table(k, d, "events").where("event_id % 7 < 4").select((F.col("event_id") % 3).alias("part"), F.floor(F.col("event_id") / 3).alias("id")).distinct()).select("part", F.md5("ids").alias("ids_md5")), "WITH e AS (SELECT DISTINCT event_id % 3 AS part, event_id // 3 AS id FROM events WHERE event_id % 7 < 4), i AS (SELECT part, id, id - row_number() OVER (PARTITION BY part ORDER BY id) AS g FROM e), r AS (SELECT part, min(id) AS a, max(id) AS b FROM i GROUP BY part, g) SELECT part, md5(string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE concat(a, '-', b) END, ',' ORDER BY a)) AS ids_md5 FROM r GROUP BY part")
-R.add("s16_parse_ranges", lambda k, d: parse_ranges(id_ranges(table(k, d, "events").where("event_id % 7 < 4").select((F.col("event_id") % 3).alias("part"), F.floor(F.col("event_id") / 3).alias("id")).distinct())).groupBy("part").agg(F.count("*").alias("n"), F.sum("id").alias("total")), "WITH e AS (SELECT DISTINCT event_id % 3 AS part, event_id // 3 AS id FROM events WHERE event_id % 7 < 4) SELECT part, count(*) AS n, CAST(sum(id) AS BIGINT) AS total FROM e GROUP BY part")
+_ISLANDS = "WITH i AS (SELECT event_type AS part, event_id AS id, event_id - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS g FROM (SELECT DISTINCT event_type, event_id FROM events))"
+event_ids = lambda k, d: table(k, d, "events").select(F.col("event_type").alias("part"), F.col("event_id").alias("id"))
+R.add("s16_id_ranges", lambda k, d: id_ranges(event_ids(k, d)), _ISLANDS + " SELECT part, min(id) AS a, max(id) AS b, CASE WHEN min(id) = max(id) THEN CAST(min(id) AS VARCHAR) ELSE concat(min(id), '-', max(id)) END AS text FROM i GROUP BY part, g")
+R.add("s16_parse_ranges", lambda k, d: parse_ranges(id_ranges(event_ids(k, d))).groupBy("part").agg(F.count("*").alias("n"), F.sum("id").alias("total")), "SELECT event_type AS part, count(DISTINCT event_id) AS n, CAST(sum(DISTINCT event_id) AS BIGINT) AS total FROM events GROUP BY ALL")
 R.add("s18_daily_pivot", lambda k, d: ticks(k, d).groupBy(F.to_date("ts").alias("day")).pivot("instrument", ["click", "error", "purchase", "signup", "view"]).agg(F.sum("size").cast("long")), sql("ticks", "SELECT CAST(ts AS DATE) AS day, " + ", ".join(f"CAST(sum(size) FILTER (instrument = '{i}') AS BIGINT) AS {i}" for i in ("click", "error", "purchase", "signup", "view")) + " FROM ticks GROUP BY 1"))
 R.add("s20_broker_positions", lambda k, d: net_positions(position_payloads(ticks(k, d))), sql("ticks", ", p AS (SELECT tick_id AS id, CAST(CASE WHEN tick_id % 5 IN (0, 3) THEN size ELSE 0 END AS DOUBLE) AS l, CAST(CASE WHEN tick_id % 5 IN (1, 3) THEN -size ELSE 0 END AS DOUBLE) AS s, price FROM ticks), o AS (SELECT id, l + s AS units, price AS average, l <> 0 AND s <> 0 AS hedged FROM p WHERE l + s <> 0 OR l <> 0 AND s <> 0)" + columns("id hedged", "units average", "o", 9)), 9)
 

@@ -9,7 +9,6 @@ own past.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,22 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.registry import Registry
+from ..functions.windows import numbered, running_sum, shared_folder, with_halo
+from ..plans.registry import Registry, columns
 from ..sources.views import HALF_SPREAD, sql, ticks
 
 R = Registry()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: below the checkpoint folder the session names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewright-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def stream_folder(spark: SparkSession) -> str:
+    """A new folder for a stream's output and checkpoint, below the one that all executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a stream of ticks."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
     price = 1 + F.col("value") / 1e4
     return rows.select(
         F.col("event_type").alias("instrument"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tick_id"), price.alias("price"),
@@ -44,7 +43,7 @@ def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replayed(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream to the end of its source into files, and reads them."""
     spark = stream.sparkSession
-    base = shared_folder(spark)
+    base = stream_folder(spark)
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").format("parquet").trigger(availableNow=True).start(f"{base}/out")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -80,9 +79,9 @@ BOOK = "instrument string, tick_id long, units double, average double, realised
 
 
 def fills(rows: DataFrame) -> DataFrame:
-    """Every tenth tick as a fill: units from its size, in turn bought and sold."""
-    signed = F.when(F.pmod("tick_id", F.lit(20)) == 0, 100.0).otherwise(-100.0) * (F.col("size") + 1)
-    return rows.where("tick_id % 10 = 0").select("instrument", "ts", "tick_id", signed.alias("units"), "price")
+    """Every tick as a fill: units from its size, bought or sold by the parity of its id."""
+    signed = F.when(F.pmod("tick_id", F.lit(2)) == 0, 100.0).otherwise(-100.0) * (F.col("size") + 1)
+    return rows.select("instrument", "ts", "tick_id", signed.alias("units"), "price")
 
 
 def stream_book(rows: DataFrame) -> DataFrame:
@@ -102,21 +101,34 @@ def stream_book(rows: DataFrame) -> DataFrame:
 
 
 def batch_book(rows: DataFrame) -> DataFrame:
-    """The batch twin: an ordered fold of the fills of each (instrument, account)."""
-    start = F.struct(F.lit(0.0).alias("units"), F.lit(0.0).alias("average"), F.lit(0.0).alias("realised"), F.lit(0).cast("long").alias("fills"))
-
-    def step(acc, x):
-        held, new, same = acc["units"], acc["units"] + x["units"], (acc["units"] > 0) == (x["units"] > 0)
-        closing = (held != 0) & ~same
-        gain = F.when(closing, F.least(F.abs(held), F.abs(x["units"])) * (x["price"] - acc["average"]) * F.signum(held)).otherwise(0.0)
-        mean = (F.abs(held) * acc["average"] + F.abs(x["units"]) * x["price"]) / F.nullif(F.abs(held) + F.abs(x["units"]), F.lit(0.0))
-        average = F.when(new == 0, 0.0).when(closing, F.when((new > 0) == (held > 0), acc["average"]).otherwise(x["price"])).otherwise(mean)
-        return F.struct(new.alias("units"), average.alias("average"), (acc["realised"] + gain).alias("realised"), (acc["fills"] + 1).alias("fills"))
-
-    ordered = rows.groupBy("instrument").agg(F.sort_array(F.collect_list(F.struct("ts", "tick_id", "units", "price"))).alias("f"))
-    return ordered.select("instrument", F.aggregate("f", start, step).alias("s")).select("instrument", "s.*")
-
-
+    """The batch twin: the last position of each instrument (units, average price, realised, fills), by scans.
+
+    Units held are a running sum. The cost of what is held grows with a fill on its side, shrinks in
+    proportion with one against it, and starts anew where the side changes: an affine recurrence, of which
+    only the rows from the last start on matter; with the running logarithm of the shrinkage, it is a
+    weighted sum. What is realised is that cost, signed, less all money paid so far.
+    """
+    d = numbered(rows, ["instrument"], ["ts", "tick_id"], "day").withColumn("_money", F.col("units") * F.col("price"))
+    d = running_sum(d, ["instrument"], {"held": "units"}).withColumn("_old", F.col("held") - F.col("units"))
+    more = F.signum("_old") == F.signum("units")
+    starts = (F.signum("held") != F.signum("_old")) | (F.col("_old") == 0)
+    d = d.withColumn("_start", starts).withColumn("_add", F.when(starts, F.abs("held") * F.col("price")).when(more, F.abs("units") * F.col("price")).otherwise(0.0))
+    d = d.withColumn("_log", F.when(starts | more, 0.0).otherwise(F.log(F.abs("held") / F.nullif(F.abs("_old"), F.lit(0.0)))))
+    whole = d.groupBy("instrument").agg(F.max(F.when(F.col("_start"), F.col("rn"))).alias("_from"), F.max_by("held", "rn").alias("units"), F.sum("_money").alias("_paid"), F.count("*").alias("fills"))
+    late = running_sum(d.join(whole.select("instrument", "_from"), "instrument").where("rn >= _from"), ["instrument"], {"_so_far": "_log"})
+    total = late.groupBy("instrument").agg(F.sum("_log").alias("_total"))
+    cost = late.join(total, "instrument").groupBy("instrument").agg(F.sum(F.col("_add") * F.exp(F.col("_total") - F.col("_so_far"))).alias("_cost"))
+    out = whole.join(cost, "instrument").withColumn("average", F.when(F.col("units") == 0, 0.0).otherwise(F.col("_cost") / F.nullif(F.abs("units"), F.lit(0.0))))
+    return out.select("instrument", "units", "average", (F.signum("units") * F.when(F.col("units") == 0, 0.0).otherwise(F.col("_cost")) - F.col("_paid")).alias("realised"), "fills")
+
+
+_N = "(PARTITION BY instrument ORDER BY ts, tick_id)"
+_BOOK = f""", f AS (SELECT *, CASE WHEN tick_id % 2 = 0 THEN 100.0 ELSE -100.0 END::DOUBLE * (size + 1) AS units FROM ticks), h AS (SELECT *, sum(units) OVER {_N} AS held, row_number() OVER {_N} AS rn FROM f), g AS (SELECT *, held - units AS old, sign(held) <> sign(old) OR old = 0 AS starts FROM h)
+, m AS (SELECT *, CASE WHEN starts THEN abs(held) * price WHEN sign(old) = sign(units) THEN abs(units) * price ELSE 0 END AS plus, CASE WHEN starts OR sign(old) = sign(units) THEN 0 ELSE ln(abs(held) / abs(old)) END AS lg FROM g)
+, w AS (SELECT instrument, max(rn) FILTER (starts) AS since, arg_max(held, rn) AS units, sum(units * price) AS paid, count(*) AS fills FROM m GROUP BY ALL)
+, l AS (SELECT m.instrument, plus, sum(lg) OVER (PARTITION BY m.instrument) - sum(lg) OVER (PARTITION BY m.instrument ORDER BY rn) AS rest FROM m JOIN w ON m.instrument = w.instrument AND rn >= since)
+, c AS (SELECT instrument, sum(plus * exp(rest)) AS cost FROM l GROUP BY ALL)
+, o AS (SELECT w.instrument, units, CASE WHEN units = 0 THEN 0 ELSE cost / abs(units) END AS average, sign(units) * CASE WHEN units = 0 THEN 0 ELSE cost END - paid AS realised, fills FROM w JOIN c USING (instrument))"""
 _END = "(SELECT max(ts) FROM ticks) - INTERVAL 10 SECOND"
 R.add(
     "o01_stream_bars", lambda k, d: replayed(stream_bars(tick_stream(k, d))),
@@ -127,14 +139,12 @@ R.add(
     sql("ticks", f", b AS (SELECT instrument, time_bucket(INTERVAL 4 HOUR, ts, TIMESTAMP '2000-01-01 02:00:00') AS t, first(price ORDER BY ts, tick_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, tick_id) AS close, CAST(sum(size) AS BIGINT) AS volume FROM ticks GROUP BY 1, 2) SELECT instrument, t AS ts, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, volume FROM b WHERE t + INTERVAL 4 HOUR <= {_END}"), 8,
 )
 R.add("o03_stream_once_per_bar", lambda k, d: replayed(stream_distinct(tick_stream(k, d).select("instrument", F.date_trunc("hour", "ts").alias("ts")), ["instrument", "ts"], "40 days")), sql("ticks", "SELECT DISTINCT instrument, date_trunc('hour', ts) AS ts FROM ticks"))
-R.add("t07_o06_stream_book", lambda k, d: replayed(stream_book(fills(tick_stream(k, d)))).groupBy("instrument").agg(F.max_by(F.struct("units", "average", "realised", "fills"), "fills").alias("s")).select("instrument", "s.*"), None)
-R.add("t07_batch_book", lambda k, d: batch_book(fills(ticks(k, d))))
+R.add("t07_o06_stream_book", lambda k, d: replayed(stream_book(fills(tick_stream(k, d)))).groupBy("instrument").agg(F.max_by(F.struct("units", "average", "realised", "fills"), "fills").alias("s")).select("instrument", "s.*"), sql("ticks", _BOOK + columns("instrument fills", "units average realised", "o", 4)), 4)
+R.add("t07_batch_book", lambda k, d: batch_book(fills(ticks(k, d))), sql("ticks", _BOOK + columns("instrument fills", "units average realised", "o", 4)), 4)
 
 
 def staleness(rows: DataFrame, minutes: int = 60) -> DataFrame:
     """Silent spells: ticks that come more than ``minutes`` after the one before, per instrument."""
-    from ..functions.windows import numbered, with_halo
-
     d = numbered(rows, ["instrument"], ["ts", "tick_id"], "day")
     d = with_halo(d, ["instrument"], 1, lambda x, w: x.withColumn("silent", (F.col("ts").cast("double") - w.lag("ts").cast("double")) / 60))
     return d.where(F.col("silent") > minutes).select("instrument", "tick_id", "silent")
