@@ -15,11 +15,10 @@ product into the smallest angle.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import matrix, search, usable, width_of
+from .vectors import search, usable
 
 TREES = 40
 BITS = 32
@@ -44,21 +43,26 @@ def strings(x: np.ndarray, seed: int = SEED) -> np.ndarray:
     return out
 
 
-def forest_cell(queries: pa.Table, shard: pa.Table, k: int):
+class Forest:
+    """The trees of a shard: sorted hash strings, and the rows in their order."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, rids: np.ndarray, most: float):
+        square = (x * x).sum(axis=1)
+        self.x, self.small, self.ids = x, x.astype(np.float32), ids
+        self.reach = float(np.sqrt(square.max()))
+        fill = np.sqrt(np.maximum(0, self.reach * self.reach - square))[:, None]
+        codes = strings(np.hstack([x, fill]).astype(np.float32) / np.float32(self.reach))
+        self.order = np.argsort(codes, axis=0).T.astype(np.int32)
+        self.trees = [codes[self.order[t], t] for t in range(TREES)]
+        self.own = {r: i for i, r in enumerate(rids.tolist())}
+
+
+def near_in_shard(shard: Forest, q: np.ndarray, qids: np.ndarray, qrids: np.ndarray, k: int):
     """The k nearest rows found in a shard for each query of a block."""
-    width = width_of(queries["vector"], shard["vector"])
-    q, x = matrix(queries["vector"], width, np.float64), matrix(shard["vector"], width, np.float64)
-    ids, rids = shard["vec_id"].to_numpy(), shard["rid"].to_numpy()
+    x, small, ids, reach, order, trees, own = shard.x, shard.small, shard.ids, shard.reach, shard.order, shard.trees, shard.own
     n = len(ids)
-    square = (x * x).sum(axis=1)
-    reach = float(np.sqrt(square.max()))
-    fill = np.sqrt(np.maximum(0, reach * reach - square))[:, None]
-    codes = strings(np.hstack([x, fill]).astype(np.float32) / np.float32(reach))
     length = np.sqrt((q * q).sum(axis=1))
     own_codes = strings(np.hstack([q / length[:, None], np.zeros((len(q), 1))]).astype(np.float32))
-    order = np.argsort(codes, axis=0).T.copy()
-    trees = [codes[order[t], t] for t in range(TREES)]
-    small = x.astype(np.float32)
     margin = 1e-5 * reach
     # low[d], high[d]: where the queries' prefixes of d bits begin and end in each tree
     low, high = np.zeros((BITS + 1, len(q), TREES), np.int32), np.full((BITS + 1, len(q), TREES), n, np.int32)
@@ -69,9 +73,8 @@ def forest_cell(queries: pa.Table, shard: pa.Table, k: int):
             low[d, :, t] = np.searchsorted(trees[t], prefix[:, t], "left")
             high[d, :, t] = np.searchsorted(trees[t], last[:, t], "right")
     reached = (high - low).sum(axis=2, dtype=np.int64)
-    own = {r: i for i, r in enumerate(rids.tolist())}
     out: tuple[list, list, list, list] = ([], [], [], [])
-    for j, (qrid, qid) in enumerate(zip(queries["rid"].to_pylist(), queries["vec_id"].to_pylist(), strict=True)):
+    for j, (qrid, qid) in enumerate(zip(qrids.tolist(), qids.tolist(), strict=True)):
         mine = own.get(qrid, -1)
         weights = q[j].astype(np.float32)
         seen = np.zeros(n, bool)
@@ -122,8 +125,8 @@ def search_near(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     products of the original vectors in double precision. Rows without an id, and vectors that are
     null, empty, all zero or hold a null or non-finite component take no part. A shorter vector
     counts as filled up with zeros. Ties go to the smaller vec_id. Rows that share a vec_id stay
-    separate.
+    separate: each is a query of its own and a candidate for the others. An empty table gives no rows.
     """
     good = vectors.where(usable(vectors, "vec_id", "embedding") & F.exists("embedding", lambda v: v.cast("double") != 0))
     wide = F.transform("embedding", lambda v: v.cast("double"))
-    return search(good.select(F.col("vec_id").cast("long"), wide.alias("vector")), every, k, SHARD_ROWS, BLOCK_QUERIES, forest_cell, "double")
+    return search(good.select(F.col("vec_id").cast("long"), wide.alias("vector")), "vector", every, k, SHARD_ROWS, BLOCK_QUERIES, Forest, near_in_shard, "double")

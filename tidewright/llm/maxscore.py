@@ -10,11 +10,10 @@ that can still reach the threshold, a few terms at a time. Shards are merged at
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import matrix, search, usable, width_of
+from .vectors import search, usable
 
 #: Rows of a shard and queries of a block: what one task holds.
 SHARD_ROWS = 16_384
@@ -28,9 +27,9 @@ TOGETHER = 64
 SHARE = 0.4
 
 
-def exact_type(q: np.ndarray, x: np.ndarray):
-    """The fastest number type in which every sum of products is exact."""
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1])
+def exact_type(most: float, width: int):
+    """The fastest number type in which every sum of products of components up to ``most`` is exact."""
+    bound = most * most * max(1, width)
     return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
 
 
@@ -44,19 +43,23 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -score[at]))[:k]]
 
 
-def maxscore_cell(queries: pa.Table, shard: pa.Table, k: int):
+class Postings:
+    """The posting lists of a shard, with the bounds of every term."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, rids: np.ndarray, most: float):
+        self.kind = exact_type(most, x.shape[1])
+        self.x = x.astype(self.kind)
+        self.postings = np.ascontiguousarray(self.x.T)
+        self.most, self.least = self.postings.max(axis=1), self.postings.min(axis=1)
+        self.ids, self.own = ids, {r: i for i, r in enumerate(rids.tolist())}
+
+
+def best_of_shard(shard: Postings, q: np.ndarray, qids: np.ndarray, qrids: np.ndarray, k: int):
     """The k best rows of a shard for each query of a block."""
-    width = width_of(queries["terms"], shard["terms"])
-    q, x = matrix(queries["terms"], width, np.int64), matrix(shard["terms"], width, np.int64)
-    kind = exact_type(q, x)
-    ids, rids = shard["vec_id"].to_numpy(), shard["rid"].to_numpy()
-    q, x = q.astype(kind), x.astype(kind)
-    postings = np.ascontiguousarray(x.T)
-    most, least = postings.max(axis=1), postings.min(axis=1)
+    kind, x, postings, most, least, ids, own = shard.kind, shard.x, shard.postings, shard.most, shard.least, shard.ids, shard.own
+    q, qids, qrids, width = q.astype(kind), qids.tolist(), qrids.tolist(), x.shape[1]
     n, seeds = len(ids), min(len(ids), max(SEED_ROWS, 4 * k))
-    own = {r: i for i, r in enumerate(rids.tolist())}
     out: tuple[list, list, list, list] = ([], [], [], [])
-    qrids, qids = queries["rid"].to_pylist(), queries["vec_id"].to_pylist()
     for start in range(0, len(q), TOGETHER):
         some = q[start : start + TOGETHER]
         bounds = np.maximum(some * most, some * least)
@@ -107,8 +110,9 @@ def search_exact(vectors: DataFrame, k: int = 20, every: int = 20, scale: int =
     ``vectors`` has vec_id and embedding; queries are the rows whose vec_id is divisible by
     ``every``, candidates all rows but the query's own. Rows without an id, and vectors that are
     null, empty or hold a null or non-finite component take no part. A shorter vector counts as
-    filled up with zeros. Ties go to the smaller vec_id. Rows that share a vec_id stay separate.
+    filled up with zeros. Ties go to the smaller vec_id. Rows that share a vec_id stay separate:
+    each is a query of its own and a candidate for the others. An empty table gives no rows.
     """
     good = vectors.where(usable(vectors, "vec_id", "embedding"))
     terms = F.transform("embedding", lambda v: F.floor(v.cast("double") * scale).cast("long"))
-    return search(good.select(F.col("vec_id").cast("long"), terms.alias("terms")), every, k, SHARD_ROWS, BLOCK_QUERIES, maxscore_cell, "long")
+    return search(good.select(F.col("vec_id").cast("long"), terms.alias("terms")), "terms", every, k, SHARD_ROWS, BLOCK_QUERIES, Postings, best_of_shard, "long")

@@ -1,13 +1,14 @@
-"""What the two vector searches share: usable vectors, the grid of work, and the merge of shards.
+"""What the two vector searches share: usable vectors, shards of rows, and the merge of shards.
 
-Rows are dealt over shards and queries over blocks of bounded size; a cell of the grid is one block
-of queries against one shard. Every cell gives its best k for each of its queries, and the merge
-keeps the best k of those. Spark's window limit drops most of them before the shuffle.
+Every row goes to one shard of bounded size, and every query to all shards. A task prepares a shard
+once and then answers the queries, block by block, as they stream in; it gives its best k for each.
+The merge keeps the best k of those; Spark's window limit drops most of them before the shuffle. Where
+there are fewer shards than cores, each shard is prepared a few times, for a part of the queries each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed
+from .common import checkpointed, lean
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> Column:
@@ -29,38 +30,54 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> Column:
     return F.col(id_column).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, finite)
 
 
-def search(rows: DataFrame, every: int, k: int, shard_rows: int, block_queries: int, cell: Callable, score_type: str) -> DataFrame:
+def search(rows: DataFrame, vector: str, every: int, k: int, shard_rows: int, block_queries: int, prepare: Callable, answer: Callable, score_type: str) -> DataFrame:
     """Top k of every query row (vec_id divisible by ``every``) among all other rows.
 
-    ``rows`` has vec_id and further columns, which ``cell(queries, shard, k)`` gets as Arrow tables
-    with a column ``rid`` that numbers the rows; it yields lists of (query rid, query vec_id,
-    candidate vec_id, score). Rows that share a vec_id are separate candidates and separate queries.
+    ``rows`` has vec_id and the lists ``vector``. ``prepare(matrix, ids, rids, most)`` gives the state of
+    a shard, where rids number the rows and ``most`` is the largest absolute component of the table;
+    ``answer(state, matrix, ids, rids, k)`` gives lists of (query rid, query vec_id, candidate vec_id,
+    score) for a block of queries. Rows that share a vec_id are separate candidates and separate queries.
     """
-    kept = checkpointed(rows.withColumn("rid", F.monotonically_increasing_id()))
-    n = kept.count()
-    queries = kept.where(F.col("vec_id") % every == 0)
-    shards = max(1, -(-n // shard_rows))
-    blocks = max(1, -(-queries.count() // block_queries))
+    kept = checkpointed(rows.select("vec_id", F.col(vector).alias("vector"), F.monotonically_increasing_id().alias("rid")))
+    sizes = kept.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width"), F.max(F.array_max(F.transform("vector", F.abs))).alias("most")).first()
+    shards = max(1, -(-sizes["n"] // shard_rows))
+    parts = max(1, -(-2 * rows.sparkSession.sparkContext.defaultParallelism // shards))
+    width, most = sizes["width"] or 0, float(sizes["most"] or 0)
     place = F.xxhash64("rid")
-    dealt_queries = queries.withColumn("block", F.pmod(place, F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    dealt_rows = kept.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    kind = {"long": pa.int64(), "double": pa.float64()}[score_type]
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = ([], [], [], [])
-        qrid, qid, vid, score = cell(left, right, k) if left.num_rows and right.num_rows else empty
-        return pa.table({"qrid": pa.array(qrid, pa.int64()), "query_id": pa.array(qid, pa.int64()), "vec_id": pa.array(vid, pa.int64()), "score": pa.array(score, kind)})
-
-    found = dealt_queries.groupBy("block", "shard").cogroup(dealt_rows.groupBy("block", "shard")).applyInArrow(run, f"qrid long, query_id long, vec_id long, score {score_type}")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    shard = kept.select("*", F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks")).select("*", numbers(parts).alias("part"))
+    asked = kept.where(F.col("vec_id") % every == 0).select("*", numbers(shards).alias("shard"), F.lit(True).alias("asks"), F.pmod(place, F.lit(parts)).cast("int").alias("part"))
+    dealt = shard.union(asked).repartition("shard", "part").sortWithinPartitions("shard", "part", "asks")
+    dtype, kind = {"long": (np.int64, pa.int64()), "double": (np.float64, pa.float64())}[score_type]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, state = None, [], None
+        for batch in batches:
+            shard, part, asks = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("shard", "part", "asks"))
+            cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(part) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)], strict=True):
+                if to == at:
+                    continue
+                if cell != (shard[at], part[at]):
+                    cell, held, state = (shard[at], part[at]), [], None
+                piece = batch.slice(at, to - at)
+                values = [matrix(piece.column(piece.schema.get_field_index("vector")), width, dtype), *(piece.column(piece.schema.get_field_index(n)).to_numpy() for n in ("vec_id", "rid"))]
+                if not asks[at]:
+                    held.append(values)
+                    continue
+                if state is None and held:
+                    state, held = prepare(*(np.concatenate(x) for x in zip(*held, strict=True)), most), []
+                for first in range(0, (to - at) if state is not None else 0, block_queries):
+                    qrid, qid, vid, score = answer(state, *(v[first : first + block_queries] for v in values), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(qrid, pa.int64()), pa.array(qid, pa.int64()), pa.array(vid, pa.int64()), pa.array(score, kind)], ["qrid", "query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(lean(run), f"qrid long, query_id long, vec_id long, score {score_type}")
     best = Window.partitionBy("qrid").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def matrix(column: pa.ChunkedArray, width: int, dtype) -> np.ndarray:
+def matrix(lists: pa.ListArray, width: int, dtype) -> np.ndarray:
     """A column of lists as rows of one matrix; shorter vectors are filled up with zeros."""
-    lists = column.combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.chunk(0)
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
     sizes = np.diff(lists.offsets.to_numpy())
     if len(sizes) and (sizes == width).all():
@@ -69,10 +86,3 @@ def matrix(column: pa.ChunkedArray, width: int, dtype) -> np.ndarray:
     row = np.repeat(np.arange(len(sizes)), sizes)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
-
-
-def width_of(*columns: pa.ChunkedArray) -> int:
-    """Length of the longest list."""
-    import pyarrow.compute as pc
-
-    return max(pc.max(pc.list_value_length(c)).as_py() or 0 for c in columns)
