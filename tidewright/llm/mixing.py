@@ -48,14 +48,15 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: t
     last. Null and empty texts have no words and take none; repeated rows are each a document;
     sources without words have target 0; an empty table gives no rows.
     """
+    tie = F.md5(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(
         "doc_id",
         *(keep or []),
         F.coalesce(F.col("source"), F.lit("")).alias("src"),
         F.col("source").isNull().cast("int").alias("no_src"),
         word_count(F.col("text")).alias("size"),
-        seeded_key(seed, F.col("doc_id")).alias("key"),
-        F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("tie"),
+        seeded_key(seed, F.col("doc_id"), tie).alias("key"),  # rows without an id are spread by their texts
+        tie.alias("tie"),
     )
     by_source = rows.groupBy("src", "no_src").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy("no_src", "src"))

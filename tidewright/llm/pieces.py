@@ -228,7 +228,8 @@ def encode_documents(docs: DataFrame, model: str, id_column: str = "doc_id", tex
     """(id, ids) of every row: ids is binary, little-endian unsigned 32-bit, with begin and end ids.
 
     Null and empty texts give the begin and end ids alone. Rows are encoded whole, one by one, in
-    the task that reads them; repeated rows each get their own; other columns are ignored.
+    the task that reads them; repeated rows each get their own; other columns are ignored; an empty
+    table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +244,7 @@ def encode_documents(docs: DataFrame, model: str, id_column: str = "doc_id", tex
 
 
 def decode_documents(encoded: DataFrame, model: str, id_column: str = "doc_id") -> DataFrame:
-    """(id, ids, text) of rows that ``encode_documents`` gives; null ids give the empty text."""
+    """(id, ids, text) of rows that ``encode_documents`` gives; null ids give the empty text, an empty table no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)

@@ -129,7 +129,7 @@ OP7_SQL = r"""
 WITH d AS (
     SELECT doc_id, coalesce(source, '') AS src, CASE WHEN source IS NULL THEN 1 ELSE 0 END AS no_src,
            CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-           md5('29:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key, md5(coalesce(text, '')) AS tie
+           md5('29:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key, md5(coalesce(text, '')) AS tie
     FROM documents
 ), s AS (
     SELECT src, no_src, CAST(sum(size) AS BIGINT) AS source_size, 2.0 * CAST(sum(size) AS BIGINT) AS cap FROM d GROUP BY ALL

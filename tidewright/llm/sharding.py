@@ -25,14 +25,15 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     empty table gives no rows. Other columns of ``docs`` are ignored.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
+    check = F.crc32(body.cast("binary")).cast("long")
     rows = docs.select(
         "doc_id",
         "source",
         F.coalesce(F.col("source"), F.lit("")).alias("src"),
         F.col("source").isNull().cast("int").alias("no_src"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
-        F.crc32(body.cast("binary")).cast("long").alias("text_crc32"),
-        seeded_key(seed, F.col("doc_id")).alias("key"),
+        check.alias("text_crc32"),
+        seeded_key(seed, F.col("doc_id"), check).alias("key"),  # rows without an id are spread by their texts
         F.lit(1).cast("long").alias("one"),
     )
     total = docs.count()

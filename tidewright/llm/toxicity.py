@@ -22,14 +22,12 @@ from .common import checkpointed, fields, lean
 
 #: Labelled rows that a model is fitted on at most (about; chosen by a hash of the id).
 SAMPLE_ROWS = 12_000
-#: Entries of a lexicon at most, the best supported ones.
-LEXICON = 2_000
-#: Least share of toxic rows among the rows with a word, and least number of toxic rows with it.
-PURITY, SUPPORT, SUPPORT_SHARE = 0.8, 4, 0.03
+#: Least share of toxic rows among the rows with a word, least number of toxic rows with it, and the
+#: number of words that may be toxic by chance alone: it raises the least number of rows, by the share
+#: of toxic rows and the number of words that are tried.
+PURITY, SUPPORT, CHANCE = 0.8, 4, 0.01
 #: A stem must reach so many times the rows of any entry that it covers.
 STEM_GAIN = 1.3
-#: Ordinary words that look like misspelled entries, which a model remembers at most.
-ORDINARY = 5_000
 #: What a misspelled entry counts for, next to an exact one.
 NEAR_WEIGHT = 0.5
 #: Lengths of stems; letters from which one and two misspelled letters are allowed.
@@ -226,7 +224,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     One half of the sample gives the lexicon, the other the weights, so that words that are toxic by
     chance get no weight. Rows with a null id or label are left out; several labels of one id count
-    as their highest. With labels of one kind only, every text gets the share of toxic rows.
+    as their highest. With labels of one kind only, or an empty table, every text gets the share of
+    toxic rows. Null and empty texts hold no words; other columns are ignored.
     """
     named = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out(F.col("doc_id")))
     named = named.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -243,14 +242,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     first = rows.where(F.col("half") == 0)
     totals = first.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     toxic = totals["toxic"] or 0
-    support = max(SUPPORT, math.ceil(SUPPORT_SHARE * toxic))
     counted = first.select("toxic", F.explode(marks).alias("mark")).groupBy("mark").agg(F.count("*").alias("n"), F.sum("toxic").alias("hits"))
-    best = counted.where((F.col("hits") >= support) & (F.col("hits") >= PURITY * F.col("n"))).orderBy(F.desc("hits"), "mark").limit(LEXICON)
-    found = {r["mark"]: r["hits"] for r in best.collect()} if 0 < toxic < totals["n"] else {}
+    counted = checkpointed(counted.where(F.col("hits") >= SUPPORT))
+    found = {}
+    if 0 < toxic < totals["n"]:
+        support = max(SUPPORT, math.ceil(math.log(CHANCE / max(1, counted.count())) / math.log(toxic / totals["n"])))
+        best = counted.where((F.col("hits") >= support) & (F.col("hits") >= PURITY * F.col("n")))
+        found = {r["mark"]: r["hits"] for r in best.collect()}  # bounded by the words of the sample
     kept_stems = useful_stems({m: n for m, n in found.items() if not m.endswith("*")}, {m[:-1]: n for m, n in found.items() if m.endswith("*")})
-    words = [m for m in found if not m.endswith("*") and not m.startswith(tuple(kept_stems or ["*"]))]
-    clean = lookalikes(first.where(F.col("toxic") == 0), words, kept_stems).orderBy(F.desc("n"), "word").limit(ORDINARY)
-    ordinary = [r["word"] for r in clean.collect()] if words else []
+    words = [m for m in sorted(found) if not m.endswith("*") and not m.startswith(tuple(kept_stems or ["*"]))]
+    clean = lookalikes(first.where(F.col("toxic") == 0), words, kept_stems)
+    ordinary = sorted(r["word"] for r in clean.collect()) if words else []  # bounded by the words of the sample
     second = measured(rows.where(F.col("half") == 1), words, kept_stems, ordinary, ["toxic"])
     seen = second.groupBy().agg(F.count("*").alias("n"), F.avg("toxic").alias("share")).first()
     share = seen["share"] or 0.0
@@ -287,7 +289,11 @@ def chance(model: Model) -> Column:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that the model does not call toxic, with the columns of ``docs``."""
+    """The rows of ``docs`` that the model does not call toxic, with the columns of ``docs``.
+
+    Null and empty texts are judged as texts without hits; repeated rows each stay or go alike; an empty
+    table gives no rows.
+    """
     names = docs.columns
     row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_tw_row")
     scored = measured(docs.select(row, "text"), model.words, model.stems, model.ordinary, ["_tw_row"])
