@@ -1,4 +1,4 @@
-"""Queries of bar features (F1 to F26) and their SQL."""
+"""Queries of bar features (F1 to F25) and their SQL."""
 
 from __future__ import annotations
 
@@ -12,11 +12,13 @@ from . import features as f
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Feature columns of each query.
+COLUMNS: dict[str, list[str]] = {}
 
 
 def _add(name: str, build: Callable[[DataFrame], DataFrame], columns: str, body: str, views: str = "bars") -> None:
     """A query of (instrument, ts, columns), rounded to six places in both engines."""
-    names = columns.split()
+    names = COLUMNS[name] = columns.split()
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(build(bars(spark, sf_dir)).select("instrument", "ts", *names))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .operators import decisions, evaluation_queries, feature_queries, market, reports
+from .operators import decisions, evaluation_queries, feature_queries, live_reports, market, reports
 from .sources import store
 from .streaming import live
 
-MODULES = [feature_queries, evaluation_queries, market, decisions, reports, store, live]
+MODULES = [feature_queries, evaluation_queries, market, decisions, reports, live_reports, store, live]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: text for m in MODULES for name, text in m.ORACLE_SQL.items()}
