@@ -251,3 +251,38 @@ def test_trades_have_clock_times(spark):
     assert (last["trades"], round(last["gross_pips"], 6), round(last["cost_ref_pips"], 6)) == (3, 40.0, 2.0)
     t = lr.clock_trades(lr.evaluator_frame(ledger)).orderBy("opened").collect()
     assert [(r["opened"].day, r["closed"].day, r["direction"], round(r["gross_pips"], 6), r["open"]) for r in t] == [(2, 4, 1, 20.0, False), (4, 5, -1, 10.0, False), (6, 7, 1, 10.0, True)]
+
+
+def test_store_merges_parts_and_folds_days(spark, tmp_path):
+    from tidewright.sources import store
+
+    path = str(tmp_path / "s")
+    day = datetime.datetime(2024, 1, 30)
+    rows = [("x", day + datetime.timedelta(days=i), float(i)) for i in range(5)]
+    d = spark.createDataFrame(rows, "instrument string, ts timestamp, close double")
+    store.write_store(d.where("close < 3"), path, "2024-02")
+    store.write_store(d.where("close >= 2").withColumn("close", F.col("close") * 10), path, "2024-02")
+    assert sorted(r["period"] for r in store.existing(spark, path).select("period").distinct().collect()) == ["2024-01", "2024-02-01", "2024-02-02", "2024-02-03"]
+    assert store.compact(spark, path, "2024-03") == 3 and store.compact(spark, path, "2024-03") == 0
+    assert [r["close"] for r in store.read_store(spark, path, sealed=False).orderBy("ts").collect()] == [0.0, 1.0, 20.0, 30.0, 40.0]
+    assert {r["period"] for r in store.existing(spark, path).select("period").distinct().collect()} == {"2024-01", "2024-02"}
+
+
+def test_blocks_resume_and_pass_over_what_cannot_be_read(spark, tmp_path):
+    from tidewright.sources import store
+
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    rows = spark.range(12).selectExpr("id as event_id", "cast(id % 4 as int) as block_id")
+    plan = store.block_plan(rows)
+    store.write_blocks(rows.where("block_id = 1"), a)
+    store.write_blocks(rows.where("block_id in (1, 2)"), b)
+    broken = tmp_path / "b" / "block_id=3"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"PAR1 not a file")
+    store.merge_blocks(b, a, spark)
+    assert sorted(r["block_id"] for r in store.missing_blocks(plan, a).collect()) == [0, 3]
+    assert [r["block_id"] for r in store.missing_blocks(plan, a, shard=(1, 2)).collect()] == [3] and store.missing_blocks(plan, a, skip="0-3").count() == 0
+    with pytest.raises(ValueError):
+        store.read_design(plan, a)
+    store.write_blocks(rows, a)
+    assert store.read_design(plan, a).count() == 12

