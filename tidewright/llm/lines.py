@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import BROADCAST_IDS, WORD, Scratch, checkpointed, content_key, fields, lean, running_total
 
@@ -123,8 +124,8 @@ def longest_runs(first: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(h1, h2, did, last, words, runs): texts with later copies; runs of (at, length) in non-blank lines of their first document.
 
-    A run is the longest one from its line on that stands at an earlier place, with ``min_words``
-    words at least; runs may overlap. ``did`` is the id of the first document with the text; a larger
+    A run is the longest one from its line on that begins at an earlier place too, with ``min_words``
+    words at least, and not inside of another; runs may overlap. ``did`` is the id of the first document with the text; a larger
     ``last`` says that others have it too.
     """
     texts = checkpointed(distinct_texts(docs))
@@ -132,7 +133,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = longest_runs(first)
     ends = first.select(F.col("place").alias("end"), (F.col("before") + F.col("w")).alias("upto"))
     begun = runs.withColumn("end", F.col("place") + F.col("length") - 1).join(ends, "end").join(first.select("place", "start", "before"), "place")
-    held = begun.where(F.col("upto") - F.col("before") >= min_words).groupBy("start").agg(F.collect_list(F.struct((F.col("place") - F.col("start")).cast("int").alias("at"), F.col("length").cast("int").alias("length"))).alias("runs"))
+    begun = begun.where(F.col("upto") - F.col("before") >= min_words)
+    # a run inside of one that begins before it adds nothing: what stays are the maximal ones
+    before = Window.partitionBy("start").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    maximal = begun.withColumn("reached", F.max(F.col("place") + F.col("length")).over(before)).where("reached is null or place + length > reached")
+    held = maximal.groupBy("start").agg(F.collect_list(F.struct((F.col("place") - F.col("start")).cast("int").alias("at"), F.col("length").cast("int").alias("length"))).alias("runs"))
     known = texts.select("h1", "h2", "last").join(starts, ["h1", "h2"]).join(held, "start", "left")
     return known.where(F.col("runs").isNotNull() | (F.col("last") > F.col("did")) & (F.col("words") >= min_words)).select("h1", "h2", "did", "last", "words", "runs")
 
@@ -151,7 +156,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     runs = checkpointed(repeated_runs(docs, min_words))
-    few = runs.count() <= BROADCAST_IDS
+    sizes = runs.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.size("runs")), F.lit(0)).alias("runs")).first()
+    few = sizes["texts"] <= BROADCAST_IDS and sizes["runs"] <= 4 * BROADCAST_IDS
     held = docs.select(row, "text", *document_key(docs)).join((F.broadcast(runs) if few else runs).withColumnRenamed("did", "first"), ["h1", "h2"], "left")
     copy = (F.col("did") > F.col("first")) & (F.col("words") >= min_words)
     held = held.select("row", "text", F.when(copy, F.array(F.struct(F.lit(0).alias("at"), F.lit(2**31 - 1).alias("length")))).when(F.col("did") == F.col("first"), F.col("runs")).alias("runs"))
