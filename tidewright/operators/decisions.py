@@ -441,42 +441,7 @@ def order_flow(df: DataFrame) -> DataFrame:
 R.add("c18_order_flow", lambda k, d: order_flow(forecasts(k, d)), sql("forecasts", ", f AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN 100 ELSE -100 END AS units, CAST(ts AS DATE) AS day, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM forecasts) SELECT event_id, CAST(row_number() OVER d AS INTEGER) AS of_day, count(*) OVER (PARTITION BY instrument, day ORDER BY sec RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS in_minute, coalesce(units <> lag(units) OVER d AND sec - lag(sec) OVER d < 900, false) AS wash FROM f WINDOW d AS (PARTITION BY instrument, day ORDER BY ts, event_id)"))
 
 
-# Portfolio -----------------------------------------------------------------------------------
-
-
-def screened(df: DataFrame) -> DataFrame:
-    """Candidates with their first reason for rejection, net edge and score, ranked per day."""
-    edge = F.col("signal") * F.col("p50")
-    net = edge - (2 * 0.00004 / F.col("close") + 0.00005)
-    reason = F.coalesce(F.when(F.col("signal") == 0, "flat_prediction"), F.when(F.col("confidence") < 0.55, "low_confidence"), F.when(F.round(edge, 9) <= 0, "inconsistent_expected_return"), F.when(F.round(net * 1e4, 6) < 1, "insufficient_net_edge"))
-    d = df.withColumn("reason", reason).withColumn("score", F.when(F.col("reason").isNull(), net * F.col("confidence") / 0.01)).withColumn("day", F.to_date("ts"))
-    rank = F.row_number().over(Window.partitionBy("day").orderBy(F.desc(F.round("score", 9)), "event_id"))
-    return d.withColumn("place", F.when(F.col("reason").isNull(), rank))
-
-
-_SCR = ", s1 AS (SELECT *, signal * p50 AS edge, edge - (2 * 0.00004 / close + 0.00005) AS net, CASE WHEN signal = 0 THEN 'flat_prediction' WHEN confidence < 0.55 THEN 'low_confidence' WHEN round(edge, 9) <= 0 THEN 'inconsistent_expected_return' WHEN round(net * 1e4, 6) < 1 THEN 'insufficient_net_edge' END AS reason, CASE WHEN reason IS NULL THEN net * confidence / 0.01 END AS score, CAST(ts AS DATE) AS day FROM forecasts), sc AS (SELECT *, CASE WHEN reason IS NULL THEN CAST(row_number() OVER (PARTITION BY day ORDER BY round(score, 9) DESC NULLS LAST, event_id) AS INTEGER) END AS place FROM s1)"
-R.add("t01_t02_screening", lambda k, d: screened(forecasts(k, d)).select("event_id", "reason", "score", "place"), sql("forecasts", _SCR + columns("event_id reason place", "score", "sc")))
-
-
-def allocated(df: DataFrame, top: int = 10, total: float = 0.01, each: float = 0.0025) -> DataFrame:
-    """Greedy allocation per day: the best candidates in turn, within a risk per position and in total, and three per instrument.
-
-    The candidates of a day are a bounded sorted array, folded with an accumulator.
-    """
-    best = df.where(F.col("place") <= top).groupBy("day").agg(F.sort_array(F.collect_list(F.struct("place", "event_id", "instrument", "confidence"))).alias("c"))
-    start = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<struct<event_id:bigint,instrument:string,risk:double>>").alias("taken"))
-
-    def take(acc: Column, x: Column) -> Column:
-        risk = F.least(F.lit(each) * x["confidence"], F.lit(total) - acc["used"])
-        allowed = (F.round(risk, 12) > 0) & (F.size(F.filter(acc["taken"], lambda t: t["instrument"] == x["instrument"])) < 3)
-        new = F.struct((acc["used"] + risk).alias("used"), F.concat(acc["taken"], F.array(F.struct(x["event_id"].alias("event_id"), x["instrument"].alias("instrument"), risk.alias("risk")))).alias("taken"))
-        return F.when(allowed, new).otherwise(acc)
-
-    folded = best.select("day", F.explode(F.aggregate("c", start, take)["taken"]).alias("t"))
-    return folded.select("day", "t.event_id", "t.instrument", "t.risk")
-
-
-R.add("t03_allocation", lambda k, d: allocated(screened(forecasts(k, d))))
+# Orders -------------------------------------------------------------------------------------------
 
 
 def order_plan(df: DataFrame) -> DataFrame:

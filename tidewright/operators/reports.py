@@ -116,21 +116,6 @@ def lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_halo(bars(spark, sf_dir), KEYS, 7, build, ahead=1).where("next <> 0").dropna(subset=[f"lag_{i}" for i in range(5)]).withColumn("y", (F.col("next") > 0).cast("double"))
 
 
-def logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probability that the next bar rises, by a logistic regression on standardised lags; trained on the bars before 2000."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = lagged(spark, sf_dir)
-    train, test = rows.where("ts < '2000-01-01'"), rows.where("ts >= '2000-01-01'")
-    n = max(1, train.count())
-    steps = [VectorAssembler(inputCols=[f"lag_{i}" for i in range(5)], outputCol="x"), StandardScaler(withMean=True, inputCol="x", outputCol="z"), LogisticRegression(featuresCol="z", labelCol="y", regParam=1 / n)]
-    out = Pipeline(stages=steps).fit(train).transform(test)
-    return out.select("instrument", "ts", vector_to_array("probability")[1].alias("rise")).withColumn("pos", F.when(F.col("rise") > 0.5, 1.0).otherwise(-1.0))
-
-
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four Gaussian regimes of return and range per bar, fitted on the bars before 2000 and applied to all."""
     from pyspark.ml.clustering import GaussianMixture
@@ -141,6 +126,5 @@ def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.transform(rows).groupBy("instrument", "state").agg(F.count("*").alias("n"), F.avg("lag_0").alias("mean"), F.stddev_samp("lag_0").alias("vol"))
 
 
-R.add("p07_logistic_regression", logistic)
 R.add("g01_gaussian_regimes", mixture)
 QUERIES, ORACLE_SQL = R.queries, R.sql
