@@ -41,7 +41,7 @@ def search(rows: DataFrame, vector: str, every: int, k: int, shard_rows: int, bl
     kept = checkpointed(rows.select("vec_id", F.col(vector).alias("vector"), F.monotonically_increasing_id().alias("rid")))
     sizes = kept.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width"), F.max(F.array_max(F.transform("vector", F.abs))).alias("most")).first()
     shards = max(1, -(-sizes["n"] // shard_rows))
-    parts = max(1, -(-2 * rows.sparkSession.sparkContext.defaultParallelism // shards))
+    parts = max(1, -(-rows.sparkSession.sparkContext.defaultParallelism // shards))
     width, most = sizes["width"] or 0, float(sizes["most"] or 0)
     place = F.xxhash64("rid")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
