@@ -39,7 +39,7 @@ SCORED_SQL = RULES_SQL + f"""
 TRADES_SQL = SCORED_SQL + f"""
 , sides AS (SELECT *, sign(held) AS side FROM scored), starts AS (SELECT *, CASE WHEN side = lag(side) OVER {WS} THEN 0 ELSE 1 END AS start FROM sides)
 , runs AS (SELECT *, sum(start) OVER {WS} AS run FROM starts)
-, trades AS (SELECT strategy, instrument, split, run, max(side) AS direction, sum(pnl_pips) AS gross_pips, count(*) AS n_bars, avg(abs(held)) AS size, min(ts) AS opened, max(ts) AS closed FROM runs WHERE held <> 0 GROUP BY ALL)"""
+, trades AS (SELECT strategy, instrument, split, run, CAST(max(side) AS DOUBLE) AS direction, sum(pnl_pips) AS gross_pips, count(*) AS n_bars, avg(abs(held)) AS size, min(ts) AS opened, max(ts) AS closed FROM runs WHERE held <> 0 GROUP BY ALL)"""
 COSTED_SQL = TRADES_SQL + """
 , costs(cost, cost_pips) AS (VALUES ('gross', 0.0), ('spread', 0.8), ('spread_plus', 1.5))
 , priced AS (SELECT *, held * r_log - turnover * (cost_pips / 2) * 0.0001 / close AS net FROM scored, costs)"""

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.windows import with_halo
+from ..functions.windows import numbered, running_sum, settled, with_halo
 from ..plans.registry import Registry, columns
 from ..sources.views import bars, forecasts, sql, table
-from .decisions import _B, _D, _F, N, decisions, full, second_model
+from .decisions import _B, _D, _F, N, PRICE_WEIGHTS, by, decisions, full, second_model
 from .evaluation import costed, net_log
 from .evaluation_queries import COSTED_SQL, scored
 from .features import KEYS, flag
@@ -75,7 +75,39 @@ def latest_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 from .evaluation_queries import RULES_SQL  # noqa: E402
 
 R.add("p09_latest_targets", latest_targets, sql("bars", RULES_SQL + ", o AS (SELECT strategy, instrument, max(ts) AS ts, arg_max(pos, rn) AS pos FROM positions GROUP BY ALL)" + columns("strategy instrument ts", "pos", "o")))
-R.add("d03_regime_accuracy", lambda k, d: with_halo(forecasts(k, d), KEYS, 1, lambda x, w: x.withColumn("move", F.signum(F.col("close") - w.lag("close"))).withColumn("call", w.lag("signal"))).where("move <> 0 and call <> 0").groupBy("instrument", "regime").agg(F.count("*").alias("n"), F.avg(flag(F.col("call") == F.col("move")).cast("double")).alias("accuracy")), sql("forecasts", f", a AS (SELECT *, sign(close - lag(close) OVER {N}) AS move, lag(signal) OVER {N} AS call FROM forecasts), o AS (SELECT instrument, regime, count(*) AS n, avg(CASE WHEN call = move THEN 1.0 ELSE 0 END) AS accuracy FROM a WHERE move <> 0 AND call <> 0 GROUP BY ALL)" + columns("instrument regime n", "accuracy", "o")))
+def learned_weights(df: DataFrame, recent: int = 20, memory: float = 0.95) -> DataFrame:
+    """Price and text weights per instrument and regime, learned from the outcomes of decisions.
+
+    ``df`` has decisions with f_signal, b_signal, d_signal and rn. Each decision that took a side and saw
+    the price move counts the calls of both sources as right or wrong; once both have ``recent`` calls in
+    the regime, the weights move by 1 - ``memory`` towards the shares of their recent hit rates. The newest
+    weights are a closed form: the first ones and all targets, weighed by powers of ``memory``.
+    """
+    keys = ["instrument", "regime"]
+    d = with_halo(settled(df).select("instrument", "regime", "ts", "event_id", "rn", "close", "f_signal", "b_signal", "d_signal"), KEYS, 1, lambda x, w: x.withColumn("move", F.signum(F.lead("close").over(w.base) - F.col("close"))), ahead=1)
+    d = settled(numbered(d.where("d_signal <> 0 and move is not null").drop("rn"), keys, ["ts", "event_id"], "day"))
+    for c in ("f", "b"):
+        d = running_sum(d.withColumn(f"_{c}", flag(F.col(f"{c}_signal") != 0)), keys, {f"_n_{c}": f"_{c}"})
+        calls = d.where(f"_{c} = 1").select(*keys, F.col(f"_n_{c}").alias("rn"), flag(F.col(f"{c}_signal") == F.col("move")).cast("double").alias("hit"))
+        rates = with_halo(calls, keys, recent, lambda x, w: x.withColumn("rate", F.when(F.count("hit").over(w(1 - recent)) >= recent, F.avg("hit").over(w(1 - recent)))))
+        d = d.join(rates.select(*keys, F.col("rn").alias(f"_n_{c}"), F.col("rate").alias(f"rate_{c}")), [*keys, f"_n_{c}"], "left")
+        d = settled(d)
+    steps = numbered(d.where("rate_f is not null and rate_b is not null").drop("rn"), keys, ["ts", "event_id"], "day")
+    total = F.col("rate_f") + F.col("rate_b") + 1e-8
+    counts = d.select(*keys).distinct().join(steps.groupBy(*keys).agg(F.max("rn").alias("updates")), keys, "left").withColumn("updates", F.coalesce("updates", F.lit(0)).cast("long"))
+    power = (1 - memory) * F.pow(F.lit(memory), F.col("updates") - F.col("rn"))
+    moved = steps.join(counts, keys).groupBy(*keys).agg(F.sum(power * F.col("rate_f") / total).alias("_f"), F.sum(power * F.col("rate_b") / total).alias("_b"))
+    first, left = by(PRICE_WEIGHTS, F.col("regime")), F.pow(F.lit(memory), F.col("updates"))
+    return counts.join(moved, keys, "left").select(*keys, "updates", (left * first + F.coalesce("_f", F.lit(0.0))).alias("price_weight"), (left * (1 - first) + F.coalesce("_b", F.lit(0.0))).alias("text_weight"))
+
+
+_RATE = lambda c: f"""SELECT *, CASE WHEN count(*) OVER v >= 20 THEN avg(hit) OVER v END AS rate FROM (SELECT instrument, regime, n_{c}, CASE WHEN {c}_signal = move THEN 1.0::DOUBLE ELSE 0 END AS hit FROM e2 WHERE {c}_signal <> 0) WINDOW v AS (PARTITION BY instrument, regime ORDER BY n_{c} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"""
+R.add("d03_learned_weights", lambda k, d: learned_weights(decisions(k, d)), sql("forecasts", _D + f""", e1 AS (SELECT *, sign(lead(close) OVER {N} - close) AS move FROM dec)
+, e2 AS (SELECT *, count(*) FILTER (f_signal <> 0) OVER q AS n_f, count(*) FILTER (b_signal <> 0) OVER q AS n_b FROM e1 WHERE d_signal <> 0 AND move IS NOT NULL WINDOW q AS (PARTITION BY instrument, regime ORDER BY ts, event_id))
+, rf AS ({_RATE('f')}), rb AS ({_RATE('b')})
+, us AS (SELECT e2.instrument, e2.regime, rf.rate AS a, rb.rate AS b, row_number() OVER (PARTITION BY e2.instrument, e2.regime ORDER BY ts, event_id) AS k FROM e2 JOIN rf ON rf.instrument = e2.instrument AND rf.regime = e2.regime AND rf.n_f = e2.n_f JOIN rb ON rb.instrument = e2.instrument AND rb.regime = e2.regime AND rb.n_b = e2.n_b WHERE rf.rate IS NOT NULL AND rb.rate IS NOT NULL)
+, ct AS (SELECT e.instrument, e.regime, [0.8, 0.75, 0.7, 0.4][e.regime + 1]::DOUBLE AS w0, count(us.k) AS updates FROM (SELECT DISTINCT instrument, regime FROM e2) AS e LEFT JOIN us ON us.instrument = e.instrument AND us.regime = e.regime GROUP BY ALL)
+, o AS (SELECT ct.instrument, ct.regime, updates, power(0.95, updates) * w0 + coalesce(sum(0.05 * power(0.95, updates - k) * a / (a + b + 1e-8)), 0) AS price_weight, power(0.95, updates) * (1 - w0) + coalesce(sum(0.05 * power(0.95, updates - k) * b / (a + b + 1e-8)), 0) AS text_weight FROM ct LEFT JOIN us ON us.instrument = ct.instrument AND us.regime = ct.regime GROUP BY ct.instrument, ct.regime, updates, w0)""" + columns("instrument regime updates", "price_weight text_weight", "o")))
 
 
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
