@@ -83,8 +83,6 @@ def existing(spark: SparkSession, path: str) -> DataFrame | None:
 
 def compact(spark: SparkSession, path: str, open_month: str) -> int:
     """Folds the day parts of finished months into their month's part; returns the number of day parts."""
-    from py4j.java_gateway import JavaObject
-
     old = existing(spark, path)
     if old is None:
         return 0
@@ -92,7 +90,7 @@ def compact(spark: SparkSession, path: str, open_month: str) -> int:
     parts = days.select("instrument", "period").distinct().collect()  # one row per folder
     write_store(settled(days.drop("period")), path, open_month)
     for r in parts:
-        where: JavaObject = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/instrument={r['instrument']}/period={r['period']}")
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/instrument={r['instrument']}/period={r['period']}")
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
     return len(parts)
 
