@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, lines, maxscore, mixing, neardup, passages, pieces, secrets, sharding, toxicity
+from . import alignment, decontaminate, forest, lines, maxscore, mixing, neardup, negatives, passages, pieces, secrets, sharding, toxicity
 from .common import table
 
 #: The public model whose encoding op5 gives.
 PIECE_MODEL = "piece_bpe_32k.model"
+#: The public byte-level vocabulary that op12 aligns with it.
+BYTE_MODEL = "byte_bpe_50k.json"
 
 
-def piece_model() -> str:
-    """Path of the model file, as the installed package of vocabularies names it."""
+def piece_model(name: str = PIECE_MODEL) -> str:
+    """Path of a vocabulary file, as the installed package of vocabularies names it."""
     import public_tokenizers
 
-    return public_tokenizers.path(PIECE_MODEL)
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +97,27 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start_word", "n_words", "source_id")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every row of ``documents`` in windows of ``benchmark``, and which items these are of."""
+    out = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers in every row of ``documents``."""
+    aligned = alignment.align(table(spark, sf_dir, "documents"), piece_model(BYTE_MODEL), piece_model())
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    out = alignment.with_link_sums(aligned.withColumn("groups_sha256", F.when(F.col("a").isNull(), digest)).drop("groups"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of the five positives of every row of ``embeddings`` whose id is divisible by 50."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
+
 #: A line goes if it is in a window of ten words that stands earlier: the shortest one from its first
 #: line on, or the shortest one up to its last line. Every run of ten words is a union of such windows.
 OP6_SQL = r"""
@@ -165,6 +188,49 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+#: Windows of items and of documents meet as whole texts of words.
+OP11_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), i AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), j AS (
+    SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS s FROM i WHERE len(ws) > 0
+), w AS (
+    SELECT DISTINCT item_id, n, array_to_string(ws[s:s + n - 1], ' ') AS t FROM j
+), k AS (
+    SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM w)
+), x AS (
+    SELECT r, n, s, array_to_string(ws[s:s + n - 1], ' ') AS t FROM k
+), h AS (
+    SELECT r, s, x.n, item_id FROM x JOIN w ON x.n = w.n AND x.t = w.t
+), c AS (
+    SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(s, s + n)) AS p FROM h) GROUP BY r
+), m AS (
+    SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN m USING (r)
+"""
+
+OP13_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS c FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS alike, CAST(list_dot_product(a.c, v.c) AS BIGINT) AS score
+    FROM v AS a, v WHERE a.vec_id % 50 = 0 AND a.vec_id <> v.vec_id
+), p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+    SELECT p.*, vec_id AS negative_id, score AS negative_score,
+           CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+    FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_secret_scan": op2_secret_scan,
@@ -176,6 +242,9 @@ QUERIES = {
     "op8_exact_search": op8_exact_search,
     "op9_near_search": op9_near_search,
     "op10_passage_dedup": op10_passage_dedup,
+    "op11_decontamination": op11_decontamination,
+    "op12_alignment": op12_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLE_SQL = {"op6_line_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_exact_search": OP8_SQL}
+ORACLE_SQL = {"op6_line_dedup": OP6_SQL, "op7_mixing": OP7_SQL, "op8_exact_search": OP8_SQL, "op11_decontamination": OP11_SQL, "op13_hard_negatives": OP13_SQL}
