@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from .operators import decisions, evaluation_queries, feature_queries, live_reports, market, portfolio, reports
 from .sources import store
-from .streaming import live
+from .streaming import live, stateful
 
-MODULES = [feature_queries, evaluation_queries, market, decisions, reports, live_reports, portfolio, store, live]
+MODULES = [feature_queries, evaluation_queries, market, decisions, reports, live_reports, portfolio, store, live, stateful]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: text for m in MODULES for name, text in m.ORACLE_SQL.items()}

@@ -66,8 +66,8 @@ def write_store(candles: DataFrame, path: str, open_month: str = "9999-12") -> N
     d = candles.withColumn("period", F.when(month < open_month, month).otherwise(day)).withColumn("_seq", F.lit(2))
     old = existing(candles.sparkSession, path)
     if old is not None:
-        touched = d.select("instrument", "period").distinct()
-        d = d.unionByName(old.join(touched, ["instrument", "period"], "left_semi").withColumn("_seq", F.lit(1)), allowMissingColumns=True)
+        touched = [r[0] for r in d.select("period").distinct().collect()]  # the periods of one write, named literally so that the scan is pruned
+        d = d.unionByName(old.where(F.col("period").isin(touched)).withColumn("_seq", F.lit(1)), allowMissingColumns=True)
         d = settled(keep_last(d, ["instrument", "ts"], "_seq"))
     d.drop("_seq").repartition("instrument", "period").sortWithinPartitions("ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("instrument", "period").parquet(path)
 
@@ -82,7 +82,11 @@ def existing(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def compact(spark: SparkSession, path: str, open_month: str) -> int:
-    """Folds the day parts of finished months into their month's part; returns the number of day parts."""
+    """Folds the day parts of finished months into their month's part; returns the number of day parts.
+
+    The month's part is written first; ``read_store`` passes over the day parts of a month that has one,
+    so that a reader sees every row once whenever it looks, and a fold that is cut off can be repeated.
+    """
     old = existing(spark, path)
     if old is None:
         return 0
@@ -97,7 +101,13 @@ def compact(spark: SparkSession, path: str, open_month: str) -> int:
 
 def read_store(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, sealed: bool = True) -> DataFrame:
     """Candles of a store between two times; the sealed holdout is left out unless unlocked."""
-    d = spark.read.parquet(path).drop("period")
+    d = existing(spark, path)
+    months = [r[0] for r in d.where(F.length("period") == 7).select("period").distinct().collect()]  # one row per folder
+    folded = spark.createDataFrame([(m,) for m in months], "month string")
+    day = F.length("period") == 10
+    held = d.where(~day).select("instrument", "period").distinct().withColumnRenamed("period", "month")
+    days = d.where(day & F.substring("period", 1, 7).isin(months)).withColumn("month", F.substring("period", 1, 7)).join(F.broadcast(held.join(folded, "month")), ["instrument", "month"], "left_anti").drop("month")
+    d = d.where(~day | ~F.substring("period", 1, 7).isin(months)).unionByName(days).drop("period")
     if start:
         d = d.where(F.col("ts") >= F.lit(start).cast("timestamp"))
     if end:
@@ -203,22 +213,38 @@ def sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.join(per_day, "instrument").join(F.broadcast(design.select(F.col("n").alias("of"))))  # one row of totals is broadcast
 
 
-def upsert(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Writes journal rows: a later row of a key replaces the earlier one. For a stream, call it in ``foreachBatch``."""
-    old = existing(rows.sparkSession, path)
-    d = rows.withColumn("_seq", F.lit(2))
+def commit_batch(rows: DataFrame, path: str, batch: int, keys: list[str], part: str = "day", first: bool = False, order: list[str] | None = None) -> None:
+    """Writes the rows of one numbered batch to a journal, below the partitions ``part`` and ``batch``.
+
+    Nothing that another batch wrote is read or rewritten, so the cost is that of the batch, and a batch
+    that is replayed overwrites itself. With ``first``, keys that earlier batches hold in the same parts
+    are left out, and of rows that share a key the first one by ``order`` stays; ``part`` must follow from
+    the keys. The parts that a batch touches are named literally, so that the scan is pruned to them.
+    """
+    spark, now = rows.sparkSession, settled(rows)
+    old = existing(spark, path) if first else None
+    if first and order:
+        now = now.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
     if old is not None:
-        d = keep_last(d.unionByName(old.withColumn("_seq", F.lit(1)), allowMissingColumns=True), keys, "_seq")
-    settled(d.drop("_seq")).write.mode("overwrite").parquet(path)
+        touched = [r[0] for r in now.select(F.col(part).cast("string")).distinct().collect()]  # the parts of one batch
+        earlier = old.where(F.col(part).isin(touched) & (F.col("batch").cast("long") < batch))
+        now = now.join(earlier.select(*keys), keys, "left_anti")
+    out = now.withColumn("batch", F.lit(batch)).repartition(part)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part, "batch").parquet(path)
+
+
+def read_journal(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The rows of a journal: of those that share a key, the one of the latest batch."""
+    return keep_last(spark.read.parquet(path), keys, "batch").drop("batch")
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A journal of decisions after two writes of which the second revises the regimes above 1, and its newest row per instrument."""
     path = folder(spark)
-    rows = forecasts(spark, sf_dir).select("instrument", "ts", "event_id", "regime", F.col("signal").cast("long").alias("signal"))
-    upsert(rows, path, ["instrument", "ts"])
-    upsert(rows.where("regime > 1").withColumn("signal", F.col("signal") * 10), path, ["instrument", "ts"])
-    now = spark.read.parquet(path)
+    rows = forecasts(spark, sf_dir).select("instrument", "ts", "event_id", "regime", F.col("signal").cast("long").alias("signal"), F.to_date("ts").alias("day"))
+    commit_batch(rows, path, 0, ["instrument", "ts"])
+    commit_batch(rows.where("regime > 1").withColumn("signal", F.col("signal") * 10), path, 1, ["instrument", "ts"])
+    now = read_journal(spark, path, ["instrument", "ts"])
     newest = now.groupBy("instrument").agg(F.max_by("event_id", "ts").alias("newest"))
     return now.groupBy("instrument").agg(F.count("*").alias("n"), F.sum("signal").alias("signals")).join(newest, "instrument")
 
