@@ -170,7 +170,7 @@ def exact(vectors, score, usable):
 def test_exact_search(spark, vectors, monkeypatch):
     want = exact(vectors, lambda a, b: int(np.floor(64 * a) @ np.floor(64 * b)), lambda v: True)
     monkeypatch.setattr(maxscore, "SHARD_ROWS", 300)
-    monkeypatch.setattr(maxscore, "SEED_ROWS", 64)
+    monkeypatch.setattr(maxscore, "POSTINGS", 64)
     got = collections.defaultdict(list)
     for r in maxscore.search_exact(vectors).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((-r["score"], r["vec_id"]))

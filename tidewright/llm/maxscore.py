@@ -1,10 +1,12 @@
 """Exact top-k search by MaxScore over integer vectors.
 
-Components are terms; a term's posting list holds the component of every row of a shard. For each
-query, terms are put in the order of the most that they can add to a score in this shard. Once k
+Components are terms; a term's posting list holds the component of every row, in blocks of rows. For
+each query and block, terms are put in the order of the most that they can add to a score there. Once k
 scores are known, their least is the threshold; terms whose bounds together stay below it are
-non-essential. Essential postings are traversed for all rows; the others are probed only for rows
-that can still reach the threshold, a few terms at a time. Shards are merged at the end.
+non-essential. The postings of essential terms are traversed, term by term, adding to the scores of
+all rows; the postings of the others are never touched: their components are probed only for rows
+that can still reach the threshold, a few terms at a time. The threshold rises from block to block.
+Shards are merged at the end.
 """
 
 from __future__ import annotations
@@ -18,13 +20,9 @@ from .vectors import search, usable
 #: Rows of a shard and queries of a block: what one task holds.
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 1_024
-#: Rows that are scored in full to find a first threshold; terms that are probed at once.
-SEED_ROWS = 1_024
+#: Rows of a block of postings, each with bounds of its own; terms that are probed at once.
+POSTINGS = 1_024
 PROBE = 8
-#: Queries whose essential postings are traversed together.
-TOGETHER = 64
-#: Terms are non-essential if their bounds together are at most this share of the threshold.
-SHARE = 0.4
 
 
 def exact_type(most: float, width: int):
@@ -44,63 +42,65 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 class Postings:
-    """The posting lists of a shard, with the bounds of every term."""
+    """The posting lists of a shard in blocks of rows, with the bounds of every term in a block."""
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, rids: np.ndarray, most: float):
         self.kind = exact_type(most, x.shape[1])
-        self.x = x.astype(self.kind)
-        self.postings = np.ascontiguousarray(self.x.T)
-        self.most, self.least = self.postings.max(axis=1), self.postings.min(axis=1)
+        x = x.astype(self.kind)
         self.ids, self.own = ids, {r: i for i, r in enumerate(rids.tolist())}
+        self.blocks = []
+        for first in range(0, len(x), POSTINGS):
+            rows = x[first : first + POSTINGS]
+            self.blocks.append((first, rows, np.ascontiguousarray(rows.T), rows.max(axis=0), rows.min(axis=0)))
+        #: multiplications done, and those that scoring every row in full takes
+        self.done = self.whole = 0
+
+    def best(self, weights: np.ndarray, mine: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores) of the k best rows for one query, which is the row ``mine`` itself (-1: none)."""
+        places, scores, threshold = np.empty(0, np.int64), np.empty(0, self.kind), None
+        for first, rows, postings, most, least in self.blocks:
+            n, width = rows.shape
+            self.whole += n * width
+            bounds = np.maximum(weights * most, weights * least)
+            order = np.argsort(-bounds)
+            left = np.append(np.cumsum(bounds[order][::-1])[::-1], 0)  # what the terms from a place of the order on can add at most
+            # essential terms: the bounds of all others together stay below the threshold
+            done = width if threshold is None else int(np.argmax(left < threshold)) if left[-1] < threshold else width
+            part, term = np.zeros(n, self.kind), np.empty(n, self.kind)
+            for t in order[:done].tolist():
+                np.multiply(postings[t], weights[t], out=term)
+                part += term
+            self.done += done * n
+            at = np.arange(n)
+            if 0 <= mine - first < n:
+                at, part = np.delete(at, mine - first), np.delete(part, mine - first)
+            while True:  # probe the other terms while a row is competitive
+                if threshold is not None:
+                    alive = part + left[done] >= threshold
+                    at, part = at[alive], part[alive]
+                if done >= width or not len(at):
+                    break
+                terms = order[done : done + PROBE]
+                part = part + rows[np.ix_(at, terms)] @ weights[terms]
+                self.done += len(at) * len(terms)
+                done = min(width, done + PROBE)
+            places, scores = np.append(places, at + first), np.append(scores, part)
+            top = best(scores, self.ids[places], k)
+            places, scores = places[top], scores[top]
+            if len(scores) == k:
+                threshold = scores[-1]
+        return places, scores
 
 
 def best_of_shard(shard: Postings, q: np.ndarray, qids: np.ndarray, qrids: np.ndarray, k: int):
     """The k best rows of a shard for each query of a block."""
-    kind, x, postings, most, least, ids, own = shard.kind, shard.x, shard.postings, shard.most, shard.least, shard.ids, shard.own
-    q, qids, qrids, width = q.astype(kind), qids.tolist(), qrids.tolist(), x.shape[1]
-    n, seeds = len(ids), min(len(ids), max(SEED_ROWS, 4 * k))
     out: tuple[list, list, list, list] = ([], [], [], [])
-    for start in range(0, len(q), TOGETHER):
-        some = q[start : start + TOGETHER]
-        bounds = np.maximum(some * most, some * least)
-        order = np.argsort(-bounds, axis=1)
-        # left[j, i]: what the terms from place i of the order on can add at most
-        left = np.zeros((len(some), width + 1), kind)
-        left[:, :-1] = np.cumsum(np.take_along_axis(bounds, order, 1)[:, ::-1], axis=1)[:, ::-1]
-        first = some @ postings[:, :seeds]
-        for j, mine in enumerate(own.get(r, -1) for r in qrids[start : start + TOGETHER]):
-            if 0 <= mine < seeds:
-                first[j, mine] = first[j].min() - 1
-        others = np.array([seeds - (0 <= own.get(r, -1) < seeds) for r in qrids[start : start + TOGETHER]])
-        threshold = np.where(others >= k, np.partition(first, seeds - k, axis=1)[:, seeds - k] if seeds >= k else 0, 0)
-        # essential terms: the rest together stay below the given share of the threshold
-        fit = (left <= threshold[:, None] * SHARE) & (others >= k)[:, None] & (threshold > 0)[:, None]
-        essential = np.where(fit.any(axis=1), np.maximum(1, fit.argmax(axis=1)), width)
-        rank = np.argsort(order, axis=1)
-        traversed = np.where(rank < essential[:, None], some, 0).astype(kind) @ postings[:, seeds:]
-        for j in range(len(some)):
-            qrid, weights, done = qrids[start + j], some[j], int(essential[j])
-            mine = own.get(qrid, -1)
-            at = np.flatnonzero(np.arange(seeds) != mine) if mine < seeds else np.arange(seeds)
-            score, rows, part = first[j, at], np.arange(seeds, n), traversed[j]
-            enough = others[j] >= k
-            while True:  # probe the other terms while a row is competitive
-                if enough:
-                    alive = np.flatnonzero(part + left[j, done] >= threshold[j])
-                    rows, part = rows[alive], part[alive]
-                if done >= width or not len(rows):
-                    break
-                terms = order[j, done : done + PROBE]
-                part = part + x[np.ix_(rows, terms)] @ weights[terms]
-                done = min(width, done + PROBE)
-            if mine >= seeds:
-                part, rows = part[rows != mine], rows[rows != mine]
-            at, score = np.append(at, rows), np.append(score, part)
-            top = best(score, ids[at], k)
-            out[0].extend([qrid] * len(top))
-            out[1].extend([qids[start + j]] * len(top))
-            out[2].extend(ids[at[top]].tolist())
-            out[3].extend(score[top].astype(np.int64).tolist())
+    for weights, qid, qrid in zip(q.astype(shard.kind), qids.tolist(), qrids.tolist(), strict=True):
+        places, scores = shard.best(weights, shard.own.get(qrid, -1), k)
+        out[0].extend([qrid] * len(places))
+        out[1].extend([qid] * len(places))
+        out[2].extend(shard.ids[places].tolist())
+        out[3].extend(scores.astype(np.int64).tolist())
     return out
 
 

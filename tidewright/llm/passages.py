@@ -164,9 +164,8 @@ def text_spans(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(h1, begin, end, source): words of a text that stand in a text of the earlier document ``source``."""
     kept = suffixes(docs)
     first = kept.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("did").alias("sdid"), F.min_by("h1", "did").alias("b"), F.min_by("place", "did").alias("pb"),
-        F.min("h1").alias("low"), F.max("h1").alias("high"),
-    ).where("low <> high").select("key", "b", "pb", (F.col("n") > 2).alias("more"))
+        F.count("*").alias("n"), F.min(F.struct("did", "h1", "place")).alias("e"), F.min("h1").alias("low"), F.max("h1").alias("high"),
+    ).where("low <> high").select("key", F.col("e.h1").alias("b"), F.col("e.place").alias("pb"), (F.col("n") > 2).alias("more"))
     anchors = kept.join(first, "key").where("h1 <> b or place <> pb").groupBy(F.col("h1").alias("a"), "b", F.col("place").alias("pa"), "pb").agg(F.max("more").alias("more"))
     pairs = checkpointed(anchors.groupBy("a", "b").agg(F.collect_list(F.struct("pa", "pb", "more")).alias("anchors")))
     found = checkpointed(matches(pairs, docs.select(content_key(F.col("text"))[0], "text")))
@@ -175,8 +174,8 @@ def text_spans(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     spans = by_source.select(F.col("a").alias("h1"), "begin", "end", "source")
     # runs around suffixes that the earliest neighbour does not share
     runs = found.where("key is not null").select(F.col("a").alias("h1"), "key", "start").distinct().join(order, "h1")
-    earliest = runs.groupBy("key").agg(F.min("did").alias("source"), F.min_by("h1", "did").alias("b"), F.min("h1").alias("low"), F.max("h1").alias("high"))
-    exact = runs.join(earliest.where("low <> high").select("key", "source", "b"), "key").where("h1 <> b")
+    earliest = runs.groupBy("key").agg(F.min(F.struct("did", "h1")).alias("e"), F.min("h1").alias("low"), F.max("h1").alias("high"))
+    exact = runs.join(earliest.where("low <> high").select("key", F.col("e.did").alias("source"), F.col("e.h1").alias("b")), "key").where("h1 <> b")
     return spans.union(exact.select("h1", F.col("start").alias("begin"), (F.col("start") + PASSAGE).cast("int").alias("end"), "source"))
 
 
@@ -192,7 +191,9 @@ def merged(spans: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, h1, h2, start_word, n_words, source_id): passages of rows that stand in an earlier document.
 
-    ``docs`` has doc_id and text; documents are in the order of doc_id, null last. A row whose text
+    ``docs`` has doc_id and text; documents are in the order of doc_id, null last, and those that share
+    an id in the order of a hash of their texts, so that no result depends on how rows are dealt. An
+    empty table gives no rows. A row whose text
     an earlier row has is one passage, from the first to the last word. Passages have PASSAGE words
     at least; those of one row that meet are one, and source_id is the earliest document that any
     part of it was matched with. Repeats inside one document are left alone. Rows that repeat whole

@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, key_bucket, running_total, seeded_key
+from .common import buckets_for, checkpointed, key_bucket, running_total, seeded_key
+
+#: Ranges of the whole order; beyond so many, ranges grow and are sorted with spilling.
+MOST_RANGES = 8_192
 
 
 def interleave(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
@@ -19,7 +22,8 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
 
     Returns doc_id, source, size, text_crc32, frac (fractional rank), position, shard, slot. Shard
     counts differ by one at most and, per source, by two at most. Both numberings are two-level
-    scans, so that neither a hot source nor the whole table meets in one task, and texts are never
+    scans, over buckets of the keys of a source and over ranges of the whole order, so that neither a
+    hot source, nor very many small ones, nor the whole table meets in one task, and texts are never
     shuffled. A null text has size 1 and checksum 0, as an empty one; null sources are one source
     of their own; repeated rows are all kept, in adjacent order (they are interchangeable); an
     empty table gives no rows. Other columns of ``docs`` are ignored.
@@ -42,8 +46,9 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     ties = ["key", "text_crc32", "size"]
     ranked = running_total(rows, ["src", "no_src"], "bucket", ties, "one", "rank", "of")
     ranked = ranked.withColumn("frac", (2 * F.col("rank") + 1) / (2 * F.col("of"))).drop("bucket")
-    ranked = ranked.withColumn("bucket", F.floor(F.col("frac") * n).cast("long"))
-    placed = running_total(ranked, [], "bucket", ["frac", "no_src", "src", *ties], "one", "position")
+    # sources of few rows share fractions, so buckets of the whole order are ranges of (fraction, key)
+    ranges = ranked.repartitionByRange(min(n, MOST_RANGES), "frac", "key").withColumn("bucket", F.spark_partition_id().cast("long"))
+    placed = running_total(checkpointed(ranges), [], "bucket", ["frac", *ties, "no_src", "src"], "one", "position")
     shard = F.floor(F.col("position") * shards / F.lit(max(1, total))).cast("int")
     start = F.ceil(F.col("shard").cast("long") * F.lit(total) / shards).cast("long")
     return (
