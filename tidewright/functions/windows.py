@@ -165,6 +165,30 @@ def normal_cdf(x: Column) -> Column:
     return 0.5 * (1 + erf(x / F.lit(2**0.5)))
 
 
+#: Coefficients of a rational approximation of the normal quantile (relative error below 1.2e-9), for the middle and for the tails.
+QUANTILE_MIDDLE = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239), (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
+QUANTILE_TAIL = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783), (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+QUANTILE_EDGE = 0.02425
+
+
+def _poly(coefficients: tuple, x: Column) -> Column:
+    """A polynomial, highest power first."""
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal quantile of a probability between 0 and 1, exclusive; null outside."""
+    q = p - 0.5
+    middle = q * _poly(QUANTILE_MIDDLE[0], q * q) / _poly(QUANTILE_MIDDLE[1], q * q)
+    t = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    tail = _poly(QUANTILE_TAIL[0], t) / _poly(QUANTILE_TAIL[1], t)
+    inside = (p > 0) & (p < 1)
+    return F.when(inside & (F.abs(q) <= 0.5 - QUANTILE_EDGE), middle).when(inside, F.when(q < 0, tail).otherwise(-tail))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
     return a / F.nullif(b, F.lit(0.0))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.windows import BLOCK, normal_cdf, numbered, running_sum, with_halo
+from ..functions.windows import BLOCK, normal_cdf, normal_quantile, numbered, running_sum, with_halo
 
 SERIES = ["strategy", "instrument"]
 #: Round-trip costs in pips, and the annual number of days.
@@ -158,15 +160,31 @@ def tail_risk(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     )
 
 
-def deflated_sharpe(df: DataFrame, keys: list[str], column: str, benchmark: float = 0.0) -> DataFrame:
-    """Probability that a Sharpe ratio is above ``benchmark``, with its standard error widened for skew and kurtosis.
+#: Fixed value: Euler's constant.
+EULER = 0.5772156649
+
+
+def best_of(n: Column) -> Column:
+    """The Sharpe ratio that the best of n strategies without skill is expected to show; 0 for one."""
+    low, high = normal_quantile(1 - 1 / n), normal_quantile(1 - 1 / (n * math.e))
+    return F.when(n > 1, (1 - EULER) * low + EULER * high).otherwise(0.0)
+
+
+def deflated_sharpe(df: DataFrame, keys: list[str], column: str, among: list[str] | None = None) -> DataFrame:
+    """Probability that a Sharpe ratio is above chance, with its standard error widened for skew and kurtosis.
 
-    Moments are the bias-corrected ones: Spark's are those of the population and are converted.
+    With ``among`` (some of ``keys``), the benchmark is the best of as many strategies as share these
+    keys; else it is 0. Moments are the bias-corrected ones: Spark's are those of the population and are
+    converted.
     """
     m = df.groupBy(*keys).agg(F.count(column).alias("n"), (F.avg(column) / F.stddev_samp(column)).alias("sr"), F.skewness(column).alias("g1"), F.kurtosis(column).alias("g2"))
+    if among is not None:
+        m = m.join(m.groupBy(*among).agg(F.count("*").alias("n_strategies")), among)
     n, sr = F.col("n").cast("double"), F.col("sr")
     skew = F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)
     kurt = ((n + 1) * F.col("g2") + 6) * (n - 1) / ((n - 2) * (n - 3))
     factor = F.sqrt(1 - skew * sr + ((kurt - 1) / 4) * sr * sr)
     se = F.sqrt((1 + (sr * sr) / 2 * (1 - skew * skew + kurt / 4)) / (n - 1))
-    return m.select(*keys, "sr", skew.alias("skew"), kurt.alias("kurt"), normal_cdf((sr - benchmark) * factor / se).alias("dsr"))
+    star = best_of(F.col("n_strategies")) if among is not None else F.lit(0.0)
+    more = [F.col("n_strategies"), star.alias("expected_best")] if among is not None else []
+    return m.select(*keys, "sr", skew.alias("skew"), kurt.alias("kurt"), *more, normal_cdf((sr - star) * factor / se).alias("dsr"))

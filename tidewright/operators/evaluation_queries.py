@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.windows import numbered
+from ..functions.windows import QUANTILE_EDGE, QUANTILE_MIDDLE, QUANTILE_TAIL, numbered
 from ..plans.registry import Registry, columns
 from ..sources.views import bars, count_bars, forecasts, sql
 from . import evaluation as e
@@ -126,6 +126,36 @@ R.add(
 , x AS (SELECT *, abs(z / sqrt(2)) AS a, 1 / (1 + 0.3275911 * a) AS t FROM f)
 , o AS (SELECT *, 0.5 * (1 + sign(z) * (1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-a * a))) AS dsr FROM x)""" + columns("instrument", "sr skew kurt dsr", "o")),
 )
+
+
+def daily_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily net returns at the spread's cost of all rules."""
+    return e.daily_returns(scored(spark, sf_dir)).where("cost = 'spread'")
+
+
+def _poly_sql(coefficients: tuple, x: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _quantile_sql(p: str) -> str:
+    """The normal quantile of ``p``, above one half."""
+    middle = f"({p} - 0.5) * {_poly_sql(QUANTILE_MIDDLE[0], f'pow({p} - 0.5, 2)')} / {_poly_sql(QUANTILE_MIDDLE[1], f'pow({p} - 0.5, 2)')}"
+    t = f"sqrt(-2 * ln(1 - {p}))"
+    return f"CASE WHEN {p} <= {1 - QUANTILE_EDGE} THEN {middle} ELSE -({_poly_sql(QUANTILE_TAIL[0], t)} / {_poly_sql(QUANTILE_TAIL[1], t)}) END"
+
+
+R.add(
+    "e09_best_of_strategies", lambda k, d: e.deflated_sharpe(daily_net(k, d), ["strategy", "instrument"], "net", ["instrument"]),
+    sql("bars", COSTED_SQL + f""", dn AS (SELECT strategy, instrument, CAST(ts AS DATE) AS day, sum(net) AS r FROM priced WHERE cost = 'spread' GROUP BY ALL)
+, m AS (SELECT strategy, instrument, CAST(count(r) AS DOUBLE) AS n, avg(r) / stddev_samp(r) AS sr, skewness(r) AS skew, kurtosis(r) AS kurt FROM dn GROUP BY ALL), mn AS (SELECT *, count(*) OVER (PARTITION BY instrument) AS n_strategies FROM m)
+, f AS (SELECT *, CASE WHEN n_strategies > 1 THEN (1 - {e.EULER}) * ({_quantile_sql('(1 - 1.0::DOUBLE / n_strategies)')}) + {e.EULER} * ({_quantile_sql('(1 - 1.0::DOUBLE / (n_strategies * exp(1.0::DOUBLE)))')}) ELSE 0 END AS expected_best FROM mn)
+, g AS (SELECT *, (sr - expected_best) * sqrt(1 - skew * sr + ((kurt - 1) / 4) * sr * sr) / sqrt((1 + sr * sr / 2 * (1 - skew * skew + kurt / 4)) / (n - 1)) AS z FROM f)
+, x AS (SELECT *, abs(z / sqrt(2)) AS a, 1 / (1 + 0.3275911 * a) AS t FROM g)
+, o AS (SELECT *, 0.5 * (1 + sign(z) * (1 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-a * a))) AS dsr FROM x)""" + columns("strategy instrument n_strategies", "sr skew kurt expected_best dsr", "o")),
+)
 R.add(
     "e10_return_metrics", lambda k, d: e.return_metrics(bar_returns(k, d), ["instrument"], "r"),
     sql("bars", _RET + """, one AS (SELECT instrument, sum(ln(1 + r)) AS logs, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS std, stddev_samp(CASE WHEN r < 0 THEN r END) AS down FROM rr GROUP BY ALL)

@@ -143,17 +143,9 @@ R.add("t03_allocation", lambda k, d: allocated(screened(predictions(k, d), quote
 # Models per block ----------------------------------------------------------------------------------
 
 
-def block_models(rows: DataFrame, lags: int = 5) -> DataFrame:
-    """(instrument, ts, block, linear, logistic): positions of two models of the next return on its last ``lags`` ones.
-
-    ``rows`` has instrument, ts, block, lag_0.. and next; a block is scored by models of the block before
-    it, whose last row (its target lies outside) is left out. The linear one has no intercept; the logistic
-    one, on standardised lags with a unit penalty, says +1 above one half, else -1, and leaves out rows
-    that do not move. A block and the one before it are what one task holds. Missing lags count as 0.
-    """
+def fit_window(lags: int):
+    """A function of the rows of one window (``role`` train) and its tests (``role`` test) that fits both models and gives the positions of the tests."""
     names = [f"lag_{i}" for i in range(lags)]
-    train = rows.withColumn("role", F.lit("train")).withColumn("for", F.col("block") + 1)
-    both = train.unionByName(rows.withColumn("role", F.lit("test")).withColumn("for", F.col("block"))).select("instrument", "ts", "role", "for", "next", *names)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -178,7 +170,22 @@ def block_models(rows: DataFrame, lags: int = 5) -> DataFrame:
         out["logistic"] = np.where(1 / (1 + np.exp(-z @ w)) > 0.5, 1.0, -1.0)
         return out
 
-    return both.groupBy("instrument", "for").applyInPandas(fit, "instrument string, ts timestamp, block int, linear double, logistic double")
+    return fit
+
+
+def block_models(rows: DataFrame, lags: int = 5) -> DataFrame:
+    """(instrument, ts, block, linear, logistic): positions of two models of the next return on its last ``lags`` ones.
+
+    ``rows`` has instrument, ts, block, lag_0.. and next; a block is scored by models of the block before
+    it, whose last row (its target lies outside) is left out. The linear one has no intercept; the logistic
+    one, on standardised lags with a unit penalty, says +1 above one half, else -1, and leaves out rows
+    that do not move. A block and the one before it are what one task holds. Missing lags count as 0.
+    """
+    names = [f"lag_{i}" for i in range(lags)]
+    train = rows.withColumn("role", F.lit("train")).withColumn("for", F.col("block") + 1)
+    both = train.unionByName(rows.withColumn("role", F.lit("test")).withColumn("for", F.col("block"))).select("instrument", "ts", "role", "for", "next", *names)
+
+    return both.groupBy("instrument", "for").applyInPandas(fit_window(lags), "instrument string, ts timestamp, block int, linear double, logistic double")
 
 
 def lagged_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -451,4 +451,52 @@ def macro_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 R.add("o07_stream_macro", macro_query, MARKET_SQL["m04_as_of_join"], 9)
+# Price stream (S12) ---------------------------------------------------------------------------------
+
+PRICE = "id long, type string, instrument string, bids array<struct<price:string>>, asks array<struct<price:string>>"
+
+
+def price_lines(rows: DataFrame) -> DataFrame:
+    """(ts, value): ticks as lines of a price feed: prices and heartbeats, of which some break off and some lack a side."""
+    side = lambda c: F.array(F.struct(F.col(c).cast("string").alias("price")))
+    k = F.pmod("tick_id", F.lit(50))
+    kind = F.when(k == 7, "HEARTBEAT").otherwise("PRICE")
+    line = F.to_json(F.struct(F.col("tick_id").alias("id"), kind.alias("type"), "instrument", side("bid").alias("bids"), F.when(k != 11, side("ask")).alias("asks")))
+    return rows.select("ts", F.when(k == 23, F.substring(line, 1, 40)).otherwise(line).alias("value"))
+
+
+def parsed_prices(lines: DataFrame) -> DataFrame:
+    """Lines of a feed with best bid and ask, mid and spread (five digits), and ``fault``: null, 'heartbeat', 'broken' or 'no price'."""
+    d = lines.withColumn("_p", F.from_json("value", PRICE, {"mode": "PERMISSIVE"}))
+    d = d.withColumn("bid", F.expr("try_cast(get(_p.bids, 0).price as double)")).withColumn("ask", F.expr("try_cast(get(_p.asks, 0).price as double)"))
+    broken = F.col("_p.type").isNull() | F.col("_p.id").isNull() | (~F.trim("value").endswith("}"))
+    fault = F.when(broken, "broken").when(F.col("_p.type") == "HEARTBEAT", "heartbeat").when(F.col("bid").isNull() | F.col("ask").isNull(), "no price")
+    return d.select(
+        F.col("_p.id").alias("tick_id"), F.col("_p.instrument").alias("instrument"), "bid", "ask", ((F.col("bid") + F.col("ask")) / 2).alias("mid"), F.round(F.col("ask") - F.col("bid"), 5).alias("spread"), fault.alias("fault"), "value"
+    )
+
+
+def feed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Runs the price stream of all ticks to its end: folders of good prices and of dead letters.
+
+    Lines are read as text; each micro-batch is parsed once, and written to both under its number.
+    """
+    base = stream_folder(spark)
+
+    def both(batch: DataFrame, number: int) -> None:
+        parsed = settled(parsed_prices(batch).where("fault is null or fault <> 'heartbeat'"))
+        good, dead = F.col("fault").isNull(), F.col("fault").isNotNull()
+        for name, rows in (("prices", parsed.where(good).drop("fault", "value")), ("dead", parsed.where(dead).select("fault", "value"))):
+            rows.write.mode("overwrite").parquet(f"{base}/{name}/batch={number}")
+
+    lines = landed(price_lines(ticks(spark, sf_dir))).select("value")
+    lines.writeStream.foreachBatch(both).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return f"{base}/prices", f"{base}/dead"
+
+
+R.add(
+    "s12_price_stream", lambda k, d: k.read.parquet(feed(k, d)[0]).drop("batch"),
+    sql("ticks", ", o AS (SELECT tick_id, instrument, bid, ask, (bid + ask) / 2 AS mid, round(ask - bid, 5) AS spread FROM ticks WHERE tick_id % 50 NOT IN (7, 11, 23))" + columns("tick_id instrument", "bid ask mid spread", "o", 8)), 8,
+)
+R.add("s12_dead_letters", lambda k, d: k.read.parquet(feed(k, d)[1]).groupBy("fault").agg(F.count("*").alias("n")), sql("ticks", " SELECT CASE WHEN tick_id % 50 = 23 THEN 'broken' ELSE 'no price' END AS fault, count(*) AS n FROM ticks WHERE tick_id % 50 IN (11, 23) GROUP BY 1"))
 QUERIES, ORACLE_SQL = R.queries, R.sql
