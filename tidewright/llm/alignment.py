@@ -215,8 +215,12 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_column: str = "do
 
 
 def pair_counts(settled: DataFrame) -> DataFrame:
-    """(a, b, count, best): in how many documents a pair of ids is linked, and whether that is the most of its A id."""
+    """(a, b, count, best): in how many documents a pair of ids is linked, and whether that is the most of its A id.
+
+    There are no more pairs than both vocabularies allow, whatever the corpus.
+    """
     counts = settled.where("a is not null").groupBy("a", "b").agg(F.sum("docs").alias("count"))
+    counts = checkpointed(counts)
     most = counts.groupBy("a").agg(F.max("count").alias("most"))
     return counts.join(most, "a").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
 
@@ -238,7 +242,7 @@ def link_sums(settled: DataFrame) -> DataFrame:
             np.add.at(sums[1], at, count * body[:, 1])
             yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, sums)], ["rid", "n_best", "count_sum"])
 
-    pairs = settled.where("a is not null").select("rid", "a", "b", "postings").join(pair_counts(settled), ["a", "b"])
+    pairs = settled.where("a is not null").select("rid", "a", "b", "postings").join(checkpointed(pair_counts(settled)), ["a", "b"])
     # rows of a bundle come together, so that a document has few partial sums
     near = pairs.select("rid", "count", "best", "postings").repartition("rid").sortWithinPartitions("rid")
     return near.mapInArrow(lean(run), "rid long, n_best long, count_sum long").groupBy("rid").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))

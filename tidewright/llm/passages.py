@@ -166,6 +166,7 @@ def text_spans(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     first = kept.groupBy("key").agg(
         F.count("*").alias("n"), F.min(F.struct("did", "h1", "place")).alias("e"), F.min("h1").alias("low"), F.max("h1").alias("high"),
     ).where("low <> high").select("key", F.col("e.h1").alias("b"), F.col("e.place").alias("pb"), (F.col("n") > 2).alias("more"))
+    first = checkpointed(first)  # as a table of its own, so that the skew join can cut a very common key
     anchors = kept.join(first, "key").where("h1 <> b or place <> pb").groupBy(F.col("h1").alias("a"), "b", F.col("place").alias("pa"), "pb").agg(F.max("more").alias("more"))
     pairs = checkpointed(anchors.groupBy("a", "b").agg(F.collect_list(F.struct("pa", "pb", "more")).alias("anchors")))
     found = checkpointed(matches(pairs, docs.select(content_key(F.col("text"))[0], "text")))
@@ -175,7 +176,8 @@ def text_spans(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     # runs around suffixes that the earliest neighbour does not share
     runs = found.where("key is not null").select(F.col("a").alias("h1"), "key", "start").distinct().join(order, "h1")
     earliest = runs.groupBy("key").agg(F.min(F.struct("did", "h1")).alias("e"), F.min("h1").alias("low"), F.max("h1").alias("high"))
-    exact = runs.join(earliest.where("low <> high").select("key", F.col("e.did").alias("source"), F.col("e.h1").alias("b")), "key").where("h1 <> b")
+    known = checkpointed(earliest.where("low <> high").select("key", F.col("e.did").alias("source"), F.col("e.h1").alias("b")))
+    exact = runs.join(known, "key").where("h1 <> b")
     return spans.union(exact.select("h1", F.col("start").alias("begin"), (F.col("start") + PASSAGE).cast("int").alias("end"), "source"))
 
 
