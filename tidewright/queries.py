@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .operators import decisions, evaluation_queries, feature_queries, live_reports, market, portfolio, power, quality, refit, reports
+from .operators import decisions, evaluation_queries, feature_queries, live_reports, market, portfolio, power, quality, refit, reports, split_metrics
 from .sources import store
 from .streaming import live, stateful
 
-MODULES = [feature_queries, evaluation_queries, market, decisions, reports, live_reports, portfolio, power, quality, refit, store, live, stateful]
+MODULES = [feature_queries, evaluation_queries, market, decisions, reports, live_reports, portfolio, power, quality, refit, split_metrics, store, live, stateful]
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: text for m in MODULES for name, text in m.ORACLE_SQL.items()}
