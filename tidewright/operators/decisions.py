@@ -375,23 +375,25 @@ def target_units(df: DataFrame, most: int = MOST_UNITS) -> DataFrame:
     return df.withColumn("units", F.when(allowed, F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce("units", F.lit(0))))).otherwise(0))
 
 
-def ledger(df: DataFrame, equity: float = 10_000.0, stop: float = 0.15, quote_is_home: bool = True) -> DataFrame:
+def ledger(df: DataFrame, equity: float = 10_000.0, stop: float = 0.15, quote_is_home: bool | str = True) -> DataFrame:
     """Causal ledger: a decision fills at the next open; the gap is earned on the old position, the bar on the new one.
 
     Money is that of the quote currency, or, with ``quote_is_home`` false, of the base currency: gains are
-    then divided by the price. The drawdown stop is absorbing, for a flat ledger keeps its drawdown: the
+    then divided by the price; the name of a boolean column decides it row by row. The drawdown stop is absorbing, for a flat ledger keeps its drawdown: the
     path without the stop is computed first, and from the first bar whose open drawdown reaches the limit
     all targets are 0. The last bar closes what is held, at its close and at the cost of its session.
     """
+    home = F.col(quote_is_home) if isinstance(quote_is_home, str) else F.lit(quote_is_home)
+
     def money(gain: Column, price: str) -> Column:
-        return gain if quote_is_home else gain / F.col(price)
+        return F.when(home, gain).otherwise(gain / F.col(price))
 
     def moves(d: DataFrame, w, target: str) -> DataFrame:
         d = d.withColumn("pos", F.coalesce(w.lag(target), F.lit(0)))
         d = d.withColumn("old", F.coalesce(w.lag("pos"), F.lit(0)))
         d = d.withColumn("gap", F.coalesce(money(F.col("old") * (F.col("open") - w.lag("close")), "open"), F.lit(0.0)))
         d = d.withColumn("delta", F.col("pos") - F.col("old")).withColumn("session", session(F.col("ts"))).withColumn("last", F.lead("rn").over(w.base).isNull())
-        d = cost(d, F.col("delta"), F.col("open")).withColumn("paid", F.when(F.col("delta") != 0, F.col("total_cost") * F.abs("delta") * (F.col("open") if quote_is_home else 1)).otherwise(0.0))
+        d = cost(d, F.col("delta"), F.col("open")).withColumn("paid", F.when(F.col("delta") != 0, F.col("total_cost") * F.abs("delta") * F.when(home, F.col("open")).otherwise(1.0)).otherwise(0.0))
         return d.withColumn("net", F.col("gap") + money(F.col("pos") * (F.col("close") - F.col("open")), "close") - F.col("paid"))
 
     keep = df.columns
@@ -408,23 +410,33 @@ def ledger(df: DataFrame, equity: float = 10_000.0, stop: float = 0.15, quote_is
     broken = first.where((F.col("_peak") - F.col("at_open")) / F.col("_peak") >= stop).groupBy("instrument").agg(F.min("rn").alias("stopped"))
     flat = df.join(broken, "instrument", "left").withColumn("units", F.when(F.col("rn") >= F.col("stopped") - 1, 0).otherwise(F.col("units")))
     d = path(settled(flat), "units")
-    d = cost(d, F.col("pos"), F.col("close")).withColumn("closing", F.when(F.col("last"), F.col("total_cost") * F.abs("pos") * (F.col("close") if quote_is_home else 1)).otherwise(0.0))
+    d = cost(d, F.col("pos"), F.col("close")).withColumn("closing", F.when(F.col("last"), F.col("total_cost") * F.abs("pos") * F.when(home, F.col("close")).otherwise(1.0)).otherwise(0.0))
     d = d.withColumn("delta", F.when(F.col("last"), F.col("delta") - F.col("pos")).otherwise(F.col("delta"))).withColumn("pos", F.when(F.col("last"), 0).otherwise(F.col("pos")))
     d = d.withColumn("paid", F.col("paid") + F.col("closing")).withColumn("net", F.col("net") - F.col("closing")).withColumn("equity", F.col("equity") - F.col("closing"))
     return d.withColumn("drawdown", F.greatest(F.lit(0.0), (F.col("peak") - F.col("equity")) / F.col("peak")))
 
 
-def _ledger_sql(target: str, source: str, tag: str) -> str:
-    return f""", {tag}1 AS (SELECT *, coalesce(lag({target}) OVER {N}, 0) AS pos FROM {source}), {tag}2 AS (SELECT *, coalesce(lag(pos) OVER {N}, 0) AS old, coalesce(lag(pos) OVER {N} * (open - lag(close) OVER {N}), 0) AS gap, pos - old AS delta, {_SESSION} AS session FROM {tag}1)
-, {tag}3 AS (SELECT * EXCLUDE (session), delta AS u, {_COST.replace('/ price', '/ open').replace('* price', '* open').replace('abs(units)', 'abs(delta)')}, CASE WHEN delta <> 0 THEN total_cost * abs(delta) * open ELSE 0 END AS paid, gap + pos * (close - open) - paid AS net FROM {tag}2)
+def _ledger_sql(target: str, source: str, tag: str, several: bool = False) -> str:
+    money = lambda gain, price: f"CASE WHEN home THEN {gain} ELSE ({gain}) / {price} END" if several else gain
+    size = "CASE WHEN home THEN open ELSE 1 END" if several else "open"
+    return f""", {tag}1 AS (SELECT *, coalesce(lag({target}) OVER {N}, 0) AS pos FROM {source}), {tag}2 AS (SELECT *, coalesce(lag(pos) OVER {N}, 0) AS old, lag(pos) OVER {N} * (open - lag(close) OVER {N}) AS gap0, coalesce({money('gap0', 'open')}, 0) AS gap, pos - old AS delta, {_SESSION} AS session FROM {tag}1)
+, {tag}3 AS (SELECT * EXCLUDE (session), delta AS u, {_COST.replace('/ price', '/ open').replace('* price', '* open').replace('abs(units)', 'abs(delta)')}, CASE WHEN delta <> 0 THEN total_cost * abs(delta) * {size} ELSE 0 END AS paid, gap + {money('pos * (close - open)', 'close')} - paid AS net FROM {tag}2)
 , {tag}4 AS (SELECT *, 10000 + sum(net) OVER {N} AS equity, equity - net + gap AS at_open FROM {tag}3), {tag}5 AS (SELECT *, max(greatest(equity, at_open, 10000)) OVER {N} AS peak FROM {tag}4)"""
 
 
 _TARGET = ", tgt AS (SELECT * REPLACE (CASE WHEN failures = '' AND action IN ('trade', 'reduce') THEN greatest(-500000, least(500000, units)) ELSE 0 END AS units) FROM pt)"
-_LED = _PRE.replace("/ 10000 <= 0.9", "/ 10000 <= 30") + _TARGET + _ledger_sql("units", "tgt", "a") + f""", bp AS (SELECT *, greatest(coalesce(lag(peak) OVER {N}, 10000), at_open) AS opeak FROM a5), br AS (SELECT instrument, min(rn) AS stopped FROM bp WHERE (opeak - at_open) / opeak >= 0.15 GROUP BY ALL)
-, fz AS (SELECT tgt.* REPLACE (CASE WHEN rn >= stopped - 1 THEN 0 ELSE units END AS units) FROM tgt LEFT JOIN br USING (instrument))""" + _ledger_sql("units", "fz", "b") + f"""
-, b6 AS (SELECT event_id, lead(rn) OVER {N} IS NULL AS last, {_COST.replace('/ price', '/ close').replace('* price', '* close').replace('abs(units)', 'abs(pos)')}, CASE WHEN last THEN total_cost * abs(pos) * close ELSE 0 END AS closing FROM b5)
+
+
+def ledger_sql_tail(several: bool = False) -> str:
+    """The ledger ``led`` of table ``tgt``; with ``several``, its column ``home`` tells whose money it is."""
+    size = "CASE WHEN home THEN close ELSE 1 END" if several else "close"
+    return _ledger_sql("units", "tgt", "a", several) + f""", bp AS (SELECT *, greatest(coalesce(lag(peak) OVER {N}, 10000), at_open) AS opeak FROM a5), br AS (SELECT instrument, min(rn) AS stopped FROM bp WHERE (opeak - at_open) / opeak >= 0.15 GROUP BY ALL)
+, fz AS (SELECT tgt.* REPLACE (CASE WHEN rn >= stopped - 1 THEN 0 ELSE units END AS units) FROM tgt LEFT JOIN br USING (instrument))""" + _ledger_sql("units", "fz", "b", several) + f"""
+, b6 AS (SELECT event_id, lead(rn) OVER {N} IS NULL AS last, {_COST.replace('/ price', '/ close').replace('* price', '* close').replace('abs(units)', 'abs(pos)')}, CASE WHEN last THEN total_cost * abs(pos) * {size} ELSE 0 END AS closing FROM b5)
 , led AS (SELECT b5.* REPLACE (CASE WHEN last THEN delta - pos ELSE delta END AS delta, CASE WHEN last THEN 0 ELSE pos END AS pos, paid + closing AS paid, net - closing AS net, equity - closing AS equity), greatest(0, (peak - (b5.equity - closing)) / peak) AS drawdown FROM b5 JOIN b6 USING (event_id))"""
+
+
+_LED = _PRE.replace("/ 10000 <= 0.9", "/ 10000 <= 30") + _TARGET + ledger_sql_tail()
 compliant = lambda k, d: target_units(pre_trade(decisions(k, d), leverage=30.0).withColumn("compliant", F.col("failures") == ""))
 R.add("c15_c16_ledger", lambda k, d: ledger(compliant(k, d)).select("event_id", F.col("pos").cast("int").alias("pos"), F.col("delta").cast("int").alias("delta"), "paid", "net", "equity", "drawdown"), sql("forecasts", _LED + columns("event_id pos delta", "paid net equity drawdown", "led", 4)), 4)
 
