@@ -282,8 +282,11 @@ R.add("c03_cost_curves", lambda k, d: cost_curves(forecasts(k, d)).select("event
 R.add("c05_hard_gates", lambda k, d: forecasts(k, d).select("event_id", F.coalesce(F.when(F.col("signal") == 0, "flat_signal"), F.when(F.col("confidence") < 0.52, "low_confidence"), F.when((F.col("regime") == 3) & (F.col("confidence") < 0.62), "crisis_regime_low_confidence"), F.when(F.pmod("event_id", F.lit(11)) == 0, "high_impact_news_blackout"), F.lit("pass")).alias("gate")), sql("forecasts", "SELECT event_id, CASE WHEN signal = 0 THEN 'flat_signal' WHEN confidence < 0.52 THEN 'low_confidence' WHEN regime = 3 AND confidence < 0.62 THEN 'crisis_regime_low_confidence' WHEN event_id % 11 = 0 THEN 'high_impact_news_blackout' ELSE 'pass' END AS gate FROM forecasts"))
 
 
-def kelly(df: DataFrame, equity: float = 10_000.0, leverage: float = 30.0, unit_cap: int = 100_000, fee: float = 0.00008) -> DataFrame:
-    """Kelly units from the 20 returns before a bar, capped by regime, scaled by confidence; 1,000 units at least."""
+def kelly(df: DataFrame, equity: float = 10_000.0, leverage: float = 30.0, unit_cap: int = 100_000, fee: float = 0.00008, drawdown: str | None = None) -> DataFrame:
+    """Kelly units from the 20 returns before a bar, capped by regime, scaled by confidence; 1,000 units at least.
+
+    With a column ``drawdown``, sizes shrink from 8 % of it on, down to a tenth at 15 %.
+    """
     def build(d: DataFrame, w) -> DataFrame:
         d = d.withColumn("_r", F.coalesce(w.lag("signal"), F.lit(0)) * F.log(F.col("close") / w.lag("close")))
         n = F.count("_r").over(w(-20, -1))
@@ -292,9 +295,12 @@ def kelly(df: DataFrame, equity: float = 10_000.0, leverage: float = 30.0, unit_
 
     d = with_halo(df, KEYS, 22, build).withColumn("_net", F.col("_mu") - fee).withColumn("kelly", F.col("_net") / F.col("_s2"))
     share = F.least(F.col("kelly"), by(KELLY_CAPS, F.col("regime"))) * F.when(F.col("confidence") < 0.55, F.least(0.5 + F.col("confidence"), F.lit(1.0))).otherwise(1.0)
+    deep = F.col(drawdown) > 0.08 if drawdown else F.lit(False)
+    if drawdown:
+        share = share * F.when(deep, F.greatest(F.lit(0.1), 1 - (F.col(drawdown) - 0.08) / (0.15 - 0.08))).otherwise(1.0)
     most = F.least(F.floor(equity * leverage * by(MAX_POSITION, F.col("regime")) / F.col("close")), F.lit(unit_cap))
     units = F.greatest(F.lit(1000), F.least(F.floor(F.round(equity * leverage * share / F.col("close"), 6)), most)) * F.col("signal")
-    reason = F.when(F.col("signal") == 0, "flat_signal").when(F.round("_net", 12) <= 0, "negative_edge_after_costs").when(F.col("confidence") < 0.55, "low_confidence").when(F.round("kelly", 9) <= by(KELLY_CAPS, F.col("regime")), "within_kelly").otherwise("regime_cap")
+    reason = F.when(F.col("signal") == 0, "flat_signal").when(F.round("_net", 12) <= 0, "negative_edge_after_costs").when(deep, "drawdown_derisking").when(F.col("confidence") < 0.55, "low_confidence").when(F.round("kelly", 9) <= by(KELLY_CAPS, F.col("regime")), "within_kelly").otherwise("regime_cap")
     d = d.withColumn("reason", reason)
     return d.withColumn("units", F.when(F.col("reason").isin("flat_signal", "negative_edge_after_costs"), 0).otherwise(units).cast("long"))
 

@@ -240,18 +240,26 @@ def regime_models(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return train_rows(rows, blocks).groupBy("instrument", "block_id").applyInPandas(fit, MODEL)
 
 
+def run_up(rows: DataFrame, tests: DataFrame, n: int = WARM_UP) -> DataFrame:
+    """(block_id, columns of rows): the ``n`` rows right before the first test row of each block.
+
+    Rows are dealt by chunks of n places, of which a run-up touches two, so that the join is an equi-join.
+    """
+    first = tests.groupBy("instrument", "block_id").agg(F.min("rn").alias("_first"))
+    ends = F.explode(F.array(F.greatest(F.col("_first") - n, F.lit(1)), F.col("_first") - 1))
+    wanted = first.withColumn("_place", ends).where("_place >= 1").select("instrument", "block_id", "_first", F.floor(F.col("_place") / n).alias("_chunk")).distinct()
+    early = rows.withColumn("_chunk", F.floor(F.col("rn") / n)).join(wanted, ["instrument", "_chunk"])
+    return early.where((F.col("rn") < F.col("_first")) & (F.col("rn") >= F.col("_first") - n)).drop("_chunk", "_first")
+
+
 def filtered_tests(rows: DataFrame, blocks: DataFrame, models: DataFrame) -> DataFrame:
     """(instrument, ts, block_id, regime, p0..p3): the causal filter over the test rows of each block, with a run-up of WARM_UP rows that are not returned.
 
     Probabilities start even at the first row of the run-up; each row sees itself and what came before.
     """
     tests = test_rows(rows, blocks)
-    first = tests.groupBy("instrument", "block_id").agg(F.min("rn").alias("_first"))
-    # a run-up ends right before a test, so rows of the WARM_UP places before it are dealt by chunks of as many places
-    chunk = F.floor(F.col("_place") / WARM_UP)
-    wanted = first.withColumn("_place", F.explode(F.array(F.greatest(F.col("_first") - WARM_UP, F.lit(1)), F.col("_first") - 1))).where("_place >= 1").select("instrument", "block_id", "_first", chunk.alias("_chunk")).distinct()
-    early = rows.withColumn("_place", F.col("rn")).withColumn("_chunk", chunk).drop("_place").join(wanted, ["instrument", "_chunk"]).where((F.col("rn") < F.col("_first")) & (F.col("rn") >= F.col("_first") - WARM_UP))
-    both = tests.withColumn("shown", F.lit(True)).unionByName(early.drop("_chunk", "_first").withColumn("shown", F.lit(False)))
+    early = run_up(rows, tests)
+    both = tests.withColumn("shown", F.lit(True)).unionByName(early.withColumn("shown", F.lit(False)))
 
     def run(model: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
         names = ["instrument", "ts", "block_id"]
