@@ -226,7 +226,7 @@ R.add("q08_macro_present", lambda k, d: macro_present(bars(k, d), as_of(bars(k,
 
 #: The feature queries whose columns the table has, beside macro columns and the cross pair.
 PARTS = ("f01_f02_returns", "f03_f04_moving_averages", "f05_f06_ema_macd", "f07_adx", "f08_rsi", "f09_f11_oscillators", "f12_f17_volatility", "f16_atr", "f18_f20_volume", "f21_candle_shape", "f22_calendar", "f25_quoted_spread")
-MACRO = {"1-URGENT": "urgent", "3-MEDIUM": "medium", "5-LOW": "low"}
+MACRO = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "plain", "5-LOW": "low"}
 
 
 def feature_table(rows: DataFrame, obs: DataFrame, other: str = "N") -> DataFrame:

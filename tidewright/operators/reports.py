@@ -12,6 +12,7 @@ from ..sources.views import bars, forecasts, sql, table
 from .decisions import _B, _D, _F, N, PRICE_WEIGHTS, by, decisions, full, second_model
 from .evaluation import costed, net_log
 from .evaluation_queries import COSTED_SQL, scored
+from .evaluation_queries import ORACLE_SQL as EVALUATION_SQL
 from .features import KEYS, flag
 
 R = Registry()
@@ -75,6 +76,19 @@ def latest_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 from .evaluation_queries import RULES_SQL  # noqa: E402
 
 R.add("p09_latest_targets", latest_targets, sql("bars", RULES_SQL + ", o AS (SELECT strategy, instrument, max(ts) AS ts, arg_max(pos, rn) AS pos FROM positions GROUP BY ALL)" + columns("strategy instrument ts", "pos", "o")))
+
+
+def latest_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest position of every forecast variant and instrument."""
+    from .evaluation_queries import gated
+
+    names = ["ungated", "gated", "top"]
+    return gated(spark, sf_dir).groupBy("instrument").agg(F.max("ts").alias("ts"), *(F.max_by(n, "rn").alias(n) for n in names)).unpivot(["instrument", "ts"], names, "strategy", "pos")
+
+
+R.add("p09_latest_forecasts", latest_forecasts, f"WITH v AS ({EVALUATION_SQL['p08_forecast_variants']}), l AS (SELECT instrument, max(ts) AS ts, arg_max(ungated, rn) AS ungated, arg_max(gated, rn) AS gated, arg_max(top, rn) AS top FROM v GROUP BY ALL) SELECT instrument, ts, strategy, pos FROM (UNPIVOT l ON ungated, gated, top INTO NAME strategy VALUE pos)")
+
+
 def learned_weights(df: DataFrame, recent: int = 20, memory: float = 0.95) -> DataFrame:
     """Price and text weights per instrument and regime, learned from the outcomes of decisions.
 

@@ -24,8 +24,8 @@ from ..operators.market import as_of, availability, derived, six
 from ..operators.reports import ORACLE_SQL as REPORT_SQL
 from ..plans.registry import Registry, columns
 from ..sources.store import commit_batch, read_journal
-from ..sources.views import KEYS, bars, forecasts, macro_obs, sql, ticks
-from .live import landed, replayed, stream_folder
+from ..sources.views import KEYS, bars, forecasts, macro_obs, news, sql, ticks
+from .live import landed, replayed, stream_distinct, stream_folder
 
 R = Registry()
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -451,6 +451,17 @@ def macro_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 R.add("o07_stream_macro", macro_query, MARKET_SQL["m04_as_of_join"], 9)
+# Distinct news (O4) -----------------------------------------------------------------------------------
+
+
+def news_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hashes of a stream of news, each told once, however often and in whatever batch it comes again."""
+    rows = news(spark, sf_dir).select("text_hash", "doc_id", F.col("published_at").alias("ts")).where("text_hash is not null")
+    return replayed(stream_distinct(landed(rows), ["text_hash"], "90 days")).select("text_hash")
+
+
+R.add("o04_stream_news", news_query, sql("news", " SELECT DISTINCT text_hash FROM news WHERE text_hash IS NOT NULL"))
+
 # Price stream (S12) ---------------------------------------------------------------------------------
 
 PRICE = "id long, type string, instrument string, bids array<struct<price:string>>, asks array<struct<price:string>>"
