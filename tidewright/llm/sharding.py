@@ -46,9 +46,9 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 17) -> DataFrame:
     ties = ["key", "text_crc32", "size"]
     ranked = running_total(rows, ["src", "no_src"], "bucket", ties, "one", "rank", "of")
     ranked = ranked.withColumn("frac", (2 * F.col("rank") + 1) / (2 * F.col("of"))).drop("bucket")
-    # sources of few rows share fractions, so buckets of the whole order are ranges of (fraction, key)
-    ranges = ranked.repartitionByRange(min(n, MOST_RANGES), "frac", "key").withColumn("bucket", F.spark_partition_id().cast("long"))
-    placed = running_total(checkpointed(ranges), [], "bucket", ["frac", *ties, "no_src", "src"], "one", "position")
+    # sources of few rows share fractions, so buckets of the whole order are ranges of (fraction, source)
+    ranges = ranked.repartitionByRange(min(n, MOST_RANGES), "frac", "no_src", "src").withColumn("bucket", F.spark_partition_id().cast("long"))
+    placed = running_total(checkpointed(ranges), [], "bucket", ["frac", "no_src", "src", *ties], "one", "position")
     shard = F.floor(F.col("position") * shards / F.lit(max(1, total))).cast("int")
     start = F.ceil(F.col("shard").cast("long") * F.lit(total) / shards).cast("long")
     return (
