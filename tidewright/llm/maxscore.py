@@ -21,7 +21,7 @@ from .vectors import search, usable
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 1_024
 #: Rows of a block of postings, each with bounds of its own; terms that are probed at once.
-POSTINGS = 1_024
+POSTINGS = 4_096
 PROBE = 8
 
 
