@@ -185,10 +185,10 @@ def calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
     return d.withColumn("is_overlap", flag((hour >= 12) & (hour < 16))).withColumn("is_london", flag((hour >= 7) & (hour < 12)))
 
 
-def future_calendar(df: DataFrame, ahead: int = 12) -> DataFrame:
-    """Calendar rows of the next ``ahead`` days after the last bar of each instrument."""
+def future_calendar(df: DataFrame, ahead: int = 12, minutes: int = 1440) -> DataFrame:
+    """Calendar rows of the next ``ahead`` bars of ``minutes`` after the last bar of each instrument."""
     last = df.groupBy("instrument").agg(F.max("ts").alias("last"))
-    steps = F.expr(f"sequence(last + interval 1 day, last + interval {ahead} days, interval 1 day)")
+    steps = F.expr(f"sequence(last + interval {minutes} minutes, last + interval {minutes * ahead} minutes, interval {minutes} minutes)")
     return calendar(last.select("instrument", F.explode(steps).alias("ts")))
 
 

@@ -230,7 +230,7 @@ def sample_weights(df: DataFrame) -> DataFrame:
     total = df.groupBy("instrument").agg(F.sum(F.abs("ret")).alias("sum_ret"), F.count("*").alias("n"))
     step = 1 / F.greatest(F.col("n") - 1, F.lit(1))
     sum_age = F.exp(F.lit(-1.0)) * F.when(F.col("n") == 1, 1.0).otherwise(F.expm1(F.col("n") * step) / F.expm1(step))
-    d = df.join(total, "instrument")
+    d = numbered(df.drop("rn"), KEYS, ["ts"], "year").join(total, "instrument")
     return d.select("instrument", "ts", (F.coalesce(F.abs("ret"), F.lit(0.0)) / F.nullif("sum_ret", F.lit(0.0)) * F.col("n")).alias("by_return"), (F.exp(-1 + (F.col("rn") - 1) * step) / sum_age * F.col("n")).alias("by_age"))
 
 

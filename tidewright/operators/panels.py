@@ -10,7 +10,10 @@ from ..functions.windows import numbered, ratio, with_halo
 from ..plans.registry import Registry, columns
 from ..sources.views import KEYS, bars, macro_obs, news, sql, table
 from .decisions import N
+from .feature_queries import _CAL
+from .features import future_calendar
 from .market import RULES
+from .quality import candles
 from .refit import _BLOCKS, WARM_UP, blocks_of, run_up, test_rows, train_rows
 
 R = Registry()
@@ -218,6 +221,14 @@ R.add(
 , o AS (SELECT g.instrument, g.ts, blk.block_id, {', '.join(f'(coalesce({c}, m_{c}) - a_{c}) / nullif(s_{c}, 0) AS {c}' for c in _NAMES)} FROM g JOIN blk ON blk.instrument = g.instrument AND date_trunc('month', g.ts) BETWEEN test_start AND test_end JOIN ft ON ft.instrument = blk.instrument AND ft.block_id = blk.block_id)""" + columns("instrument ts block_id", "ret away busy", "o")),
 )
 
+# Calendar of the next bars (F23) ----------------------------------------------------------------------
+
+_CYCLES = "hour_sin hour_cos dow_sin dow_cos dom_sin dom_cos"
+R.add(
+    "f23_next_candles", lambda k, d: future_calendar(candles(k, d), minutes=5),
+    sql("ticks", f""", l AS (SELECT event_type AS instrument, time_bucket(INTERVAL 5 MINUTE, max(ts)) AS z FROM events GROUP BY 1), n AS (SELECT instrument, unnest(generate_series(z + INTERVAL 5 MINUTE, z + INTERVAL 60 MINUTE, INTERVAL 5 MINUTE)) AS ts FROM l), o AS ({_CAL} FROM n)""" + columns("instrument ts is_overlap is_london", _CYCLES, "o")),
+)
+
 # News that was not seen before (N7) ---------------------------------------------------------------------
 
 
