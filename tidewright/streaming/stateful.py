@@ -29,18 +29,25 @@ from .live import landed, replayed, stream_distinct, stream_folder
 
 R = Registry()
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS = "spark.sql.shuffle.partitions"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextlib.contextmanager
 def rocks(spark: SparkSession):
-    """State in RocksDB for the queries that start inside, as several state variables and timers need it."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    """State in RocksDB for the queries that start inside, as several state variables and timers need it, in two partitions a core at most.
+
+    A query keeps the number of state partitions that it begins with; each costs a store and a worker per batch.
+    """
+    wanted = {PROVIDER: ROCKS, PARTITIONS: str(min(int(spark.conf.get(PARTITIONS)), 2 * spark.sparkContext.defaultParallelism))}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value else spark.conf.unset(name)
 
 
 def in_order(parts: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
