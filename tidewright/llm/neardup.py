@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -210,21 +210,27 @@ def verified(pairs: DataFrame, texts: DataFrame, weigh: Weights) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(lean(run), "a long, b long, similar boolean")
 
 
+def levels(values: np.ndarray, counts: np.ndarray, runs: np.ndarray, weigh: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, token, weight) of every occurrence of a shingle, and the sum of weights per row.
+
+    The k-th occurrence of a shingle is a token of its own, so that the weighted Jaccard similarity of
+    texts is that of sets of tokens, whose weights no longer depend on the text.
+    """
+    row = np.repeat(np.arange(len(runs)), runs)
+    weight = weigh(values, np.ones(len(values)))
+    total = np.bincount(row, weight * counts, len(runs))
+    level = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.repeat(row, counts), mixed(np.repeat(values, counts) + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.repeat(weight, counts), total
+
+
 def linked(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray, np.ndarray], weigh: Weights) -> np.ndarray:
     """Similarity of every text of x with every text of y; each side is (shingles, counts, runs).
 
-    The k-th occurrence of a shingle is a column of its own, so that the sum of least weights is a
-    product of matrices. Columns of one side only are left out, the others come in parts.
+    Tokens are columns, so that the sum of least weights is a product of matrices. Columns of one
+    side only are left out, the others come in parts.
     """
 
-    def levels(values: np.ndarray, counts: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(runs)), runs)
-        weight = weigh(values, np.ones(len(values)))
-        total = np.bincount(row, weight * counts, len(runs))
-        level = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        return np.repeat(row, counts), mixed(np.repeat(values, counts) + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.repeat(weight, counts), total
-
-    (ri, ci, wi, ti), (rj, cj, _, tj) = levels(*x), levels(*y)
+    (ri, ci, wi, ti), (rj, cj, _, tj) = levels(*x, weigh), levels(*y, weigh)
     columns = np.intersect1d(ci, cj)
     both = np.zeros((len(ti), len(tj)))
     if len(columns):
@@ -260,6 +266,85 @@ def spanning(near: np.ndarray) -> tuple[list[int], list[int]]:
     return i, j
 
 
+def blocks(n, size):
+    """Blocks of at most about BLOCK texts and BLOCK_BYTES bytes for ``n`` texts of ``size`` bytes."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
+
+def paired_blocks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(key, a, root, rest, i, j): every block i of ``left`` meets every block j of ``right`` of its key.
+
+    Both have key, a, root, lefts and rights, the numbers of blocks of the two sides of their key.
+    """
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = left.select("key", "a", "root", F.lit(True).alias("rest"), F.pmod(F.xxhash64("a", "key"), "lefts").cast("int").alias("i"), numbers("rights").alias("j"))
+    others = right.select("key", "a", "root", F.lit(False).alias("rest"), numbers("lefts").alias("i"), F.pmod(F.xxhash64("a", "key"), "rights").cast("int").alias("j"))
+    return rest.union(others)
+
+
+def rarest_tokens(crowded: DataFrame, texts: DataFrame, weigh: Weights) -> DataFrame:
+    """(a, token, short): the rarest tokens of texts, by which all similar pairs of them meet.
+
+    Tokens are ordered by the number of ``crowded`` texts that have them. Two texts at SIMILARITY t
+    share t times the weight of the longer one at least, and 2t / (1 + t) times that of the shorter
+    one. So they share a token among the first of the longer one, up to 1 - t of its weight, that is
+    also among the first of the shorter one, up to 1 - 2t / (1 + t) of its weight (``short``). What
+    the texts of a family have in common comes last in this order, and is not among the short ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, ids = rows_of(batch, "text"), rows_of(batch, "h1").to_numpy()
+            for at, to in slices(held):
+                row, token, weight, _ = levels(*shingles(held, at, to), weigh)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at:to][row]), pa.array(token.view(np.int64)), pa.array(weight)], ["a", "token", "weight"])
+
+    held = texts_of(texts, crowded.select(F.col("a").alias("h1"))).select("h1", "text")
+    tokens = checkpointed(held.mapInArrow(lean(run), "a long, token long, weight double"))
+    often = checkpointed(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
+    whole = Window.partitionBy("a")
+    rare_first = whole.orderBy(F.coalesce("n", F.lit(1)), "token").rowsBetween(Window.unboundedPreceding, -1)
+    placed = tokens.join(often, "token", "left").select("a", "token", "n", F.coalesce(F.sum("weight").over(rare_first), F.lit(0.0)).alias("before"), F.sum("weight").over(whole).alias("total"))
+    upto = lambda share: F.col("before") <= (share + 1e-9) * F.col("total")
+    return placed.where(F.col("n").isNotNull() & upto(1 - SIMILARITY)).select("a", "token", upto(1 - 2 * SIMILARITY / (1 + SIMILARITY)).alias("short"))
+
+
+def split_blocks(crowded: DataFrame, texts: DataFrame, weigh: Weights) -> DataFrame:
+    """Blocks, as of ``paired_blocks``, in which all similar texts of ``crowded`` (a, bytes, root) with other roots meet.
+
+    The key is a token here. Texts that have it among their short ones meet all that have it; two
+    texts of the largest component of a token do not meet.
+    """
+    rows = checkpointed(rarest_tokens(crowded, texts, weigh).join(crowded, "a"))
+    by_root = rows.groupBy("token", "root").agg(F.count("*").alias("n"), F.max("short").alias("short"))
+    tokens = by_root.groupBy("token").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.max("short").alias("short")).where("roots > 1 and short")
+    known = rows.join(checkpointed(tokens.select("token", F.col("main.root").alias("main"))), "token").withColumn("rest", F.col("root") != F.col("main"))
+    # short texts of the rest with all, and those of the largest component with the rest
+    sides = F.array(F.struct(F.lit(0).alias("turn"), (F.col("short") & F.col("rest")).alias("left"), F.lit(True).alias("right")), F.struct(F.lit(1).alias("turn"), (F.col("short") & ~F.col("rest")).alias("left"), F.col("rest").alias("right")))
+    dealt = checkpointed(known.select("token", "a", "bytes", "root", F.explode(sides).alias("s")).select(F.xxhash64("token", "s.turn").alias("key"), "a", "bytes", "root", "s.left", "s.right").where("left or right"))
+    of = lambda side, what: F.sum(F.when(F.col(side), what).otherwise(0))
+    sizes = dealt.groupBy("key").agg(*(of(side, what).alias(f"{side}_{name}") for side in ("left", "right") for name, what in (("n", F.lit(1)), ("bytes", F.col("bytes")))))
+    several = sizes.where("left_n > 0 and right_n > 0").select("key", blocks(F.col("left_n"), F.col("left_bytes")).alias("lefts"), blocks(F.col("right_n"), F.col("right_bytes")).alias("rights"))
+    held = dealt.join(checkpointed(several), "key")
+    return paired_blocks(held.where("left"), held.where("right"))
+
+
+def blocks_across(members: DataFrame, links: DataFrame, texts: DataFrame, weigh: Weights) -> DataFrame:
+    """(key, a, root, rest, i, j): the blocks of texts that ``links_across`` compares."""
+    known = members.select("key", "a", "bytes").join(components(links).withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    known = checkpointed(known)
+    by_root = known.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("main")).where("n > 2 and n > main.n")
+    lefts, rights = blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")), blocks(F.col("n"), F.col("bytes"))
+    several = checkpointed(sizes.select("key", F.col("main.root").alias("main"), lefts.alias("lefts"), rights.alias("rights")))
+    rows = known.join(several.where("lefts = 1"), "key")
+    out = paired_blocks(rows.where("root <> main"), rows)
+    crowded = several.where("lefts > 1")
+    if crowded.isEmpty():
+        return out
+    return out.union(split_blocks(checkpointed(known.join(crowded.select("key"), "key", "left_semi").select("a", "bytes", "root").distinct()), texts, weigh))
+
+
 def links_across(members: DataFrame, links: DataFrame, texts: DataFrame, weigh: Weights) -> DataFrame:
     """(a, b): links that join the components of ``links`` as all similar pairs that share a band do.
 
@@ -267,6 +352,10 @@ def links_across(members: DataFrame, links: DataFrame, texts: DataFrame, weigh:
     texts of the key, whole and exactly. Both sides are dealt into blocks of BLOCK texts and
     BLOCK_BYTES bytes, so that a key of any size is spread and a task is bounded; of the links of
     two blocks, a forest is returned. Keys of two texts were decided before.
+
+    A rest of several blocks would be compared with a square of work. The texts of such keys meet by
+    their rarest tokens instead, all similar pairs of them in other components: template texts, whose
+    common words are no rare ones, do not meet at all.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -285,17 +374,7 @@ def links_across(members: DataFrame, links: DataFrame, texts: DataFrame, weigh:
         pa.default_memory_pool().release_unused()
         return out
 
-    known = members.select("key", "a", "bytes").join(components(links).withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    known = checkpointed(known)
-    by_root = known.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    sizes = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("main")).where("n > 2 and n > main.n")
-    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
-    several = sizes.select("key", F.col("main.root").alias("main"), blocks(F.col("n"), F.col("bytes")).alias("all"), blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("rests"))
-    rows = known.join(several, "key")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.where("root <> main").select("key", "a", "root", F.lit(True).alias("rest"), F.pmod(F.xxhash64("a", "key"), "rests").cast("int").alias("i"), numbers("all").alias("j"))
-    right = rows.select("key", "a", "root", F.lit(False).alias("rest"), numbers("rests").alias("i"), F.pmod(F.xxhash64("a", "key"), "all").cast("int").alias("j"))
-    dealt = checkpointed(left.select(*right.columns).union(right))
+    dealt = checkpointed(blocks_across(members, links, texts, weigh))
     held = dealt.join(texts_of(texts, dealt.select(F.col("a").alias("h1")).distinct()).withColumnRenamed("h1", "a"), "a")
     return held.select("key", "i", "j", "a", "root", "rest", "text").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
