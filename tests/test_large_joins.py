@@ -1,11 +1,13 @@
 """Interval joins and window totals on dense times: right at the bounds, without pairs where none are asked for."""
 
 import datetime
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from tidewright.operators.decisions import in_window
+from tidewright.operators.live_reports import macro_signal, macro_views
 
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
 HOUR = 3_600_000_000
@@ -37,3 +39,42 @@ def test_interval_join_is_exact_and_spread_over_all_partitions(spark):
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     got = sorted((x["ts"], x["doc_id"]) for x in out.select(micros("ts"), "doc_id").collect())
     assert got == sorted((t, i) for t in times for i, p, _ in a if t - 4 * HOUR < p <= t)
+
+
+def dense(spark, n=40_000):
+    """n bars that all see the same n articles: 1.6 * 10^9 pairs."""
+    start = int(EPOCH.timestamp()) * 1_000_000
+    bars = spark.range(n).select(F.lit("X").alias("instrument"), F.timestamp_micros(F.lit(start) + HOUR + F.col("id") * 40_000).alias("ts"))
+    return bars, spark.range(n).select(F.col("id").alias("doc_id"), F.timestamp_micros(F.lit(start) + F.col("id") * 80_000).alias("published_at"), F.lit(1.0).alias("score"), F.lit(1.0).alias("intensity"))
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_macro_signal_equals_loops_without_pairs(spark):
+    b, a, left, right = sample(spark)
+    views = macro_views(right)
+    known = {r["doc_id"]: r for r in views.collect()}
+    out = macro_signal(left, views)
+    assert joins(out) == 1  # only that of bars and times
+    rows = out.select("*", micros("ts").alias("at")).collect()
+    assert len(rows) == len(b) + 1
+    span = {"immediate": 1.0, "hours": 0.7, "days": 0.4, "weeks": 0.2}
+    for r in rows:
+        seen = [(known[i], known[i]["confidence"] * 0.8 ** ((r["at"] - p) / HOUR)) for i, p, _ in a if r["at"] is not None and r["at"] - 6 * HOUR < p <= r["at"]]
+        total = sum(w for _, w in seen)
+        if total < 1e-8:
+            assert (r["macro_signal"], r["events"], r["surprise"], r["confidence"]) == (0, 0, 0, 0)
+            continue
+        bias = round(sum(w * v["bias"] for v, w in seen) / total, 9)
+        signal = max(-1, min(1, round(bias * 2))) if abs(bias) > 0.1 else 0
+        assert (r["macro_signal"], r["events"], r["confidence"]) == (signal, len(seen), max(v["confidence"] for v, _ in seen))
+        assert math.isclose(r["surprise"], sum(w * v["surprise"] for v, w in seen) / total, abs_tol=1e-12)
+        assert math.isclose(r["horizon"], sum(w * span[v["horizon"]] for v, w in seen) / total, abs_tol=1e-12)
+
+
+def test_macro_signal_of_dense_times(spark):
+    bars, articles = dense(spark)
+    got = macro_signal(bars, macro_views(articles)).agg(F.min("events"), F.max("events"), F.count("*")).first()
+    assert tuple(got) == (40_000, 40_000, 40_000)
