@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidewright.operators.decisions import in_window
+from tidewright.operators.decisions import decayed_sentiment, in_window
 from tidewright.operators.live_reports import macro_signal, macro_views
 
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
@@ -78,3 +78,24 @@ def test_macro_signal_of_dense_times(spark):
     bars, articles = dense(spark)
     got = macro_signal(bars, macro_views(articles)).agg(F.min("events"), F.max("events"), F.count("*")).first()
     assert tuple(got) == (40_000, 40_000, 40_000)
+
+
+def test_decayed_sentiment_equals_loops_without_pairs(spark):
+    b, a, left, right = sample(spark)
+    out = decayed_sentiment(left, right)
+    assert joins(out) == 1  # only that of bars and times
+    rows = out.select("*", micros("ts").alias("at")).collect()
+    assert len(rows) == len(b) + 1
+    for r in rows:
+        seen = [(s, 0.9 ** ((r["at"] - p) / HOUR)) for _, p, s in a if r["at"] is not None and r["at"] - 4 * HOUR < p <= r["at"]]
+        n, total = len(seen), sum(w for _, w in seen)
+        score = sum(w * s for s, w in seen) / total if n else 0.0
+        assert r["articles"] == n and math.isclose(r["score"], score, abs_tol=1e-12)
+        assert r["signal"] == (1 if round(score, 9) > 0.15 else -1 if round(score, 9) < -0.15 else 0)
+        assert math.isclose(r["intensity"], sum(w * abs(s) for s, w in seen) / total if n else 0.0, abs_tol=1e-12)
+        assert math.isclose(r["positive"], sum(s > 0 for s, _ in seen) / n if n else 0.0) and math.isclose(r["negative"], sum(s < 0 for s, _ in seen) / n if n else 0.0)
+
+
+def test_decayed_sentiment_of_dense_times(spark):
+    bars, articles = dense(spark)
+    assert tuple(decayed_sentiment(bars, articles).agg(F.min("articles"), F.max("articles"), F.count("*")).first()) == (40_000, 40_000, 40_000)
