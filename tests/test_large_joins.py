@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidewright.operators.decisions import decayed_sentiment, in_window
-from tidewright.operators.live_reports import macro_signal, macro_views
+from tidewright.operators.live_reports import assembled, macro_signal, macro_views
 
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
 HOUR = 3_600_000_000
@@ -99,3 +99,8 @@ def test_decayed_sentiment_equals_loops_without_pairs(spark):
 def test_decayed_sentiment_of_dense_times(spark):
     bars, articles = dense(spark)
     assert tuple(decayed_sentiment(bars, articles).agg(F.min("articles"), F.max("articles"), F.count("*")).first()) == (40_000, 40_000, 40_000)
+
+
+def test_feature_table_reads_trades_and_orders_once(spark):
+    out = assembled(spark, "/root/testdata/sf0.001")
+    assert out.inputFiles() == []  # what grows with the input is computed before; the plan holds bars and observations only
