@@ -41,6 +41,28 @@ def test_interval_join_is_exact_and_spread_over_all_partitions(spark):
     assert got == sorted((t, i) for t in times for i, p, _ in a if t - 4 * HOUR < p <= t)
 
 
+def test_interval_join_cuts_rows_of_several_bars_to_the_bounds(spark):
+    b, a, left, right = sample(spark)
+    times = {t for _, t in b}
+    for rows in (1, 2, 1_000):
+        out = in_window(left.select("ts").distinct(), right.select("doc_id", "published_at"), 4, most=2, times=rows, places=6)
+        got = sorted((x["ts"], x["doc_id"], x["age"]) for x in out.select(micros("ts"), "doc_id", "age").collect())
+        assert got == sorted((t, i, round((t - p) / HOUR, 6)) for t in times for i, p, _ in a if t - 4 * HOUR < p <= t)
+    assert in_window(left.where("false").select("ts"), right.select("doc_id", "published_at"), 4).count() == 0
+
+
+def test_interval_join_orders_pairs_so_that_files_are_small(spark, tmp_path):
+    start = int(EPOCH.timestamp()) * 1_000_000
+    # 2,000 bars of 3 hours, of which the first sees 60 instants of 50 articles, the last 239
+    bars = spark.range(2_000).select(F.timestamp_micros(F.lit(start) + HOUR + F.col("id") * 5_399_977).alias("ts"))
+    articles = spark.range(12_000).select(F.xxhash64("id").alias("doc_id"), F.timestamp_micros(F.lit(start) + (F.col("id") % 240) * 60_000_000).alias("published_at"))
+    in_window(bars, articles, 4, places=6).select("ts", "doc_id", "age").write.parquet(str(tmp_path / "pairs"))
+    files = list((tmp_path / "pairs").glob("*.parquet"))
+    pairs = sum(50 * (1 + min(239, (HOUR + i * 5_399_977) // 60_000_000)) for i in range(2_000))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == pairs
+    assert sum(f.stat().st_size for f in files) < 1.0 * pairs
+
+
 def dense(spark, n=40_000):
     """n bars that all see the same n articles: 1.6 * 10^9 pairs."""
     start = int(EPOCH.timestamp()) * 1_000_000
